@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import mixing
+from seqloom.llm import mixing, packing
 from seqloom.llm.common import prepare, table
 
 
+def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in as few sequences of 2048 as the packing finds."""
+    prepare(spark)
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that sources meet their target weights."""
     prepare(spark)
@@ -60,6 +66,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_pack_sequences": op3_pack_sequences,
     "op10_mix_sources": op10_mix_sources,
 }
 
