@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import mixing, packing
+from seqloom.llm import mixing, packing, tokencount
 from seqloom.llm.common import prepare, table
 
 
@@ -16,6 +16,12 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by scanning flat token files made of all documents."""
+    prepare(spark)
+    return tokencount.count_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that sources meet their target weights."""
     prepare(spark)
@@ -67,6 +73,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_sequences": op3_pack_sequences,
+    "op6_token_counts": op6_token_counts,
     "op10_mix_sources": op10_mix_sources,
 }
 
