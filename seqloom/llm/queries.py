@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import mixing, packing, tokencount
+from seqloom.llm import fingerprint, mixing, packing, tokencount
 from seqloom.llm.common import prepare, table
 
 
@@ -22,6 +22,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its half-edited text, and how alike they are."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that sources meet their target weights."""
     prepare(spark)
@@ -74,6 +79,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_sequences": op3_pack_sequences,
     "op6_token_counts": op6_token_counts,
+    "op7_fingerprints": op7_fingerprints,
     "op10_mix_sources": op10_mix_sources,
 }
 
