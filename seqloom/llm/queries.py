@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seqloom.llm import fingerprint, mixing, packing, tokencount
+from seqloom.llm import fingerprint, mixing, packing, tokencount, toxicity
 from seqloom.llm.common import prepare, table
 
 
@@ -16,6 +17,20 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each whole document is labelled toxic."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted by scanning flat token files made of all documents."""
     prepare(spark)
@@ -78,6 +93,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_sequences": op3_pack_sequences,
+    "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op10_mix_sources": op10_mix_sources,
