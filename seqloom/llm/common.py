@@ -70,3 +70,26 @@ def uniform(*columns: Column | str) -> Column:
     joined = F.concat_ws("/", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c, F.lit("-")) for c in columns])
     bits = F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+#: Bits of the filter that goes ahead of a join: 2 MB at any scale.
+FILTER_BITS = 1 << 24
+
+
+def ahead_of_join(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``column`` may be among ``keys`` (one column): all that are, and few others.
+
+    One bit for each hash of a key, in FILTER_BITS bits; that table of fixed size is broadcast, so
+    that a join with few keys needn't shuffle all rows. With very many keys it lets more rows
+    through, and the join that follows stays right.
+    """
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    key = keys.select(place(F.col(keys.columns[0])).alias("p"))
+    bits = key.groupBy(F.bitmap_bucket_number("p").alias("filter_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("filter_bits"))
+    found = rows.withColumn("filter_place", place(F.col(column)))
+    found = found.join(F.broadcast(bits), F.bitmap_bucket_number("filter_place") == F.col("filter_bucket"))
+    at = F.bitmap_bit_position("filter_place").cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("filter_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, at % 8) == 1).select(*rows.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import fingerprint, mixing, packing, tokencount, toxicity
+from seqloom.llm import fingerprint, minhash, mixing, packing, tokencount, toxicity
 from seqloom.llm.common import prepare, table
 
 
@@ -42,6 +42,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    prepare(spark)
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that sources meet their target weights."""
     prepare(spark)
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
+    "op8_near_duplicates": op8_near_duplicates,
     "op10_mix_sources": op10_mix_sources,
 }
 
