@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import fingerprint, minhash, mixing, packing, tokencount, toxicity
-from seqloom.llm.common import prepare, table
+from seqloom.llm import fingerprint, linededup, minhash, mixing, packing, tokencount, toxicity
+from seqloom.llm.common import document_key, prepare, table
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,22 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document its lines that repeat an earlier line, and how many earlier documents it is linked with."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    removed = linededup.removed_lines(docs)
+    lines = docs.select("doc_id", document_key().alias("doc"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
+    none = F.array().cast("array<int>")
+    return lines.join(removed, "doc", "left").select(
+        "doc_id", "n_lines",
+        F.coalesce("removed_lines", none).alias("removed_lines"),
+        F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
+        F.coalesce("linked_docs", F.array().cast("array<bigint>")).alias("linked_docs"),
+        F.coalesce(F.size("linked_docs"), F.lit(0)).alias("n_links"),
+    )
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken from each document so that sources meet their target weights."""
     prepare(spark)
@@ -103,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
