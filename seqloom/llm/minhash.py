@@ -27,10 +27,10 @@ Weights = tuple[np.ndarray, int]
 
 
 def idf_table(counts: np.ndarray, documents: int) -> np.ndarray:
-    """For each counter the weight 1 + log(N / df) / log N, between 1 and 2."""
+    """For each counter the weight 1 + log(N / df) / (2 log N), between 1 and 1.5: rare shingles count more, none dominates."""
     n = max(documents, 2)
     df = np.clip(counts, 1, n)
-    return (1.0 + np.log(n / df) / np.log(n)).astype(np.float32)
+    return (1.0 + np.log(n / df) / (2 * np.log(n))).astype(np.float32)
 
 
 class Sampler:
