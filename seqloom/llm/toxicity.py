@@ -158,17 +158,19 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
     if len({y for _, y in rows}) < 2:
         return Model({}, 1.0, 1.0, 1.0, constant)
     toxic, clean_counts, totals = Counter(), Counter(), [0, 0]
-    words_of = {text: set(tokens(text)) for text, _ in rows}
     for text, y in rows:
-        totals[y] += len(words_of[text])
         if y:
-            toxic.update({u for w in words_of[text] for u in units(w)})
+            words = set(tokens(text))
+            totals[1] += len(words)
+            toxic.update({u for w in words for u in units(w)})
     wanted = {u for u, k in toxic.items() if k >= LEAST_DOCUMENTS}
     known = _Memory(lambda w: [u for u in units(w) if u in wanted])
     for text, y in rows:
         if not y:
-            clean_counts.update({u for w in words_of[text] for u in known[w]})
-    del words_of
+            words = set(tokens(text))
+            totals[0] += len(words)
+            clean_counts.update({u for w in words for u in known[w]})
+    known.clear()
     odds = {u: x for u, x in _log_odds(toxic, clean_counts, *totals[::-1]).items() if x[1] >= LEAST_Z and x[0] > 0}
     top = sorted(odds, key=lambda w: (-odds[w][1], w))[:FIT_TOKENS]
     scores = {w: min(odds[w][0], MOST_SCORE) for w in top}
