@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
@@ -20,8 +20,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 #: Steps of weight that the sampling tells apart, and draws prepared for each sample.
 STEPS, DRAWS = 128, 1 << 13
-#: Buckets up to this many texts are compared pair by pair; larger ones by rounds of leaders.
-SMALL_BUCKET = 8
+#: Buckets up to this many texts are compared pair by pair; larger ones by rounds of leaders, so many times as many in each.
+SMALL_BUCKET, LEADERS = 8, 4
 
 Weights = tuple[np.ndarray, int]
 
@@ -179,9 +179,9 @@ def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: floa
     """Verified links ``a, b, likeness`` between different texts that share a band, enough to connect all of them.
 
     A small bucket is compared pair by pair. In a larger one every text is compared with the
-    bucket's least text, its leader; texts that are not like it are a smaller bucket with a
-    leader of their own, and so on, until all are small. Two texts with different leaders may
-    still be alike: those pairs are compared too, unless their distances d from a common leader
+    bucket's least text, its leader; texts that are not like it are a smaller bucket with
+    leaders of their own, LEADERS times as many in each round, until all are small. Two texts
+    of which only one is like a leader may still be alike: those pairs are compared too, unless their distances d from a common leader
     differ by more than 1 - threshold, which the triangle inequality of the weighted Jaccard
     distance rules out, or the texts are already connected.
     """
@@ -205,30 +205,33 @@ def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: floa
     while True:
         small = open_.where(F.col("n") <= SMALL_BUCKET)
         large = open_.where(F.col("n") > SMALL_BUCKET)
-        leaders = large.groupBy("bucket").agg(F.min("key").alias("leader"))
-        stars = stash(large.join(leaders, "bucket").where("key <> leader").select("bucket", F.col("leader").alias("a"), F.col("key").alias("b"), F.lit(round_).alias("round")), "stars")
-        candidates = pairs_within(small).union(stars.select("a", "b")).distinct()
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
+        leaders = large.withColumn("place", place).where(F.col("place") <= LEADERS**round_).select("bucket", F.col("key").alias("leader"))
+        stars = stash(large.join(leaders, "bucket").where("key <> leader").select("bucket", "leader", "key"), "stars")
+        ends = [F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")]
+        candidates = pairs_within(small).union(stars.select(*ends)).distinct()
         if done is not None:
             candidates = candidates.join(done, ["a", "b"], "left_anti")
         found = verified(candidates, texts, idf)
         done = stash(found if done is None else done.unionByName(found), "compared")
         if stars.isEmpty():
             break
-        near = stars.join(done, ["a", "b"]).select("bucket", F.col("a").alias("leader"), F.col("b").alias("key"), "likeness", "round")
+        near = stars.select("bucket", "leader", "key", *ends).join(done, ["a", "b"]).select("bucket", "leader", "key", "likeness")
         led = stash(near if led is None else led.unionByName(near), "led")
-        rest = led.where(F.col("round") == round_).where(F.col("likeness") < threshold).select("bucket", "key")
+        settled = near.where(F.col("likeness") >= threshold).select("bucket", "key").union(leaders.select("bucket", F.col("leader").alias("key")))
+        rest = large.select("bucket", "key").join(settled.distinct(), ["bucket", "key"], "left_anti")
         n = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         open_ = stash(rest.join(n, "bucket").select("bucket", "key", "n"), "open")
         round_ += 1
     if led is not None:
         roots = components(done.where(F.col("likeness") >= threshold).select("a", "b"))
         placed = led.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # Only rounds whose texts are in different components, and only pairs that the round has parted.
-        mixed = placed.groupBy("bucket", "round").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "round")
-        placed = placed.join(mixed, ["bucket", "round"])
-        x = placed.where(F.col("likeness") >= threshold).select("bucket", "round", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("likeness").alias("lx"))
-        y = placed.where(F.col("likeness") < threshold).select("bucket", "round", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("likeness").alias("ly"))
-        border = x.join(y, ["bucket", "round"]).where((F.col("rx") != F.col("ry")) & (F.col("lx") - F.col("ly") <= 1.0 - threshold + 1e-9))
+        # Only leaders whose texts are in different components, and only pairs that the leader has parted.
+        mixed = placed.groupBy("bucket", "leader").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "leader")
+        placed = placed.join(mixed, ["bucket", "leader"])
+        x = placed.where(F.col("likeness") >= threshold).select("bucket", "leader", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("likeness").alias("lx"))
+        y = placed.where(F.col("likeness") < threshold).select("bucket", "leader", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("likeness").alias("ly"))
+        border = x.join(y, ["bucket", "leader"]).where((F.col("rx") != F.col("ry")) & (F.col("lx") - F.col("ly") <= 1.0 - threshold + 1e-9))
         border = border.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         done = stash(done.unionByName(verified(border, texts, idf)), "compared")
     return done.where(F.col("likeness") >= threshold)
