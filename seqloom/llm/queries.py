@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import fingerprint, linededup, minhash, mixing, packing, tokencount, toxicity
+from seqloom.llm import ann, fingerprint, linededup, minhash, mixing, packing, tokencount, toxicity
 from seqloom.llm.common import document_key, prepare, table
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows, by inner product, of every vector whose id is divisible by 20."""
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = ann.search(rows, "vec_id", "embedding", rows.where(F.col("vec_id") % 20 == 0), k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in as few sequences of 2048 as the packing finds."""
     prepare(spark)
@@ -114,6 +122,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest_vectors": op1_nearest_vectors,
     "op3_pack_sequences": op3_pack_sequences,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
