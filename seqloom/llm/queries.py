@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, fingerprint, linededup, minhash, mixing, packing, tokencount, toxicity
+from seqloom.llm import ann, fingerprint, linededup, minhash, mixing, packing, tokencount, toxicity, urls
 from seqloom.llm.common import document_key, prepare, table
 
 
@@ -25,6 +25,18 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, or else by the template it belongs to.
+
+    A page is labelled bad where the label of the same number says toxic or not of quality.
+    """
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0).alias("bad")
+    )
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely each whole document is labelled toxic."""
     prepare(spark)
@@ -124,6 +136,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op3_pack_sequences": op3_pack_sequences,
+    "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
     "op6_token_counts": op6_token_counts,
     "op7_fingerprints": op7_fingerprints,
