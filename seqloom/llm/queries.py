@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, fingerprint, linededup, minhash, mixing, packing, tokencount, toxicity, urls
+from seqloom.llm import ann, fingerprint, linededup, lm, minhash, mixing, packing, tokencount, toxicity, urls
 from seqloom.llm.common import document_key, prepare, table
 
 
@@ -19,6 +19,12 @@ def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language model's and the base's log10 probability of every document."""
+    prepare(spark)
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in as few sequences of 2048 as the packing finds."""
     prepare(spark)
@@ -135,6 +141,7 @@ FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": op1_nearest_vectors,
+    "op2_lm_scores": op2_lm_scores,
     "op3_pack_sequences": op3_pack_sequences,
     "op4_url_filter": op4_url_filter,
     "op5_toxicity": op5_toxicity,
