@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
@@ -20,10 +20,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 12, 3
 #: Steps of weight that the sampling tells apart, and draws prepared for each sample.
 STEPS, DRAWS = 128, 1 << 13
-#: Buckets up to this many texts are compared pair by pair; larger ones by rounds of leaders, so many times as many in each.
-SMALL_BUCKET, LEADERS = 8, 4
-
-Weights = tuple[np.ndarray, int]
+#: Rounds in which each text of a bucket is compared with one text, the leader.
+LEADER_ROUNDS = 3
+#: Bits of a parity sketch; there is one for light shingles and one for those of at least HEAVY weight.
+PARITY_BITS, HEAVY = 512, 1.25
 
 
 def idf_table(counts: np.ndarray, documents: int) -> np.ndarray:
@@ -117,8 +117,21 @@ def weigh(idf: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
     return np.maximum.reduce([idf[a] for a in at]) * (1.0 + np.log(times)).astype(np.float32)
 
 
+def parities(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row, one bit for each of PARITY_BITS classes of light shingles and of heavy ones: whether it has an odd number of them."""
+    rows = len(first) - 1
+    row = np.repeat(np.arange(rows), np.diff(first))
+    at = row * (2 * PARITY_BITS) + np.where(weights >= HEAVY, PARITY_BITS, 0) + ((hashes >> np.uint64(7)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=rows * 2 * PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, -1), axis=1)
+
+
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``key, doc_id, words, bands`` of every row: key is the text's md5, bands one hash for each band (none without words)."""
+    """``key, doc_id, words, bands, parity, weight`` of every row.
+
+    ``key`` is the text's md5, ``bands`` one hash for each band (none without words), ``parity``
+    and ``weight`` are what ``across`` rules out pairs by.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,12 +140,17 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             bands = np.zeros((batch.num_rows, BANDS), np.uint64)
             words = np.zeros(batch.num_rows, np.int64)
+            weight = np.zeros(batch.num_rows)
+            parity: list[bytes] = []
             for first_row, last_row, found, at in hashed_runs(batch.column(2)):
                 words[first_row:last_row] = np.diff(at)
                 hashes, times, first = _sets(*shingle_hashes(found, at, SHINGLE))
                 full = np.flatnonzero(np.diff(first))
+                weights = weigh(idf, hashes, times)
+                parity += [p.tobytes() for p in parities(hashes, weights, first)]
+                weight[first_row:last_row] = np.diff(np.concatenate(([0], np.cumsum(weights, dtype=np.float64)))[first])
                 if len(full):
-                    made = sampler.signatures(hashes, sampler.steps(weigh(idf, hashes, times)), first[full])
+                    made = sampler.signatures(hashes, sampler.steps(weights), first[full])
                     seed = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     band = np.broadcast_to(seed, (len(full), BANDS)).copy()
                     for k in range(ROWS):
@@ -140,10 +158,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                     bands[first_row + full] = band
             offsets = np.concatenate(([0], np.cumsum(np.where(words > 0, BANDS, 0))))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(bands[words > 0].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words), lists], names=["key", "doc_id", "words", "bands"])
+            columns = [batch.column(0), batch.column(1), pa.array(words), lists, pa.array(parity, pa.binary()), pa.array(weight)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "words", "bands", "parity", "weight"])
 
     rows = docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"), document_key().alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(sample, "key binary, doc_id long, words long, bands array<long>")
+    return rows.mapInArrow(sample, "key binary, doc_id long, words long, bands array<long>, parity binary, weight double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,66 +194,88 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return joined.mapInArrow(compare, "a binary, b binary, likeness double")
 
 
+def across(members: DataFrame, threshold: float) -> DataFrame:
+    """``a, b``: the pairs of each bucket that are in different components and can be as like as ``threshold``.
+
+    ``members`` has ``bucket, key, root, parity, weight``. With S the weights of both texts
+    together and D those of the shingles that only one has, likeness is at most (S - D) / (S + D),
+    and D is at least the number of parity bits in which they differ, each light one weighing 1
+    and each heavy one HEAVY. So no pair that is alike is ruled out.
+    """
+    bound = (1 - threshold) / (1 + threshold)
+
+    def whole(keys: list[bytes], roots: np.ndarray, parity: np.ndarray, weight: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        for i in range(1, len(keys)):
+            other = np.flatnonzero(roots[:i] != roots[i])
+            if len(other):
+                odd = np.bitwise_count(parity[other] ^ parity[i]).astype(np.float64)
+                half = odd.shape[1] // 2
+                apart = odd[:, :half].sum(1) + HEAVY * odd[:, half:].sum(1)
+                for j in other[apart <= bound * (weight[other] + weight[i]) + 1e-3]:
+                    yield min(keys[i], keys[j]), max(keys[i], keys[j])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[bytes, bytes]] = []
+        held: list[tuple] = []
+
+        def flush() -> None:
+            if len(held) > 1:
+                _, roots = np.unique(np.array([h[2] for h in held], dtype=object), return_inverse=True)
+                parity = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
+                made.extend(whole([h[1] for h in held], roots, parity, np.array([h[4] for h in held])))
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                if held and held[0][0] != row[0]:
+                    flush()
+                    held = []
+                held.append(row)
+            while len(made) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made[:4096]], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                del made[:4096]
+        flush()
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    rows = members.select("bucket", "key", "root", "parity", "weight").repartition("bucket").sortWithinPartitions("bucket")
+    return rows.mapInArrow(pairs, "a binary, b binary")
+
+
 def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """Verified links ``a, b, likeness`` between different texts that share a band, enough to connect all of them.
 
-    A small bucket is compared pair by pair. In a larger one every text is compared with the
-    bucket's least text, its leader; texts that are not like it are a smaller bucket with
-    leaders of their own, LEADERS times as many in each round, until all are small. Two texts
-    of which only one is like a leader may still be alike: those pairs are compared too, unless their distances d from a common leader
-    differ by more than 1 - threshold, which the triangle inequality of the weighted Jaccard
-    distance rules out, or the texts are already connected.
+    Each text of a bucket is compared with the bucket's leader, the text whose buckets are the
+    largest, since the centre of a cloud of near copies shares most bands with the others. Texts
+    that are not like it have a leader of their own in the next of LEADER_ROUNDS rounds. So a
+    bucket of one or a few groups is settled in as many comparisons as it has texts. Then every
+    pair of a bucket that is not yet connected is looked at, and compared unless its parity
+    sketches rule it out (see ``across``).
     """
     members = distinct.select("key", F.posexplode("bands").alias("band", "value"))
     sizes = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = stash(members.join(sizes, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "key", "n"), "buckets")
-    wanted = members.select("key").distinct()
+    wanted = stash(members.groupBy("key").agg(F.sum("n").alias("reach")).join(distinct.select("key", "doc_id", "parity", "weight"), "key"), "bucket-keys")
     # One document for each text that is in a bucket; the rest of the corpus is not moved.
-    chosen = distinct.select("key", "doc_id").join(wanted, "key", "left_semi")
-    rows = docs.select(document_key().alias("doc_id"), text_or_empty().alias("text"))
-    rows = ahead_of_join(rows, "doc_id", chosen.select("doc_id"))
-    texts = rows.join(chosen.select("doc_id", F.col("key").alias("of")), "doc_id").withColumn("key", F.unhex(F.md5("text"))).where("key = of").dropDuplicates(["key"]).select("key", "text")
+    rows = ahead_of_join(docs.select(document_key().alias("doc_id"), text_or_empty().alias("text")), "doc_id", wanted.select("doc_id"))
+    texts = rows.join(wanted.select("doc_id", F.col("key").alias("of")), "doc_id").withColumn("key", F.unhex(F.md5("text"))).where("key = of").dropDuplicates(["key"]).select("key", "text")
     texts = stash(texts, "bucket-texts")
-
-    def pairs_within(rows: DataFrame) -> DataFrame:
-        other = rows.select("bucket", F.col("key").alias("b"))
-        return rows.select("bucket", F.col("key").alias("a")).join(other, "bucket").where("a < b").select("a", "b")
-
-    open_, done, round_ = members, None, 0
-    led: DataFrame | None = None
-    while True:
-        small = open_.where(F.col("n") <= SMALL_BUCKET)
-        large = open_.where(F.col("n") > SMALL_BUCKET)
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        leaders = large.withColumn("place", place).where(F.col("place") <= LEADERS**round_).select("bucket", F.col("key").alias("leader"))
-        stars = stash(large.join(leaders, "bucket").where("key <> leader").select("bucket", "leader", "key"), "stars")
-        ends = [F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")]
-        candidates = pairs_within(small).union(stars.select(*ends)).distinct()
+    open_, done = members.select("bucket", "key").join(wanted.select("key", "reach"), "key"), None
+    for _ in range(LEADER_ROUNDS):
+        leaders = open_.groupBy("bucket").agg(F.max_by("key", F.struct("reach", "key")).alias("leader"))
+        stars = open_.join(leaders, "bucket").where("key <> leader").select("bucket", "key", "reach", F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
+        stars = stash(stars, "stars")
+        candidates = stars.select("a", "b").distinct()
         if done is not None:
             candidates = candidates.join(done, ["a", "b"], "left_anti")
         found = verified(candidates, texts, idf)
         done = stash(found if done is None else done.unionByName(found), "compared")
-        if stars.isEmpty():
-            break
-        near = stars.select("bucket", "leader", "key", *ends).join(done, ["a", "b"]).select("bucket", "leader", "key", "likeness")
-        led = stash(near if led is None else led.unionByName(near), "led")
-        settled = near.where(F.col("likeness") >= threshold).select("bucket", "key").union(leaders.select("bucket", F.col("leader").alias("key")))
-        rest = large.select("bucket", "key").join(settled.distinct(), ["bucket", "key"], "left_anti")
-        n = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        open_ = stash(rest.join(n, "bucket").select("bucket", "key", "n"), "open")
-        round_ += 1
-    if led is not None:
-        roots = components(done.where(F.col("likeness") >= threshold).select("a", "b"))
-        placed = led.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        # Only leaders whose texts are in different components, and only pairs that the leader has parted.
-        mixed = placed.groupBy("bucket", "leader").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket", "leader")
-        placed = placed.join(mixed, ["bucket", "leader"])
-        x = placed.where(F.col("likeness") >= threshold).select("bucket", "leader", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("likeness").alias("lx"))
-        y = placed.where(F.col("likeness") < threshold).select("bucket", "leader", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("likeness").alias("ly"))
-        border = x.join(y, ["bucket", "leader"]).where((F.col("rx") != F.col("ry")) & (F.col("lx") - F.col("ly") <= 1.0 - threshold + 1e-9))
-        border = border.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        done = stash(done.unionByName(verified(border, texts, idf)), "compared")
-    return done.where(F.col("likeness") >= threshold)
+        near = done.where(F.col("likeness") >= threshold).select("a", "b")
+        open_ = stash(stars.join(near, ["a", "b"], "left_anti").select("bucket", "key", "reach"), "open")
+    roots = components(done.where(F.col("likeness") >= threshold).select("a", "b")).withColumnRenamed("node", "key")
+    placed = members.select("bucket", "key").join(wanted.select("key", "parity", "weight"), "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+    rest = across(placed.join(mixed, "bucket"), threshold).distinct().join(done, ["a", "b"], "left_anti")
+    return stash(done.unionByName(verified(rest, texts, idf)), "compared").where(F.col("likeness") >= threshold)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,7 +290,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     idf = idf_table(document_counts(docs), docs.count())
     rows = stash(signatures(docs, idf), "signatures")
-    distinct = stash(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")), "distinct")
+    distinct = stash(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bands", "parity", "weight")]), "distinct")
     roots = components(links(docs, distinct, idf, threshold).select("a", "b"))
     labelled = distinct.select("key", "doc_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sums = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
