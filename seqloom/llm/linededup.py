@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
-from seqloom.llm.common import FILTER_BITS, ahead_of_join, document_key, stash, text_or_empty
-from seqloom.llm.textcols import bytes_of, mix, runs, word_hashes
+from seqloom.llm.common import ahead_of_join, document_key, stash, text_or_empty
+from seqloom.llm.textcols import bytes_of, hashed_runs, mix, runs, word_hashes
 
 #: Jaccard similarity of lines, as a fraction, so that all bounds are exact integers.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Distinct words a line needs to be compared at all.
 LEAST_WORDS = 5
 #: Candidates that a line names at once for one token; the others are tried if none of these is a match.
-AT_ONCE = 4
+AT_ONCE = 1
 #: Lines with one token that a task holds, about; a commoner token's lines are dealt to several tasks.
 BLOCK_LINES = 100_000
 #: Groups up to this many lines are compared at all distances at once.
@@ -52,17 +52,19 @@ def line_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         at, _, hashes = word_hashes(part, cuts)
         line = np.searchsorted(starts, at, "right") - 1
         # Of lines that start at the same byte (empty rows, or a feed at a row's end) the last one is found, which is the right one.
-        packed = np.unique((line.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+        packed = np.sort((line.astype(np.uint64) << np.uint64(44)) | (hashes >> np.uint64(20)))
+        if len(packed):
+            packed = packed[np.append(True, packed[1:] != packed[:-1])]
         begin = np.searchsorted(packed, np.arange(len(starts) + 1, dtype=np.uint64) << np.uint64(44))
         yield first, row_of, number, mix(packed & np.uint64((1 << 44) - 1)), begin, np.diff(begin)
 
 
-def line_counts(docs: DataFrame) -> np.ndarray:
-    """In how many lines of all documents each word occurs."""
+def word_frequencies(docs: DataFrame) -> np.ndarray:
+    """How often each word occurs in all documents."""
 
     def hashes(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, _, words, begin, sizes in line_words(column):
-            yield words[np.repeat(sizes >= LEAST_WORDS, sizes)]
+        for _, _, words, _ in hashed_runs(column):
+            yield mix(words >> np.uint64(20))
 
     return frequency.count(docs, F.col("text"), hashes)
 
@@ -100,11 +102,11 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 token = (_rarity(seen) << np.uint64(_HASH_BITS)) | (words >> np.uint64(64 - _HASH_BITS))
                 # Distinct words of one line, rarest first; 20 bits of line, 44 of token.
-                order = np.argsort((line << np.uint64(_HASH_BITS + _RARITY_BITS)) | token)
+                ordered = np.sort((line << np.uint64(_HASH_BITS + _RARITY_BITS)) | token) & np.uint64((1 << (_HASH_BITS + _RARITY_BITS)) - 1)
                 position = np.arange(len(words)) - np.repeat(start[:-1], n)
                 length = n - needed_of_own(n) + 1
-                used = (position < np.repeat(length, n)) & (seen[order] > 1)
-                prefix = (token[order][used] << np.uint64(_POSITION_BITS)) | np.minimum(position[used], (1 << _POSITION_BITS) - 1).astype(np.uint64)
+                used = (position < np.repeat(length, n)) & (ordered >> np.uint64(_HASH_BITS) > 0)  # rarity 0: occurs once
+                prefix = (ordered[used] << np.uint64(_POSITION_BITS)) | np.minimum(position[used], (1 << _POSITION_BITS) - 1).astype(np.uint64)
                 offsets = np.concatenate(([0], np.cumsum(used)))[start]
                 signed = lambda x: pa.array(x.view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -165,33 +167,37 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
         inside = np.arange(len(group)) - bounds[:-1][group]
 
         def good(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Which of the pairs pass; the parity filter comes first, since it turns away nearly all."""
+            odd = np.bitwise_count(parity[x] ^ parity[y])
+            near = np.flatnonzero(odd <= (n[x] + n[y]) // (NUMERATOR + DENOMINATOR) + 1)
+            x, y = x[near], y[near]
             same = (cols["doc"][x] == cols["doc"][y]) & (cols["line"][x] == cols["line"][y])
-            return _passing(n[x], n[y], p[x], p[y], parity[x], parity[y]) & ~same & (~across[x] | (side[x] != side[y]))
+            return near[_passing(n[x], n[y], p[x], p[y], parity[x], parity[y]) & ~same & (~across[x] | (side[x] != side[y]))]
 
         xs, ys = [], []
-        small = (sizes <= SMALL_GROUP)[group] & cols["open"]
-        for back in range(1, int(min(sizes.max(initial=0), SMALL_GROUP))):
-            x = np.flatnonzero(small & (inside >= back))
-            if not len(x):
-                break
-            ok = good(x, x - back)
-            xs.append(x[ok])
-            ys.append(x[ok] - back)
+        x = np.flatnonzero((sizes <= SMALL_GROUP)[group] & cols["open"])
+        back = 0
+        while len(x):
+            back += 1
+            x = x[inside[x] >= back]
+            ok = x[good(x, x - back)]
+            xs.append(ok)
+            ys.append(ok - back)
         if xs and sum(map(len, xs)):
             yield emit(np.concatenate(xs), np.concatenate(ys), cols)
         for g in np.flatnonzero(sizes > SMALL_GROUP):
             low, high = int(bounds[g]), int(bounds[g + 1])
-            step = max(1, 500_000 // (high - low))
+            step = max(1, 200_000 // (high - low))
             rows = low + np.flatnonzero(cols["open"][low:high])
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
-                x = np.repeat(part, part - low)
-                y = np.concatenate([np.arange(low, r) for r in part]) if len(x) else x
-                # The parity filter alone first: it turns away nearly all.
-                close = np.flatnonzero(np.bitwise_count(parity[x] ^ parity[y]) <= n[x] + n[y] - 2 * needed(n[x], n[y]))
-                x, y = x[close], y[close]
+                end = int(part[-1])
+                odd = np.bitwise_count(parity[part][:, None] ^ parity[None, low:end])
+                near = (odd <= (n[part][:, None] + n[None, low:end]) // (NUMERATOR + DENOMINATOR) + 1) & (np.arange(low, end) < part[:, None])
+                at, y = np.nonzero(near)
+                x, y = part[at], y + low
                 ok = good(x, y)
-                if ok.any():
+                if len(ok):
                     yield emit(x[ok], y[ok], cols)
 
     names = ["token", "i", "j", "side", "doc", "line", "words", "position", "parity", "open"]
@@ -247,54 +253,32 @@ def prefix_rows(firsts: DataFrame) -> DataFrame:
     )
 
 
-def line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``doc, line, set`` (sorted word hashes) of the lines ``wanted`` (doc, line), and of few others.
+def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, line, words`` (the line's text) of the lines ``wanted`` (doc, line)."""
+    lines = docs.select(document_key().alias("doc"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line", "words"))
+    lines = lines.withColumn("at", F.xxhash64("doc", "line"))
+    lines = ahead_of_join(lines, "at", wanted.select(F.xxhash64("doc", "line").alias("at")))
+    return lines.drop("at").join(wanted.distinct(), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
 
-    Which lines are wanted is sent to the tasks as one bit for each of FILTER_BITS hashes, a table of fixed size.
-    """
-    spark = docs.sparkSession
-    place = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS // 64)) * 64 + F.pmod(F.col("line"), F.lit(64)) + 1
-    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
-    # Bucket numbers count from 1 and hold as many bits as their pieces have.
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in bits.collect():
-        piece = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["b"] - 1) * len(piece)
-        table[at : at + len(piece)] |= piece
-    sent = spark.sparkContext.broadcast(table)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            slots = batch.column(1).to_numpy(zero_copy_only=False)
-            for first, row_of, number, words, begin, sizes in line_words(batch.column(2)):
-                bit = slots[first + row_of] * 64 + number % 64
-                hit = np.flatnonzero((sizes >= LEAST_WORDS) & ((table[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool))
-                if not len(hit):
-                    continue
-                n = sizes[hit]
-                start = np.concatenate(([0], np.cumsum(n)))
-                at = np.repeat(begin[hit] - start[:-1], n) + np.arange(start[-1])
-                # Sorted by hash within a line, as words of one line are by their 44 bits, and sorting again after mixing.
-                row = np.repeat(np.arange(len(hit)), n)
-                held = words[at].view(np.int64)
-                held = held[np.lexsort((held, row))]
-                lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(held))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first + row_of[hit]]), pa.array(number[hit].astype(np.int32)), lists], names=["doc", "line", "set"])
-
-    slot = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS // 64))
-    base = docs.select(document_key().alias("doc"), text_or_empty().alias("text")).select("doc", slot.alias("slot"), "text")
-    return base.mapInArrow(rows, "doc long, line int, set array<long>").join(wanted.distinct(), ["doc", "line"], "left_semi").dropDuplicates(["doc", "line"])
 
-
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The ``pairs`` whose lines have a Jaccard similarity of at least 4/5, compared word by word."""
-    x = sets.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("set").alias("x_set"))
-    y = sets.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("set").alias("y_set"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for k, (x, y) in enumerate(zip(batch.column(4).cast(pa.binary()).to_pylist(), batch.column(5).cast(pa.binary()).to_pylist())):
+                a, b = set(x.lower().split()), set(y.lower().split())
+                shared = len(a & b)
+                if shared * (NUMERATOR + DENOMINATOR) >= (len(a) + len(b)) * NUMERATOR:
+                    kept.append(k)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).take(pa.array(kept, pa.int64()))
+
+    x = texts.select(F.col("doc").alias("x_doc"), F.col("line").alias("x_line"), F.col("words").alias("x_words"))
+    y = texts.select(F.col("doc").alias("y_doc"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
     joined = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-    shared = F.size(F.array_intersect("x_set", "y_set"))
-    return joined.where(shared * (NUMERATOR + DENOMINATOR) >= (F.size("x_set") + F.size("y_set")) * NUMERATOR).select(*pairs.columns)
+    rows = joined.select("x_doc", "x_line", "y_doc", "y_line", "x_words", "y_words")
+    return rows.mapInArrow(compare, "x_doc long, x_line int, y_doc long, y_line int")
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
@@ -305,7 +289,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
     candidate, their earliest. Exact: prefix, positional, length and parity filters only turn away
     pairs that cannot be similar.
     """
-    lines = stash(line_table(docs, line_counts(docs)), "lines")
+    lines = stash(line_table(docs, word_frequencies(docs)), "lines")
     sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity", "prefix")).alias("first"))
     sets = stash(sets.select("k1", "k2", "n", "first.*"), "line-sets")
     prefixes = prefix_rows(sets)
@@ -313,7 +297,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line"))
-        matched = similar(pairs, line_sets(docs, wanted))
+        matched = similar(pairs, line_texts(docs, wanted))
         return matched.groupBy("x_doc", "x_line").agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select("x_doc", "x_line", "y.*")
 
     matches = stash(check(found.select("x_doc", "x_line", "y_doc", "y_line")), "matches")
@@ -321,7 +305,10 @@ def later_copies(docs: DataFrame) -> DataFrame:
     left = stash(found.where("more").select("x_doc", "x_line").distinct().join(matches, ["x_doc", "x_line"], "left_anti"), "untried")
     if not left.isEmpty():
         mark = left.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("open"))
-        again = prefixes.join(mark, ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        # Only words of these lines' prefixes matter now.
+        tokens = prefixes.join(mark, ["doc", "line"], "left_semi").select("token").distinct()
+        few = ahead_of_join(prefixes, "token", tokens).join(tokens, "token", "left_semi")
+        again = few.join(mark, ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
         rest = candidates(again, None).select("x_doc", "x_line", "y_doc", "y_line").distinct()
         rest = stash(rest.join(found, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "pairs")
         matches = matches.unionByName(check(rest))
