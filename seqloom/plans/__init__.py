@@ -5,11 +5,11 @@ from __future__ import annotations
 
 def all_queries() -> tuple[dict, dict]:
     """Queries by name, and the SQL of those that SQL can express."""
-    from seqloom.plans import member_queries
+    from seqloom.plans import cluster_queries, member_queries, sequence_queries
 
     found: dict = {}
     sql: dict = {}
-    for module in (member_queries,):
+    for module in (member_queries, sequence_queries, cluster_queries):
         found |= module.QUERIES
         sql |= module.ORACLE_SQL
     return found, sql
