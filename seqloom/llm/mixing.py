@@ -32,6 +32,7 @@ def source_targets(sizes: DataFrame, share: float, weights: Sequence[int], most_
     ordered by size over weight reach that stop in that order, so one pass over running sums
     finds the level. This sorts one row for each source, not documents.
     """
+    # Beyond the first source that does not stop, the level computed for each row falls.
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     picks = F.array(*[F.lit(float(w)) for w in weights])
     rows = sizes.withColumn("weight", F.element_at(picks, ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, share: float, weights: Sequence[int], most_
         .withColumn("left", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("total") * F.lit(float(share)) - F.col("stopped")) / F.col("left"))
         .withColumn("full", F.col("stop") <= F.col("weight") * F.col("level"))
-        .withColumn("open", F.min(F.when(~F.col("full"), F.col("level"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("open", F.max(F.when(~F.col("full"), F.col("level"))).over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     )
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("stop")).otherwise(F.col("weight") * F.col("open")).alias("target"))
 

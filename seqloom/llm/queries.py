@@ -126,7 +126,7 @@ WITH base AS (
 ), targets AS (
   SELECT source, source_size,
          CASE WHEN stop <= weight * level THEN stop
-              ELSE weight * min(level) FILTER (WHERE stop > weight * level) OVER () END AS target
+              ELSE weight * max(level) FILTER (WHERE stop > weight * level) OVER () END AS target
   FROM levels
 ), budgets AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM targets
