@@ -98,7 +98,7 @@ def _ranges(docs: DataFrame) -> Column:
             F.transform(
                 F.array(F.size(F.filter(lows, lambda b: b <= F.col("doc_id")))),
                 lambda k: (k - 1) * each
-                + F.least(F.lit(each - 1), F.floor((F.col("doc_id").cast("double") - F.element_at(lows, k)) / (F.element_at(highs, k).cast("double") - F.element_at(lows, k)) * each)),
+                + F.least(F.lit(each - 1), F.floor((F.col("doc_id").cast("double") - F.get(lows, k - 1)) / (F.get(highs, k - 1).cast("double") - F.get(lows, k - 1)) * each)),
             ),
             1,
         ),
