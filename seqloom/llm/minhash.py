@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
-from seqloom.llm.common import ahead_of_join, document_key, stash, text_or_empty
+from seqloom.llm.common import WORD_PATTERN, ahead_of_join, document_key, stash, text_or_empty
 from seqloom.llm.components import components
 from seqloom.llm.textcols import hashed_runs, mix, shingle_hashes
 
@@ -26,6 +26,11 @@ LEADER_ROUNDS = 3
 PARITY_BITS, HEAVY = 512, 1.25
 
 
+def wordy() -> Column:
+    """The text; empty where it is null or has no word, so that all such texts are the same."""
+    return F.when(F.col("text").rlike(WORD_PATTERN), F.col("text")).otherwise(F.lit(""))
+
+
 def idf_table(counts: np.ndarray, documents: int) -> np.ndarray:
     """For each counter the weight 1 + log(N / df) / (2 log N), between 1 and 1.5: rare shingles count more, none dominates."""
     n = max(documents, 2)
@@ -161,7 +166,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
             columns = [batch.column(0), batch.column(1), pa.array(words), lists, pa.array(parity, pa.binary()), pa.array(weight)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "words", "bands", "parity", "weight"])
 
-    rows = docs.select(F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key"), document_key().alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.unhex(F.md5(wordy())).alias("key"), document_key().alias("doc_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(sample, "key binary, doc_id long, words long, bands array<long>, parity binary, weight double")
 
 
@@ -256,7 +261,7 @@ def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: floa
     members = stash(members.join(sizes, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "key", "n"), "buckets")
     wanted = stash(members.groupBy("key").agg(F.sum("n").alias("reach")).join(distinct.select("key", "doc_id", "parity", "weight"), "key"), "bucket-keys")
     # One document for each text that is in a bucket; the rest of the corpus is not moved.
-    rows = ahead_of_join(docs.select(document_key().alias("doc_id"), text_or_empty().alias("text")), "doc_id", wanted.select("doc_id"))
+    rows = ahead_of_join(docs.select(document_key().alias("doc_id"), wordy().alias("text")), "doc_id", wanted.select("doc_id"))
     texts = rows.join(wanted.select("doc_id", F.col("key").alias("of")), "doc_id").withColumn("key", F.unhex(F.md5("text"))).where("key = of").dropDuplicates(["key"]).select("key", "text")
     texts = stash(texts, "bucket-texts")
     open_, done = members.select("bucket", "key").join(wanted.select("key", "reach"), "key"), None
@@ -285,7 +290,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts whose TF-IDF shingles have a weighted Jaccard similarity of at least ``threshold``;
     ``copies`` counts rows with the very same text, ``class_size`` rows of the class. Shingles are
     five words, A-Z taken as a-z; a text of fewer words is one shingle. Null text counts as
-    empty, and empty texts are copies of each other. A null doc_id is replaced by a hash of the
+    empty, and texts without words are copies of each other. A null doc_id is replaced by a hash of the
     text, as in ``common.document_key``. Repeated rows get the same class.
     """
     idf = idf_table(document_counts(docs), docs.count())
