@@ -12,12 +12,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_CLUSTER = Window.partitionBy("cluster_no")
 #: Length that a representative counts as when members are ordered.
 REP_LENGTH = 99_999_999
 
 
+def by_cluster() -> WindowSpec:
+    return Window.partitionBy("cluster_no")
+
+
 def sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("cluster_no").agg(F.count(F.lit(1)).alias("size"))
 
@@ -38,7 +42,7 @@ def size_histogram(members: DataFrame, step: int) -> DataFrame:
 
 def select_size(members: DataFrame, least: int, most: int) -> DataFrame:
     """Members of the clusters whose size is in the range."""
-    return members.withColumn("size", F.count(F.lit(1)).over(BY_CLUSTER)).where(F.col("size").between(least, most)).drop("size")
+    return members.withColumn("size", F.count(F.lit(1)).over(by_cluster())).where(F.col("size").between(least, most)).drop("size")
 
 
 def representatives(members: DataFrame) -> DataFrame:
@@ -54,10 +58,10 @@ def select_rep(members: DataFrame, least: int, most: int) -> DataFrame:
 
 def member_report(members: DataFrame) -> DataFrame:
     """``id, cluster_no, size, len, rep_flag, iden, coverage`` with coverage the whole percent of the representative's length, and ``place``: representatives first, then longest."""
-    rep_len = F.max(F.when(F.col("is_rep"), F.col("len"))).over(BY_CLUSTER)
-    place = F.row_number().over(BY_CLUSTER.orderBy(F.desc("is_rep"), F.desc("len"), "member_pos")) - 1
+    rep_len = F.max(F.when(F.col("is_rep"), F.col("len"))).over(by_cluster())
+    place = F.row_number().over(by_cluster().orderBy(F.desc("is_rep"), F.desc("len"), "member_pos")) - 1
     return members.select(
-        "id", "cluster_no", F.count(F.lit(1)).over(BY_CLUSTER).alias("size"), "len", F.col("is_rep").cast("int").alias("rep_flag"),
+        "id", "cluster_no", F.count(F.lit(1)).over(by_cluster()).alias("size"), "len", F.col("is_rep").cast("int").alias("rep_flag"),
         F.when(F.col("is_rep"), "100%").otherwise(F.col("iden")).alias("iden"),
         F.concat((F.col("len").cast("double") / rep_len * 100).cast("long").cast("string"), F.lit("%")).alias("coverage"),
         place.cast("int").alias("place"),
@@ -69,12 +73,12 @@ def cut_top(members: DataFrame, n: int) -> DataFrame:
 
     Until the representative has been met one place is held for it.
     """
-    so_far = BY_CLUSTER.orderBy("member_pos").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = by_cluster().orderBy("member_pos").rowsBetween(Window.unboundedPreceding, -1)
     others = F.coalesce(F.sum((~F.col("is_rep")).cast("long")).over(so_far), F.lit(0))
     met = F.coalesce(F.max(F.col("is_rep").cast("int")).over(so_far), F.lit(0))
     # Kept before the representative are at most n - 1 others, so after it the count of others kept is capped there.
-    before = F.coalesce(F.sum(F.when(F.col("member_pos") < F.col("rep_pos"), 1).otherwise(0)).over(BY_CLUSTER), F.lit(0))
-    rows = members.withColumn("rep_pos", F.min(F.when(F.col("is_rep"), F.col("member_pos"))).over(BY_CLUSTER))
+    before = F.coalesce(F.sum(F.when(F.col("member_pos") < F.col("rep_pos"), 1).otherwise(0)).over(by_cluster()), F.lit(0))
+    rows = members.withColumn("rep_pos", F.min(F.when(F.col("is_rep"), F.col("member_pos"))).over(by_cluster()))
     rows = rows.withColumn("lost", F.greatest(F.lit(0), before - F.lit(n - 1))).withColumn("others", others).withColumn("met", met)
     keep = F.col("is_rep") | F.when(F.col("met") == 0, F.col("others") < n - 1).otherwise(F.col("others") - F.col("lost") < n - 1)
     return rows.where(keep).select(*members.columns)
@@ -82,7 +86,7 @@ def cut_top(members: DataFrame, n: int) -> DataFrame:
 
 def beyond_top(members: DataFrame, n: int) -> DataFrame:
     """Ids that are not among the first ``n`` of their cluster, representatives counted first (the last one foremost)."""
-    order = BY_CLUSTER.orderBy(F.desc("is_rep"), F.when(F.col("is_rep"), -F.col("member_pos")).otherwise(F.col("member_pos")))
+    order = by_cluster().orderBy(F.desc("is_rep"), F.when(F.col("is_rep"), -F.col("member_pos")).otherwise(F.col("member_pos")))
     return members.withColumn("place", F.row_number().over(order)).where(F.col("place") > n).select("id")
 
 
@@ -113,7 +117,7 @@ def renumber(members: DataFrame) -> DataFrame:
     """Clusters and members numbered from 0 without gaps; ``old_cluster_no`` keeps the old number."""
     numbers = members.select("cluster_no").distinct().withColumn("new_no", F.row_number().over(Window.orderBy("cluster_no")).cast("long") - 1)
     rows = members.join(numbers, "cluster_no")
-    place = (F.row_number().over(BY_CLUSTER.orderBy("member_pos")) - 1).cast("int")
+    place = (F.row_number().over(by_cluster().orderBy("member_pos")) - 1).cast("int")
     return rows.withColumn("member_pos", place).select(
         F.col("new_no").alias("cluster_no"), *[c for c in members.columns if c != "cluster_no"], F.col("cluster_no").alias("old_cluster_no")
     )
@@ -136,7 +140,7 @@ def sort_members(members: DataFrame, by: str) -> DataFrame:
         order = [F.desc("is_rep"), F.desc(F.regexp_replace("iden", "%", "").cast("double"))]
     else:
         order = [F.desc("is_rep"), F.asc("id")]
-    place = (F.row_number().over(BY_CLUSTER.orderBy(*order, "member_pos")) - 1).cast("int")
+    place = (F.row_number().over(by_cluster().orderBy(*order, "member_pos")) - 1).cast("int")
     return members.withColumn("member_pos", place)
 
 
@@ -207,7 +211,7 @@ def merge_by_rep(master: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:
         of = representatives(part).where("rep_id IS NOT NULL").select(F.col("cluster_no").alias("part_no"), "rep_id")
         rows = part.withColumnRenamed("cluster_no", "part_no").where(~F.col("is_rep")).join(of, "part_no").join(reps, "rep_id").withColumn("part", F.lit(k))
         added = rows if added is None else added.unionByName(rows)
-    place = (F.col("size") + F.row_number().over(BY_CLUSTER.orderBy("part", "part_no", "member_pos")) - 1).cast("int")
+    place = (F.col("size") + F.row_number().over(by_cluster().orderBy("part", "part_no", "member_pos")) - 1).cast("int")
     added = added.withColumn("member_pos", place).select(*master.columns)
     return merged.unionByName(added)
 
@@ -243,7 +247,7 @@ def expand(fine: DataFrame, coarse: DataFrame) -> DataFrame:
         "cluster_no", "member_pos", F.coalesce("fine_pos", F.lit(0)).alias("fine_pos"), F.coalesce("fine_id", "id").alias("id"), F.coalesce("fine_len", "len").alias("len"),
         (F.col("is_rep") & F.coalesce("fine_rep", F.lit(True))).alias("is_rep"), F.when(F.col("fine_id").isNull(), F.col("iden")).otherwise(under).alias("iden"),
     )
-    place = (F.row_number().over(BY_CLUSTER.orderBy("member_pos", "fine_pos")) - 1).cast("int")
+    place = (F.row_number().over(by_cluster().orderBy("member_pos", "fine_pos")) - 1).cast("int")
     return rows.withColumn("place", place).select("cluster_no", F.col("place").alias("member_pos"), "id", "len", "is_rep", "iden")
 
 
