@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
@@ -25,6 +25,8 @@ BLOCK_LINES = 100_000
 SMALL_GROUP = 48
 
 _HASH_BITS, _RARITY_BITS, _POSITION_BITS = 36, 8, 16
+#: Flags in a prefix row's size: the line is open; it is of the second of two blocks.
+_OPEN, _SIDE = 62, 61
 
 
 def needed(n: np.ndarray | int, m: np.ndarray | int):
@@ -74,12 +76,12 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity, prefix``.
+    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity1, parity2, prefix``.
 
     k1 and k2 stand for the set of words. ``prefix`` has the line's rarest words, as many as a
     similar line cannot all lack, each as rarity, hash and position in one number, but none that
-    occurs in no other line. ``parity`` has, for each of 64 classes of words, whether the line
-    holds an odd number of them.
+    occurs in no other line. The parities have, for each of 128 classes of words, whether the
+    line holds an odd number of them.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
 
@@ -97,7 +99,8 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 start = np.concatenate(([0], np.cumsum(n)))
                 k1 = np.add.reduceat(mix(words ^ np.uint64(0xA0761D6478BD642F)), start[:-1])
                 k2 = np.add.reduceat(mix(words ^ np.uint64(0xE7037ED1A0B428DB)), start[:-1])
-                parity = np.bitwise_xor.reduceat(np.uint64(1) << (words & np.uint64(63)), start[:-1])
+                bit, half = np.uint64(1) << (words & np.uint64(63)), (words >> np.uint64(6) & np.uint64(1)).astype(bool)
+                parity1, parity2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), start[:-1]) for k in (False, True))
                 seen = frequency.counts_of(table, words)
                 line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 token = (_rarity(seen) << np.uint64(_HASH_BITS)) | (words >> np.uint64(64 - _HASH_BITS))
@@ -112,12 +115,12 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         signed(k1), signed(k2), pa.array(keys[first + row_of[kept]]), pa.array(number[kept].astype(np.int32)), pa.array(n.astype(np.int32)),
-                        signed(parity), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(prefix)),
+                        signed(parity1), signed(parity2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(prefix)),
                     ],
-                    names=["k1", "k2", "doc", "line", "words", "parity", "prefix"],
+                    names=["k1", "k2", "doc", "line", "words", "parity1", "parity2", "prefix"],
                 )
 
-    schema = "k1 long, k2 long, doc long, line int, words int, parity long, prefix array<long>"
+    schema = "k1 long, k2 long, doc long, line int, words int, parity1 long, parity2 long, prefix array<long>"
     return docs.select(document_key().alias("key"), text_or_empty().alias("text")).mapInArrow(rows, schema)
 
 
@@ -126,22 +129,13 @@ def needed_of_own(n: np.ndarray) -> np.ndarray:
     return -((-NUMERATOR * n) // DENOMINATOR)
 
 
-def _passing(n: np.ndarray, m: np.ndarray, p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether lines of n and m words, with a shared token at positions p and q and parities a and b, can be similar."""
-    least = needed(n, m)
-    return (
-        (DENOMINATOR * np.minimum(n, m) >= NUMERATOR * np.maximum(n, m))
-        & (1 + np.minimum(n - p, m - q) - 1 >= least - np.minimum(p, q))
-        & (np.bitwise_count(a ^ b).astype(np.int64) <= n + m - 2 * least)
-    )
-
-
 def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
-    """``x_doc, x_line, y_doc, y_line, more`` from rows ``token, i, j, side, doc, line, words, position, parity, open``.
+    """``x_doc, x_line, y_doc, y_line, more`` from the rows of ``prefix_rows``.
 
-    Rows come grouped by (token, i, j), in order of (doc, line). For each open line x the earlier
-    lines y of the group that pass the length, positional and parity filters are given: the
-    ``at_once`` earliest, and then ``more`` says whether there are others; all of them if None.
+    Rows come grouped by token and pair of blocks, in order of (doc, line). For each open line x
+    the earlier lines y of the group that pass the length, positional and parity filters are
+    given: the ``at_once`` earliest, and then ``more`` says whether there are others; all of them
+    if None.
     """
 
     def emit(x: np.ndarray, y: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -160,62 +154,74 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
         )
 
     def whole_groups(cols: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, p, parity, side = cols["words"].astype(np.int64), cols["position"].astype(np.int64), cols["parity"].view(np.uint64), cols["side"]
-        across = cols["i"] != cols["j"]
+        first, second = cols["parity1"].view(np.uint64), cols["parity2"].view(np.uint64)
+        open_, side = (cols["size"] >> _OPEN & 1).astype(bool), cols["size"] >> _SIDE & 1
+        n, p = cols["size"] >> _POSITION_BITS & (1 << 32) - 1, cols["size"] & (1 << _POSITION_BITS) - 1
+        across = (cols["blocks"] >> 32) != (cols["blocks"] & (1 << 32) - 1)
+        bound = n.astype(np.int32)
         sizes = np.diff(bounds)
         group = np.repeat(np.arange(len(sizes)), sizes)
         inside = np.arange(len(group)) - bounds[:-1][group]
 
-        def good(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            """Which of the pairs pass; the parity filter comes first, since it turns away nearly all."""
-            odd = np.bitwise_count(parity[x] ^ parity[y])
-            near = np.flatnonzero(odd <= (n[x] + n[y]) // (NUMERATOR + DENOMINATOR) + 1)
-            x, y = x[near], y[near]
+        def good(x: np.ndarray, y: np.ndarray, odd: np.ndarray) -> np.ndarray:
+            """Which of the pairs, of parities that differ in ``odd`` bits, can be similar: sizes, room after the shared token, parities."""
+            least = needed(n[x], n[y])
             same = (cols["doc"][x] == cols["doc"][y]) & (cols["line"][x] == cols["line"][y])
-            return near[_passing(n[x], n[y], p[x], p[y], parity[x], parity[y]) & ~same & (~across[x] | (side[x] != side[y]))]
+            return (
+                (odd <= n[x] + n[y] - 2 * least) & (DENOMINATOR * np.minimum(n[x], n[y]) >= NUMERATOR * np.maximum(n[x], n[y]))
+                & (np.minimum(n[x] - p[x], n[y] - p[y]) + np.minimum(p[x], p[y]) >= least) & ~same & (~across[x] | (side[x] != side[y]))
+            )
+
+        def filtered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The parity filter first, since it turns away nearly all."""
+            odd = np.bitwise_count(first[x] ^ first[y]).astype(np.int32) + np.bitwise_count(second[x] ^ second[y])
+            near = np.flatnonzero(odd * (NUMERATOR + DENOMINATOR) <= bound[x] + bound[y])
+            x, y = x[near], y[near]
+            ok = good(x, y, odd[near])
+            return x[ok], y[ok]
 
-        xs, ys = [], []
-        x = np.flatnonzero((sizes <= SMALL_GROUP)[group] & cols["open"])
+        found = []
+        x = np.flatnonzero((sizes <= SMALL_GROUP)[group] & open_)
         back = 0
         while len(x):
             back += 1
             x = x[inside[x] >= back]
-            ok = x[good(x, x - back)]
-            xs.append(ok)
-            ys.append(ok - back)
-        if xs and sum(map(len, xs)):
-            yield emit(np.concatenate(xs), np.concatenate(ys), cols)
+            found.append(filtered(x, x - back))
+        if found and sum(len(f[0]) for f in found):
+            yield emit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), cols)
         for g in np.flatnonzero(sizes > SMALL_GROUP):
             low, high = int(bounds[g]), int(bounds[g + 1])
             step = max(1, 200_000 // (high - low))
-            rows = low + np.flatnonzero(cols["open"][low:high])
+            rows = low + np.flatnonzero(open_[low:high])
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 end = int(part[-1])
-                odd = np.bitwise_count(parity[part][:, None] ^ parity[None, low:end])
-                near = (odd <= (n[part][:, None] + n[None, low:end]) // (NUMERATOR + DENOMINATOR) + 1) & (np.arange(low, end) < part[:, None])
+                odd = np.bitwise_count(first[part][:, None] ^ first[None, low:end]) + np.bitwise_count(second[part][:, None] ^ second[None, low:end])
+                near = (odd.astype(np.int32) * (NUMERATOR + DENOMINATOR) <= bound[part][:, None] + bound[None, low:end]) & (np.arange(low, end) < part[:, None])
                 at, y = np.nonzero(near)
-                x, y = part[at], y + low
-                ok = good(x, y)
-                if len(ok):
-                    yield emit(x[ok], y[ok], cols)
+                x, y = filtered(part[at], y + low)
+                if len(x):
+                    yield emit(x, y, cols)
 
-    names = ["token", "i", "j", "side", "doc", "line", "words", "position", "parity", "open"]
+    names = ["token", "blocks", "doc", "line", "size", "parity1", "parity2"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
 
         def run(cols: dict[str, np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
-            key = np.stack([cols["token"], cols["i"].astype(np.int64), cols["j"].astype(np.int64)])
-            new = np.flatnonzero(np.any(key[:, 1:] != key[:, :-1], axis=0)) + 1
-            bounds = np.concatenate(([0], new, [key.shape[1]]))
+            token, blocks = cols["token"], cols["blocks"]
+            new = np.flatnonzero((token[1:] != token[:-1]) | (blocks[1:] != blocks[:-1])) + 1
+            bounds = np.concatenate(([0], new, [len(token)]))
             if not last:
                 bounds = bounds[:-1]
             end = int(bounds[-1])
             held = {c: v[end:] for c, v in cols.items()}
             if len(bounds) > 1:
-                yield from whole_groups({c: v[:end] for c, v in cols.items()}, bounds)
+                # Groups of one line have no pairs.
+                sizes = np.diff(bounds)
+                kept = np.repeat(sizes > 1, sizes)
+                yield from whole_groups({c: v[:end][kept] for c, v in cols.items()}, np.concatenate(([0], np.cumsum(sizes[sizes > 1]))))
 
         waiting: list[dict[str, np.ndarray]] = []
         for batch in batches:
@@ -228,29 +234,30 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
         if rest and sum(len(w["token"]) for w in rest):
             yield from run({c: np.concatenate([w[c] for w in rest]) for c in names}, True)
 
-    rows = prefixes.select(*names).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "doc", "line")
+    rows = prefixes.select(*names).repartition("token", "blocks").sortWithinPartitions("token", "blocks", "doc", "line")
     return rows.mapInArrow(pairs, "x_doc long, x_line int, y_doc long, y_line int, more boolean")
 
 
-def prefix_rows(firsts: DataFrame) -> DataFrame:
-    """The rows that ``candidates`` takes, one for each word of a prefix.
+def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
+    """``token, blocks, doc, line, size, parity1, parity2``, one row for each word of a prefix.
 
-    The lines of a word that occurs in more than BLOCK_LINES lines are dealt to blocks, and each
-    pair of blocks is a group of its own, so that no task holds all of them.
+    ``size`` has the number of words, the word's position and two flags: whether the line is open
+    (``opened``, all if None) and which of two blocks it is of. The lines of a word that occurs in
+    more than BLOCK_LINES lines are dealt to blocks, and each pair of ``blocks`` is a group of its
+    own, so that no task holds all of them.
     """
-    rows = firsts.select("doc", "line", "words", "parity", F.explode("prefix").alias("packed"))
-    token = F.shiftrightunsigned("packed", _POSITION_BITS)
+    flag = F.lit(1 << _OPEN) if opened is None else F.when(opened, F.lit(1 << _OPEN)).otherwise(F.lit(0).cast("long"))
+    rows = lines.select("doc", "line", "words", "parity1", "parity2", flag.alias("flag"), F.explode("prefix").alias("packed"))
     rarity = F.shiftrightunsigned("packed", _POSITION_BITS + _HASH_BITS).cast("double")
-    rows = rows.select(
-        "doc", "line", "words", "parity", token.alias("token"),
-        F.col("packed").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)).cast("int").alias("position"),
-        F.ceil(F.pow(F.lit(2.0), rarity / 4) / BLOCK_LINES).cast("int").alias("blocks"),
-    )
-    rows = rows.withColumn("side", F.pmod(F.xxhash64("doc", "line"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parts = F.ceil(F.pow(F.lit(2.0), rarity / 4) / BLOCK_LINES)
+    rows = rows.withColumn("parts", parts).withColumn("own", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    size = F.shiftleft(F.col("words").cast("long"), _POSITION_BITS) + F.col("packed").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)) + F.col("flag")
+    size = size + F.when(F.col("own") <= F.col("other"), F.lit(0).cast("long")).otherwise(F.lit(1 << _SIDE))
     return rows.select(
-        "token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "doc", "line", "words", "position", "parity"
-    )
+        F.shiftrightunsigned("packed", _POSITION_BITS).alias("token"), (F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")).alias("blocks"),
+        "doc", "line", size.alias("size"), "parity1", "parity2",
+    )
 
 
 def line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -290,10 +297,9 @@ def later_copies(docs: DataFrame) -> DataFrame:
     pairs that cannot be similar.
     """
     lines = stash(line_table(docs, word_frequencies(docs)), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity", "prefix")).alias("first"))
+    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "prefix")).alias("first"))
     sets = stash(sets.select("k1", "k2", "n", "first.*"), "line-sets")
-    prefixes = prefix_rows(sets)
-    found = stash(candidates(prefixes.withColumn("open", F.lit(True)), AT_ONCE).groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
+    found = stash(candidates(prefix_rows(sets), AT_ONCE).groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line"))
@@ -306,9 +312,9 @@ def later_copies(docs: DataFrame) -> DataFrame:
     if not left.isEmpty():
         mark = left.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("open"))
         # Only words of these lines' prefixes matter now.
-        tokens = prefixes.join(mark, ["doc", "line"], "left_semi").select("token").distinct()
-        few = ahead_of_join(prefixes, "token", tokens).join(tokens, "token", "left_semi")
-        again = few.join(mark, ["doc", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        tokens = prefix_rows(sets.join(mark.select("doc", "line"), ["doc", "line"], "left_semi")).select("token").distinct()
+        marked = sets.join(mark, ["doc", "line"], "left")
+        again = ahead_of_join(prefix_rows(marked, F.col("open").isNotNull()), "token", tokens).join(tokens, "token", "left_semi")
         rest = candidates(again, None).select("x_doc", "x_line", "y_doc", "y_line").distinct()
         rest = stash(rest.join(found, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "pairs")
         matches = matches.unionByName(check(rest))
