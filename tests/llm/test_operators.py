@@ -390,7 +390,18 @@ def test_model_is_a_distribution_and_batches_agree():
     assert np.allclose(model.score(flat, cut), alone, rtol=1e-4)
 
 
-def test_lm_scores(spark):
+def test_words_of_slices():
+    texts = pa.array([None, "Ünï A\x85b", *made_texts(30), ""])
+    for low in (0, 1, 7):
+        flat, row = lm.words_of(texts.slice(low, 20))
+        want = [(w.decode(), k) for k, t in enumerate(texts.slice(low, 20).to_pylist()) for w in (t or "").encode().lower().split()]
+        assert list(zip(flat.to_pylist(), row.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("chunk,bucket", [(1 << 30, 1 << 30), (2000, 1500)])
+def test_lm_scores(spark, monkeypatch, chunk, bucket):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket)
     docs, rows = documents(spark, n=80)
     got = lm.score(docs).collect()
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, *_ in rows}
