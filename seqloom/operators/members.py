@@ -309,3 +309,20 @@ def paired_kept(pairs: DataFrame, members: DataFrame) -> DataFrame:
     one = pairs.join(reps, F.col("id_1") == F.col("rep"), "left").withColumnRenamed("rep", "rep_1")
     both = one.join(reps, F.col("id_2") == F.col("rep"), "left")
     return both.where("rep IS NOT NULL OR rep_1 IS NOT NULL").select(*pairs.columns)
+
+
+def screen_members(references: DataFrame, matches: DataFrame) -> DataFrame:
+    """``cluster_no, member_pos, idx, is_rep``: each reference (``seq_idx``), in order, is a cluster; queries matched to it stand below by index."""
+    numbers = references.select("seq_idx", (F.row_number().over(Window.orderBy("seq_idx")) - 1).cast("long").alias("cluster_no"))
+    own = numbers.select("cluster_no", F.lit(0).alias("member_pos"), F.col("seq_idx").alias("idx"), F.lit(True).alias("is_rep"))
+    below = matches.join(numbers.withColumnRenamed("seq_idx", "r_idx"), "r_idx")
+    place = F.row_number().over(by_cluster().orderBy("q_idx")).cast("int")
+    return own.unionByName(below.select("cluster_no", place.alias("member_pos"), F.col("q_idx").alias("idx"), F.lit(False).alias("is_rep")))
+
+
+def rolled_up(table: DataFrame) -> DataFrame:
+    """``level, cid, size, children``: ids below each node of a hierarchy, and its nodes on the level below (ids on the first)."""
+    sizes = table.groupBy("level", "cid").agg(F.count(F.lit(1)).alias("size"))
+    below = table.select("id", (F.col("level") + 1).alias("level"), F.col("cid").alias("child"))
+    nodes = table.where("level > 1").join(below, ["id", "level"]).groupBy("level", "cid").agg(F.countDistinct("child").alias("n"))
+    return sizes.join(nodes, ["level", "cid"], "left").select("level", "cid", "size", F.coalesce("n", F.col("size")).alias("children"))

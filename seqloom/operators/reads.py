@@ -135,3 +135,20 @@ def link_statistics(contigs: DataFrame) -> DataFrame:
     return contigs.groupBy("mismatch_no").agg(
         F.countDistinct("read_idx").alias("pairs"), F.count(F.lit(1)).alias("contigs"), F.min("overlap").alias("least_overlap"), F.max("overlap").alias("most_overlap")
     )
+
+
+def paired_sequences(pairs: DataFrame, letters: int) -> DataFrame:
+    """``seq_idx, seq, len``: the first ``letters`` of both mates in one string, short ones filled up with N."""
+    both = F.concat(*[F.rpad(F.substring(c, 1, letters), letters, "N") for c in ("seq_1", "seq_2")])
+    return pairs.select(F.col("read_idx").alias("seq_idx"), both.alias("seq")).withColumn("len", F.length("seq"))
+
+
+def described_abundance(description: Column) -> Column:
+    """The number after the last ``_abundance_`` of a description, 1 without one."""
+    found = F.regexp_extract(description, r"_abundance_(\d+)", 1)
+    return F.when(found == "", 1).otherwise(found.cast("long")).cast("long")
+
+
+def abundance_split(abundances: DataFrame, cutoff: int) -> DataFrame:
+    """One row ``at_least, below``: clusters whose abundance reaches the cutoff, and the others."""
+    return abundances.agg(F.count_if(F.col("abundance") >= cutoff).alias("at_least"), F.count_if(F.col("abundance") < cutoff).alias("below"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import letters as L
+from seqloom.operators import members as M
 from seqloom.operators import reads as R
 from seqloom.operators import words as W
 
@@ -110,6 +111,11 @@ QUERIES = {
     "zip_pairs": lambda s, d: R.mates(turns(s, d, 0), turns(s, d, 1)),
     "linked_reads": lambda s, d: R.link_reads(R.mates(turns(s, d, 0), turns(s, d, 1)), 4, 1),
     "link_statistics": lambda s, d: R.link_statistics(R.link_reads(R.mates(turns(s, d, 0), turns(s, d, 1)), 4, 1)),
+    "paired_duplicates": lambda s, d: R.exact_duplicates(R.paired_sequences(R.mates(turns(s, d, 0), turns(s, d, 1)), 3)),
+    "described_abundance": lambda s, d: documents(s, d).select("doc_id", R.described_abundance(F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("_abundance_"), F.col("n_chars").cast("string"))).otherwise("")))
+                                                         .alias("abundance")),
+    "abundance_split": lambda s, d: R.abundance_split(R.exact_duplicates(letters(s, d)).groupBy("rep_idx").agg(F.max("abundance").alias("abundance")), 2),
+    "membership_2d": lambda s, d: M.screen_members(benchmark(s, d, 100), W.candidate_pairs(letters(s, d, 100), benchmark(s, d, 100), 4, 0.8, same=False).where("look_rank = 1")),
     "identity_text": lambda s, d: letters(s, d).select("seq_idx", L.two_decimals((F.col("len") / F.lit(200.0)).cast("float")).alias("identity")),
 }
 
@@ -152,5 +158,15 @@ one AS (SELECT q.seq_idx AS q_idx, r.seq_idx AS r_idx, strand, max(q.m) AS m FRO
 two AS (SELECT q.seq_idx AS q_idx, r.seq_idx AS r_idx, strand, max(q.m) AS m FROM q JOIN r ON q.m = r.m AND substr(q.seq, q.len - q.m + 1, q.m) = substr(r.seq, 1, q.m) AND {_EARLIER} GROUP BY 1, 2, 3)
 SELECT q_idx, r_idx, 1 AS phase, CAST(m AS INT) AS overlap, strand FROM one UNION ALL SELECT q_idx, r_idx, 2, CAST(m AS INT), strand FROM two""",
     "zip_pairs": f"{_MATES} SELECT a.read_idx, a.seq AS seq_1, b.seq AS seq_2 FROM t a JOIN t b USING (read_idx) WHERE a.turn = 0 AND b.turn = 1",
+    "paired_duplicates": f"""{_MATES}, p AS (SELECT a.read_idx AS seq_idx, rpad(substr(a.seq, 1, 3), 3, 'N') || rpad(substr(b.seq, 1, 3), 3, 'N') AS seq FROM t a JOIN t b USING (read_idx) WHERE a.turn = 0 AND b.turn = 1)
+SELECT seq_idx, min(seq_idx) OVER (PARTITION BY seq) AS rep_idx, count(*) OVER (PARTITION BY seq) AS abundance FROM p""",
+    "described_abundance": "SELECT doc_id, CASE WHEN doc_id % 3 != 0 THEN n_chars ELSE 1 END AS abundance FROM documents",
+    "abundance_split": f"{_L}, g AS (SELECT seq, count(*) AS n FROM letters GROUP BY 1) SELECT count(*) FILTER (n >= 2) AS at_least, count(*) FILTER (n < 2) AS below FROM g",
+    "membership_2d": f"""WITH {_letters_sql('letters', 100)}, {_letters_sql('items', 100, table='benchmark', key='item_id')}, {_words_sql('letters', 'qc', 4)}, {_words_sql('items', 'rc', 4)},
+j AS (SELECT c.*, CAST(coalesce(sum(n) OVER (PARTITION BY c.seq_idx ORDER BY word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS j0 FROM qc c),
+s AS (SELECT j.seq_idx AS q_idx, rc.seq_idx AS r_idx, CAST(sum(least(j.n, rc.n)) AS BIGINT) AS shared, min(j0) AS look_pos FROM j JOIN rc USING (word) GROUP BY 1, 2), need AS (SELECT seq_idx, len, {_required_sql(4, 0.8)} FROM letters),
+m AS (SELECT q_idx, r_idx, row_number() OVER (PARTITION BY q_idx ORDER BY look_pos, items.len DESC, r_idx) AS k FROM s JOIN need ON need.seq_idx = q_idx JOIN items ON items.seq_idx = r_idx WHERE shared >= words AND need.len - 3 - look_pos + 1 >= words),
+c AS (SELECT seq_idx, row_number() OVER (ORDER BY seq_idx) - 1 AS cluster_no FROM items)
+SELECT cluster_no, 0 AS member_pos, seq_idx AS idx, true AS is_rep FROM c UNION ALL SELECT cluster_no, CAST(row_number() OVER (PARTITION BY cluster_no ORDER BY q_idx) AS INT), q_idx, false FROM m JOIN c ON c.seq_idx = r_idx WHERE k = 1""",
     "identity_text": f"""{_L} SELECT seq_idx, printf('%.2f', CAST(CAST(CAST(len / 200.0::DOUBLE AS FLOAT) * CAST(100 AS FLOAT) AS FLOAT) AS DOUBLE)) AS identity FROM letters""",
 }
