@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from seqloom.operators import cluster as C
-from seqloom.operators.verify import BONUS, UNIT, Scoring, align, diagonal_test, encode
+from seqloom.operators.verify import BONUS, UNIT, Limits, Scoring, align, diagonal_test, encode, limited
 
 PROTEIN = "ARNDCQEGHILKMFPSTWYV"
 ORDER = {letter: k for k, letter in enumerate(PROTEIN)}
@@ -118,6 +118,20 @@ def test_alignment_and_diagonals(kind):
     assert align(qs, rs, np.array(bands), scoring)[:, 0].tolist() == want
 
 
+def test_alignment_details():
+    scoring = Scoring.protein()
+    q, r = "ACDEFGHIKLMNPQRSTVWY", "ACDEFGHIKWWWLMNPQRSTVWA"
+    same, columns, q_from, q_to, r_from, r_to, unequal, gaps = align([encode(q, scoring)], [encode(r, scoring)], np.array([[-1, 0, 4]]), scoring)[0]
+    assert (same, q_from, q_to, r_from, r_to, unequal, gaps) == (19, 0, 19, 0, 22, 1, 1) and columns == 23
+
+
+def test_limits(spark):
+    rows = spark.createDataFrame([(10, 20, 0, 9, 5, 14, 0.1), (10, 20, 2, 6, 0, 4, 0.1)], "q_len int, r_len int, q_from long, q_to long, r_from long, r_to long, distance float")
+    pick = lambda **k: [r["q_from"] for r in limited(rows, Limits(**k)).collect()]
+    assert pick() == [0, 2] and pick(query_share=0.6) == [0] and pick(reference_share=0.5) == [0] and pick(query_left=5) == [0, 2]
+    assert pick(unmatched=0) == [0] and pick(unmatched=3) == [0, 2] and pick(most_distance=0.05) == [] and pick(least=11) == [] and pick(shortest=0.6) == []
+
+
 def test_score_matrix_is_symmetric_and_known():
     m = Scoring.protein().matrix
     assert all(m[i][j] == m[j][i] for i in range(21) for j in range(21))
