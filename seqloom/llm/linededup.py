@@ -17,8 +17,10 @@ from seqloom.llm.textcols import bytes_of, hashed_runs, mix, runs, word_hashes
 NUMERATOR, DENOMINATOR = 4, 5
 #: Distinct words a line needs to be compared at all.
 LEAST_WORDS = 5
-#: Candidates that a line names at once for one token; the others are tried if none of these is a match.
-AT_ONCE = 1
+#: Candidates that a line names for one token: the closest, which is tried first, and so many in all.
+LISTED = 64
+#: Words above which a line has finer parities.
+LONG = 120
 #: Lines with one token that a task holds, about; a commoner token's lines are dealt to several tasks.
 BLOCK_LINES = 100_000
 #: Groups up to this many lines are compared at all distances at once.
@@ -76,12 +78,12 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity1, parity2, prefix``.
+    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity1 to parity4, prefix``.
 
     k1 and k2 stand for the set of words. ``prefix`` has the line's rarest words, as many as a
     similar line cannot all lack, each as rarity, hash and position in one number, but none that
-    occurs in no other line. The parities have, for each of 128 classes of words, whether the
-    line holds an odd number of them.
+    occurs in no other line. The first two parities have, for each of 128 classes of words, whether
+    the line holds an odd number of them; for long lines the others split each class in two.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
 
@@ -99,8 +101,10 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 start = np.concatenate(([0], np.cumsum(n)))
                 k1 = np.add.reduceat(mix(words ^ np.uint64(0xA0761D6478BD642F)), start[:-1])
                 k2 = np.add.reduceat(mix(words ^ np.uint64(0xE7037ED1A0B428DB)), start[:-1])
-                bit, half = np.uint64(1) << (words & np.uint64(63)), (words >> np.uint64(6) & np.uint64(1)).astype(bool)
-                parity1, parity2 = (np.bitwise_xor.reduceat(np.where(half == k, bit, np.uint64(0)), start[:-1]) for k in (False, True))
+                bit, class_ = np.uint64(1) << (words & np.uint64(63)), words >> np.uint64(6) & np.uint64(3)
+                fine = [np.bitwise_xor.reduceat(np.where(class_ == np.uint64(k), bit, np.uint64(0)), start[:-1]) for k in range(4)]
+                folded = [fine[0] ^ fine[2], fine[1] ^ fine[3]]
+                parities = [*folded, *[np.where(n > LONG, f, np.uint64(0)) for f in fine[2:]]]
                 seen = frequency.counts_of(table, words)
                 line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 token = (_rarity(seen) << np.uint64(_HASH_BITS)) | (words >> np.uint64(64 - _HASH_BITS))
@@ -115,12 +119,12 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         signed(k1), signed(k2), pa.array(keys[first + row_of[kept]]), pa.array(number[kept].astype(np.int32)), pa.array(n.astype(np.int32)),
-                        signed(parity1), signed(parity2), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(prefix)),
+                        *map(signed, parities), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(prefix)),
                     ],
-                    names=["k1", "k2", "doc", "line", "words", "parity1", "parity2", "prefix"],
+                    names=["k1", "k2", "doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "prefix"],
                 )
 
-    schema = "k1 long, k2 long, doc long, line int, words int, parity1 long, parity2 long, prefix array<long>"
+    schema = "k1 long, k2 long, doc long, line int, words int, parity1 long, parity2 long, parity3 long, parity4 long, prefix array<long>"
     return docs.select(document_key().alias("key"), text_or_empty().alias("text")).mapInArrow(rows, schema)
 
 
@@ -129,32 +133,35 @@ def needed_of_own(n: np.ndarray) -> np.ndarray:
     return -((-NUMERATOR * n) // DENOMINATOR)
 
 
-def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
-    """``x_doc, x_line, y_doc, y_line, more`` from the rows of ``prefix_rows``.
+def candidates(prefixes: DataFrame, listed: int | None) -> DataFrame:
+    """``x_doc, x_line, y_doc, y_line, docs, lines, beyond`` from the rows of ``prefix_rows``.
 
-    Rows come grouped by token and pair of blocks, in order of (doc, line). For each open line x
-    the earlier lines y of the group that pass the length, positional and parity filters are
-    given: the ``at_once`` earliest, and then ``more`` says whether there are others; all of them
-    if None.
+    Rows come grouped by token and pair of blocks, in order of (doc, line). Each open line x that
+    has earlier lines in its group which pass the length, positional and parity filters gives one
+    row: y is the one whose parities are closest, ``docs`` and ``lines`` are the others, up to
+    ``listed`` in all, and ``beyond`` says whether there are more (never, if None).
     """
 
-    def emit(x: np.ndarray, y: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
-        """Pairs sorted by x then y, cut to the earliest of each x."""
-        order = np.lexsort((y, x))
+    def emit(x: np.ndarray, y: np.ndarray, odd: np.ndarray, cols: dict[str, np.ndarray]) -> pa.RecordBatch:
+        order = np.lexsort((y, odd, x))
         x, y = x[order], y[order]
-        rank = np.arange(len(x)) - np.searchsorted(x, x)
-        many = np.searchsorted(x, x, "right") - np.searchsorted(x, x)
-        if at_once is not None:
-            kept = rank < at_once
-            x, y, many = x[kept], y[kept], many[kept]
-        more = many > at_once if at_once is not None else np.zeros(len(x), bool)
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        many = np.diff(np.append(first, len(x)))
+        rank = np.arange(len(x)) - np.repeat(first, many)
+        other = (rank > 0) & (rank < (listed or len(x) + 1))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(other)))[np.append(first, len(x))], pa.int32())
+        best, rest = y[first], y[other]
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols["doc"][x]), pa.array(cols["line"][x]), pa.array(cols["doc"][y]), pa.array(cols["line"][y]), pa.array(more)],
-            names=["x_doc", "x_line", "y_doc", "y_line", "more"],
-        )
+            [
+                pa.array(cols["doc"][x[first]]), pa.array(cols["line"][x[first]]), pa.array(cols["doc"][best]), pa.array(cols["line"][best]),
+                pa.ListArray.from_arrays(offsets, pa.array(cols["doc"][rest])), pa.ListArray.from_arrays(offsets, pa.array(cols["line"][rest])),
+                pa.array(many > listed if listed else np.zeros(len(first), bool)),
+            ],
+            names=["x_doc", "x_line", "y_doc", "y_line", "docs", "lines", "beyond"],
+        )
 
     def whole_groups(cols: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first, second = cols["parity1"].view(np.uint64), cols["parity2"].view(np.uint64)
+        first, second, third, fourth = (cols[f"parity{k}"].view(np.uint64) for k in (1, 2, 3, 4))
         open_, side = (cols["size"] >> _OPEN & 1).astype(bool), cols["size"] >> _SIDE & 1
         n, p = cols["size"] >> _POSITION_BITS & (1 << 32) - 1, cols["size"] & (1 << _POSITION_BITS) - 1
         across = (cols["blocks"] >> 32) != (cols["blocks"] & (1 << 32) - 1)
@@ -165,6 +172,10 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
 
         def good(x: np.ndarray, y: np.ndarray, odd: np.ndarray) -> np.ndarray:
             """Which of the pairs, of parities that differ in ``odd`` bits, can be similar: sizes, room after the shared token, parities."""
+            fine = np.flatnonzero((n[x] > LONG) & (n[y] > LONG))
+            i, j = x[fine], y[fine]
+            c, d = third[i] ^ third[j], fourth[i] ^ fourth[j]
+            odd[fine] = sum(np.bitwise_count(v).astype(np.int32) for v in (first[i] ^ first[j] ^ c, second[i] ^ second[j] ^ d, c, d))
             least = needed(n[x], n[y])
             same = (cols["doc"][x] == cols["doc"][y]) & (cols["line"][x] == cols["line"][y])
             return (
@@ -172,13 +183,13 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
                 & (np.minimum(n[x] - p[x], n[y] - p[y]) + np.minimum(p[x], p[y]) >= least) & ~same & (~across[x] | (side[x] != side[y]))
             )
 
-        def filtered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The parity filter first, since it turns away nearly all."""
+        def filtered(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The coarse parity filter first, since it turns away nearly all."""
             odd = np.bitwise_count(first[x] ^ first[y]).astype(np.int32) + np.bitwise_count(second[x] ^ second[y])
             near = np.flatnonzero(odd * (NUMERATOR + DENOMINATOR) <= bound[x] + bound[y])
-            x, y = x[near], y[near]
-            ok = good(x, y, odd[near])
-            return x[ok], y[ok]
+            x, y, odd = x[near], y[near], odd[near]
+            ok = good(x, y, odd)
+            return x[ok], y[ok], odd[ok]
 
         found = []
         x = np.flatnonzero((sizes <= SMALL_GROUP)[group] & open_)
@@ -188,7 +199,7 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
             x = x[inside[x] >= back]
             found.append(filtered(x, x - back))
         if found and sum(len(f[0]) for f in found):
-            yield emit(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), cols)
+            yield emit(*(np.concatenate([f[k] for f in found]) for k in range(3)), cols)
         for g in np.flatnonzero(sizes > SMALL_GROUP):
             low, high = int(bounds[g]), int(bounds[g + 1])
             step = max(1, 200_000 // (high - low))
@@ -199,11 +210,11 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
                 odd = np.bitwise_count(first[part][:, None] ^ first[None, low:end]) + np.bitwise_count(second[part][:, None] ^ second[None, low:end])
                 near = (odd.astype(np.int32) * (NUMERATOR + DENOMINATOR) <= bound[part][:, None] + bound[None, low:end]) & (np.arange(low, end) < part[:, None])
                 at, y = np.nonzero(near)
-                x, y = filtered(part[at], y + low)
+                x, y, odd = filtered(part[at], y + low)
                 if len(x):
-                    yield emit(x, y, cols)
+                    yield emit(x, y, odd, cols)
 
-    names = ["token", "blocks", "doc", "line", "size", "parity1", "parity2"]
+    names = ["token", "blocks", "doc", "line", "size", "parity1", "parity2", "parity3", "parity4"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -235,11 +246,11 @@ def candidates(prefixes: DataFrame, at_once: int | None) -> DataFrame:
             yield from run({c: np.concatenate([w[c] for w in rest]) for c in names}, True)
 
     rows = prefixes.select(*names).repartition("token", "blocks").sortWithinPartitions("token", "blocks", "doc", "line")
-    return rows.mapInArrow(pairs, "x_doc long, x_line int, y_doc long, y_line int, more boolean")
+    return rows.mapInArrow(pairs, "x_doc long, x_line int, y_doc long, y_line int, docs array<long>, lines array<int>, beyond boolean")
 
 
 def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
-    """``token, blocks, doc, line, size, parity1, parity2``, one row for each word of a prefix.
+    """``token, blocks, doc, line, size, parity1 to parity4``, one row for each word of a prefix.
 
     ``size`` has the number of words, the word's position and two flags: whether the line is open
     (``opened``, all if None) and which of two blocks it is of. The lines of a word that occurs in
@@ -247,7 +258,7 @@ def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
     own, so that no task holds all of them.
     """
     flag = F.lit(1 << _OPEN) if opened is None else F.when(opened, F.lit(1 << _OPEN)).otherwise(F.lit(0).cast("long"))
-    rows = lines.select("doc", "line", "words", "parity1", "parity2", flag.alias("flag"), F.explode("prefix").alias("packed"))
+    rows = lines.select("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", flag.alias("flag"), F.explode("prefix").alias("packed"))
     rarity = F.shiftrightunsigned("packed", _POSITION_BITS + _HASH_BITS).cast("double")
     parts = F.ceil(F.pow(F.lit(2.0), rarity / 4) / BLOCK_LINES)
     rows = rows.withColumn("parts", parts).withColumn("own", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
@@ -256,7 +267,7 @@ def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
     size = size + F.when(F.col("own") <= F.col("other"), F.lit(0).cast("long")).otherwise(F.lit(1 << _SIDE))
     return rows.select(
         F.shiftrightunsigned("packed", _POSITION_BITS).alias("token"), (F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")).alias("blocks"),
-        "doc", "line", size.alias("size"), "parity1", "parity2",
+        "doc", "line", size.alias("size"), "parity1", "parity2", "parity3", "parity4",
     )
 
 
@@ -297,27 +308,35 @@ def later_copies(docs: DataFrame) -> DataFrame:
     pairs that cannot be similar.
     """
     lines = stash(line_table(docs, word_frequencies(docs)), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "prefix")).alias("first"))
+    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "prefix")).alias("first"))
     sets = stash(sets.select("k1", "k2", "n", "first.*"), "line-sets")
-    found = stash(candidates(prefix_rows(sets), AT_ONCE).groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more")), "pairs")
+    found = stash(candidates(prefix_rows(sets), LISTED), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line"))
         matched = similar(pairs, line_texts(docs, wanted))
         return matched.groupBy("x_doc", "x_line").agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select("x_doc", "x_line", "y.*")
 
-    matches = stash(check(found.select("x_doc", "x_line", "y_doc", "y_line")), "matches")
-    # Lines that named only some of their candidates, none of which was similar.
-    left = stash(found.where("more").select("x_doc", "x_line").distinct().join(matches, ["x_doc", "x_line"], "left_anti"), "untried")
+    line = ["x_doc", "x_line"]
+    pair = [*line, "y_doc", "y_line"]
+    tried = found.select(*pair).distinct()
+    matches = stash(check(tried), "matches")
+    # Lines whose closest candidates were not similar try all that they have listed.
+    left = stash(found.where((F.size("docs") > 0) | F.col("beyond")).join(matches, line, "left_anti"), "untried")
+    others = left.select(*line, F.explode(F.arrays_zip("docs", "lines")).alias("y")).select(*line, F.col("y.docs").alias("y_doc"), F.col("y.lines").alias("y_line"))
+    others = stash(others.distinct().join(tried, pair, "left_anti"), "others")
+    if not others.isEmpty():
+        matches = matches.unionByName(stash(check(others), "matches"))
+    left = stash(left.where("beyond").select(*line).distinct().join(matches, line, "left_anti"), "beyond")
     if not left.isEmpty():
         mark = left.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.lit(True).alias("open"))
         # Only words of these lines' prefixes matter now.
         tokens = prefix_rows(sets.join(mark.select("doc", "line"), ["doc", "line"], "left_semi")).select("token").distinct()
         marked = sets.join(mark, ["doc", "line"], "left")
         again = ahead_of_join(prefix_rows(marked, F.col("open").isNotNull()), "token", tokens).join(tokens, "token", "left_semi")
-        rest = candidates(again, None).select("x_doc", "x_line", "y_doc", "y_line").distinct()
-        rest = stash(rest.join(found, ["x_doc", "x_line", "y_doc", "y_line"], "left_anti"), "pairs")
-        matches = matches.unionByName(check(rest))
+        rest = candidates(again, None)
+        rest = rest.select(*pair).union(rest.select(*line, F.explode(F.arrays_zip("docs", "lines")).alias("y")).select(*line, "y.docs", "y.lines")).distinct()
+        matches = matches.unionByName(stash(check(stash(rest.join(tried, pair, "left_anti"), "pairs")), "matches"))
     near = matches.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.col("y_doc").alias("near_doc"), F.col("y_line").alias("near_line"))
     special = sets.select("k1", "k2", "n", "doc", "line").join(near, ["doc", "line"], "left").where("n > 1 OR near_doc IS NOT NULL")
     special = special.withColumnRenamed("doc", "set_doc").withColumnRenamed("line", "set_line")

@@ -253,8 +253,10 @@ def later_lines(rows) -> dict:
     return dict(found)
 
 
-@pytest.mark.parametrize("small,block", [(48, 100_000), (2, 100_000), (48, 3)])
-def test_line_dedup_is_exact(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,listed,long", [(48, 100_000, 64, 120), (2, 100_000, 1, 8), (48, 3, 2, 10)])
+def test_line_dedup_is_exact(spark, monkeypatch, small, block, listed, long):
+    monkeypatch.setattr(linededup, "LISTED", listed)
+    monkeypatch.setattr(linededup, "LONG", long)
     monkeypatch.setattr(linededup, "SMALL_GROUP", small)
     monkeypatch.setattr(linededup, "BLOCK_LINES", block)
     rng = random.Random(9)
