@@ -30,8 +30,8 @@ def test_reads_and_text(spark, tmp_path):
 
 def test_cluster_file_round_trip(spark, tmp_path):
     text = ">Cluster 0\n0\t20aa, >x... *\n1\t18aa, >y...z... at 1:18:1:18/98.10%\n>Cluster 3\n0\t9aa, >w... *\n"
-    (tmp_path / "c.clstr").write_text("0\t5aa, >lost... *\n" + text)
-    rows = S.read_members(spark, str(tmp_path / "c.clstr"))
+    (tmp_path / "c.txt").write_text("0\t5aa, >lost... *\n" + text)
+    rows = S.read_members(spark, str(tmp_path / "c.txt"))
     got = [(r["cluster_no"], r["member_pos"], r["len"], r["id"], r["is_rep"], r["iden"]) for r in rows.orderBy("cluster_no", "member_pos").collect()]
     assert got == [(0, 0, 20, "x", True, None), (0, 1, 18, "y...z", False, "98.10%"), (3, 0, 9, "w", True, None)]
     lines = [r["value"] for r in S.members_as_text(rows).orderBy("cluster_no", "member_pos").collect()]
