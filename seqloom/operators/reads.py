@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.letters import reverse_complement
@@ -152,3 +152,26 @@ def described_abundance(description: Column) -> Column:
 def abundance_split(abundances: DataFrame, cutoff: int) -> DataFrame:
     """One row ``at_least, below``: clusters whose abundance reaches the cutoff, and the others."""
     return abundances.agg(F.count_if(F.col("abundance") >= cutoff).alias("at_least"), F.count_if(F.col("abundance") < cutoff).alias("below"))
+
+
+def common_start(a: Column, b: Column, errors: int = 0) -> Column:
+    """Length of the longest common start of two strings with at most ``errors`` places that differ."""
+    n = F.least(F.length(a), F.length(b))
+    wrong = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))
+    return F.coalesce(F.get(wrong, F.lit(errors)) - 1, n)
+
+
+def common_end(a: Column, b: Column, errors: int = 0) -> Column:
+    """Length of the longest common end of two strings with at most ``errors`` places that differ."""
+    return common_start(F.reverse(a), F.reverse(b), errors)
+
+
+def shuffled(records: DataFrame, seed: int) -> DataFrame:
+    """``seq_idx, place``: an order that depends on the seed and the index alone."""
+    starts = records.select("seq_idx", F.xxhash64(F.lit(seed), "seq_idx").alias("h"))
+    # The high bits deal the rows to ranges in order, so that each task numbers its own and starts where the lower ranges end.
+    rows = starts.withColumn("range", F.shiftright("h", 54))
+    sizes = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("h", "seq_idx")) - 1
+    return rows.withColumn("inside", inside).join(sizes, "range").select("seq_idx", (F.col("start") + F.col("inside")).alias("place"))

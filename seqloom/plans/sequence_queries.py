@@ -116,6 +116,10 @@ QUERIES = {
                                                          .alias("abundance")),
     "abundance_split": lambda s, d: R.abundance_split(R.exact_duplicates(letters(s, d)).groupBy("rep_idx").agg(F.max("abundance").alias("abundance")), 2),
     "membership_2d": lambda s, d: M.screen_members(benchmark(s, d, 100), W.candidate_pairs(letters(s, d, 100), benchmark(s, d, 100), 4, 0.8, same=False).where("look_rank = 1")),
+    "common_ends": lambda s, d: R.mates(turns(s, d, 0), turns(s, d, 1)).select(
+        "read_idx", R.common_start(F.col("seq_1"), F.col("seq_2"), 2).alias("starts"), R.common_end(F.col("seq_1"), F.col("seq_2"), 1).alias("ends")
+    ),
+    "shuffled": lambda s, d: R.shuffled(letters(s, d), 7),
     "identity_text": lambda s, d: letters(s, d).select("seq_idx", L.two_decimals((F.col("len") / F.lit(200.0)).cast("float")).alias("identity")),
 }
 
@@ -168,5 +172,8 @@ s AS (SELECT j.seq_idx AS q_idx, rc.seq_idx AS r_idx, CAST(sum(least(j.n, rc.n))
 m AS (SELECT q_idx, r_idx, row_number() OVER (PARTITION BY q_idx ORDER BY look_pos, items.len DESC, r_idx) AS k FROM s JOIN need ON need.seq_idx = q_idx JOIN items ON items.seq_idx = r_idx WHERE shared >= words AND need.len - 3 - look_pos + 1 >= words),
 c AS (SELECT seq_idx, row_number() OVER (ORDER BY seq_idx) - 1 AS cluster_no FROM items)
 SELECT cluster_no, 0 AS member_pos, seq_idx AS idx, true AS is_rep FROM c UNION ALL SELECT cluster_no, CAST(row_number() OVER (PARTITION BY cluster_no ORDER BY q_idx) AS INT), q_idx, false FROM m JOIN c ON c.seq_idx = r_idx WHERE k = 1""",
+    "common_ends": f"""{_MATES}, p AS (SELECT a.read_idx, a.seq AS x, b.seq AS y, least(length(a.seq), length(b.seq)) AS n FROM t a JOIN t b USING (read_idx) WHERE a.turn = 0 AND b.turn = 1),
+w AS (SELECT *, list_filter(range(1, n + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1)) AS s, list_filter(range(1, n + 1), lambda i: substr(reverse(x), i, 1) <> substr(reverse(y), i, 1)) AS e FROM p)
+SELECT read_idx, CAST(coalesce(s[3] - 1, n) AS INT) AS starts, CAST(coalesce(e[2] - 1, n) AS INT) AS ends FROM w""",
     "identity_text": f"""{_L} SELECT seq_idx, printf('%.2f', CAST(CAST(CAST(len / 200.0::DOUBLE AS FLOAT) * CAST(100 AS FLOAT) AS FLOAT) AS DOUBLE)) AS identity FROM letters""",
 }
