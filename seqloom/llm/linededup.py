@@ -19,8 +19,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 LEAST_WORDS = 5
 #: Candidates that a line names for one token: the closest, which is tried first, and so many in all.
 LISTED = 64
-#: Words above which a line has finer parities.
+#: Words above which a line has finer parities, and still finer ones of so many classes.
 LONG = 120
+FINE = ((400, 1024), (2000, 8192))
 #: Lines with one token that a task holds, about; a commoner token's lines are dealt to several tasks.
 BLOCK_LINES = 100_000
 #: Groups up to this many lines are compared at all distances at once.
@@ -78,12 +79,13 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity1 to parity4, prefix``.
+    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity1 to parity4, finest, prefix``.
 
     k1 and k2 stand for the set of words. ``prefix`` has the line's rarest words, as many as a
     similar line cannot all lack, each as rarity, hash and position in one number, but none that
     occurs in no other line. The first two parities have, for each of 128 classes of words, whether
-    the line holds an odd number of them; for long lines the others split each class in two.
+    the line holds an odd number of them; for long lines the others split each class in two, and
+    for very long ones ``finest`` has as many classes as FINE says.
     """
     sent = docs.sparkSession.sparkContext.broadcast(counts.astype(np.uint32))
 
@@ -105,6 +107,11 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 fine = [np.bitwise_xor.reduceat(np.where(class_ == np.uint64(k), bit, np.uint64(0)), start[:-1]) for k in range(4)]
                 folded = [fine[0] ^ fine[2], fine[1] ^ fine[3]]
                 parities = [*folded, *[np.where(n > LONG, f, np.uint64(0)) for f in fine[2:]]]
+                finest = []
+                for k in range(len(n)):
+                    classes = next((c for least, c in reversed(FINE) if n[k] > least), 0)
+                    odd = np.bincount((words[start[k] : start[k + 1]] >> np.uint64(8) & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1 if classes else None
+                    finest.append(None if odd is None else np.packbits(odd.astype(np.uint8)).tobytes())
                 seen = frequency.counts_of(table, words)
                 line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 token = (_rarity(seen) << np.uint64(_HASH_BITS)) | (words >> np.uint64(64 - _HASH_BITS))
@@ -119,12 +126,12 @@ def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         signed(k1), signed(k2), pa.array(keys[first + row_of[kept]]), pa.array(number[kept].astype(np.int32)), pa.array(n.astype(np.int32)),
-                        *map(signed, parities), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(prefix)),
+                        *map(signed, parities), pa.array(finest, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(prefix)),
                     ],
-                    names=["k1", "k2", "doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "prefix"],
+                    names=["k1", "k2", "doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "finest", "prefix"],
                 )
 
-    schema = "k1 long, k2 long, doc long, line int, words int, parity1 long, parity2 long, parity3 long, parity4 long, prefix array<long>"
+    schema = "k1 long, k2 long, doc long, line int, words int, parity1 long, parity2 long, parity3 long, parity4 long, finest binary, prefix array<long>"
     return docs.select(document_key().alias("key"), text_or_empty().alias("text")).mapInArrow(rows, schema)
 
 
@@ -164,6 +171,14 @@ def candidates(prefixes: DataFrame, listed: int | None) -> DataFrame:
         first, second, third, fourth = (cols[f"parity{k}"].view(np.uint64) for k in (1, 2, 3, 4))
         open_, side = (cols["size"] >> _OPEN & 1).astype(bool), cols["size"] >> _SIDE & 1
         n, p = cols["size"] >> _POSITION_BITS & (1 << 32) - 1, cols["size"] & (1 << _POSITION_BITS) - 1
+        # Row numbers of very long lines in matrices of their parities, one for each number of classes; more classes fold to fewer.
+        finest = []
+        for low_classes in (c for _, c in FINE):
+            at = np.full(len(n), -1)
+            rows_ = np.flatnonzero(n > next(least for least, c in FINE if c == low_classes))
+            at[rows_] = np.arange(len(rows_))
+            folded = [np.bitwise_xor.reduce(np.frombuffer(cols["finest"][r], np.uint64).reshape(-1, low_classes // 64), axis=0) for r in rows_]
+            finest.append((at, np.array(folded, np.uint64).reshape(len(rows_), low_classes // 64)))
         across = (cols["blocks"] >> 32) != (cols["blocks"] & (1 << 32) - 1)
         bound = n.astype(np.int32)
         sizes = np.diff(bounds)
@@ -176,6 +191,11 @@ def candidates(prefixes: DataFrame, listed: int | None) -> DataFrame:
             i, j = x[fine], y[fine]
             c, d = third[i] ^ third[j], fourth[i] ^ fourth[j]
             odd[fine] = sum(np.bitwise_count(v).astype(np.int32) for v in (first[i] ^ first[j] ^ c, second[i] ^ second[j] ^ d, c, d))
+            for where, matrix in finest:
+                both = np.flatnonzero((where[x] >= 0) & (where[y] >= 0))
+                for k in range(0, len(both), 4096):
+                    part = both[k : k + 4096]
+                    odd[part] = np.bitwise_count(matrix[where[x[part]]] ^ matrix[where[y[part]]]).sum(1, dtype=np.int32)
             least = needed(n[x], n[y])
             same = (cols["doc"][x] == cols["doc"][y]) & (cols["line"][x] == cols["line"][y])
             return (
@@ -214,7 +234,7 @@ def candidates(prefixes: DataFrame, listed: int | None) -> DataFrame:
                 if len(x):
                     yield emit(x, y, odd, cols)
 
-    names = ["token", "blocks", "doc", "line", "size", "parity1", "parity2", "parity3", "parity4"]
+    names = ["token", "blocks", "doc", "line", "size", "parity1", "parity2", "parity3", "parity4", "finest"]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
@@ -250,7 +270,7 @@ def candidates(prefixes: DataFrame, listed: int | None) -> DataFrame:
 
 
 def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
-    """``token, blocks, doc, line, size, parity1 to parity4``, one row for each word of a prefix.
+    """``token, blocks, doc, line, size, parity1 to parity4, finest``, one row for each word of a prefix.
 
     ``size`` has the number of words, the word's position and two flags: whether the line is open
     (``opened``, all if None) and which of two blocks it is of. The lines of a word that occurs in
@@ -258,7 +278,7 @@ def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
     own, so that no task holds all of them.
     """
     flag = F.lit(1 << _OPEN) if opened is None else F.when(opened, F.lit(1 << _OPEN)).otherwise(F.lit(0).cast("long"))
-    rows = lines.select("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", flag.alias("flag"), F.explode("prefix").alias("packed"))
+    rows = lines.select("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "finest", flag.alias("flag"), F.explode("prefix").alias("packed"))
     rarity = F.shiftrightunsigned("packed", _POSITION_BITS + _HASH_BITS).cast("double")
     parts = F.ceil(F.pow(F.lit(2.0), rarity / 4) / BLOCK_LINES)
     rows = rows.withColumn("parts", parts).withColumn("own", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc", "line"), F.col("parts"))).otherwise(F.lit(0).cast("long")))
@@ -267,7 +287,7 @@ def prefix_rows(lines: DataFrame, opened: Column | None = None) -> DataFrame:
     size = size + F.when(F.col("own") <= F.col("other"), F.lit(0).cast("long")).otherwise(F.lit(1 << _SIDE))
     return rows.select(
         F.shiftrightunsigned("packed", _POSITION_BITS).alias("token"), (F.shiftleft(F.least("own", "other"), 32) + F.greatest("own", "other")).alias("blocks"),
-        "doc", "line", size.alias("size"), "parity1", "parity2", "parity3", "parity4",
+        "doc", "line", size.alias("size"), "parity1", "parity2", "parity3", "parity4", "finest",
     )
 
 
@@ -308,7 +328,7 @@ def later_copies(docs: DataFrame) -> DataFrame:
     pairs that cannot be similar.
     """
     lines = stash(line_table(docs, word_frequencies(docs)), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "prefix")).alias("first"))
+    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "finest", "prefix")).alias("first"))
     sets = stash(sets.select("k1", "k2", "n", "first.*"), "line-sets")
     found = stash(candidates(prefix_rows(sets), LISTED), "pairs")
 

@@ -257,6 +257,7 @@ def later_lines(rows) -> dict:
 def test_line_dedup_is_exact(spark, monkeypatch, small, block, listed, long):
     monkeypatch.setattr(linededup, "LISTED", listed)
     monkeypatch.setattr(linededup, "LONG", long)
+    monkeypatch.setattr(linededup, "FINE", ((long + 2, 1024), (long + 8, 8192)))
     monkeypatch.setattr(linededup, "SMALL_GROUP", small)
     monkeypatch.setattr(linededup, "BLOCK_LINES", block)
     rng = random.Random(9)
