@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -39,3 +40,10 @@ class Subwords:
         if SPECIAL in text:
             return encoding.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
         return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many short texts, one after another, and how many each has."""
+        ordinary = _encoding(self.ranks_path).encode_ordinary
+        made = [ordinary(t) if SPECIAL not in t else self.encode(t).tolist() for t in texts]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(sizes.sum())), sizes
