@@ -65,7 +65,7 @@ def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFra
         m = F.explode(F.when(last >= low, F.sequence(low, last)).otherwise(F.array().cast("array<int>")))
         rows = rows.withColumn("m", m)
         text = F.substring(F.col("seq"), F.col("len") - F.col("m") + 1, F.col("m")) if tail else F.substring(F.col("seq"), F.lit(1), F.col("m"))
-        return rows.withColumn("end_hash", F.xxhash64(text)).withColumn("end", text)
+        return rows.withColumn("end", text)
 
     made = None
     for phase, tail, last in ((1, False, F.col("len") - 1), (2, True, F.col("len"))):
@@ -77,11 +77,8 @@ def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFra
     return made.select("q_idx", "r_idx", "phase", "overlap", "strand")
 
 
-def mates(first: DataFrame, second: DataFrame, batch: int = 10_000) -> DataFrame:
-    """``read_idx, seq_1, seq_2``: row i with row i; of each batch of ``batch`` rows the unequal tail is dropped, and what follows it.
-
-    Rows are numbered from 0 without gaps on both sides, so the dropped rows are those without a mate.
-    """
+def mates(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``read_idx, seq_1, seq_2``: row i with row i; rows without a mate, at the end of the longer side, are dropped."""
     a = first.select("read_idx", F.col("seq").alias("seq_1"))
     b = second.select("read_idx", F.col("seq").alias("seq_2"))
     return a.join(b, "read_idx")
