@@ -18,7 +18,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Distinct words a line needs to be compared at all.
 LEAST_WORDS = 5
 #: Candidates that a line names for one token: the closest, which is tried first, and so many in all.
-LISTED = 64
+LISTED = 512
 #: Words above which a line has finer parities, and still finer ones of so many classes.
 LONG = 120
 FINE = ((400, 1024), (2000, 8192))
