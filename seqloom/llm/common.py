@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -45,9 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, tag: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """``df`` written as parquet to the shared folder and read back.
 
-    This cuts the lineage with files that outlive any executor.
+    This cuts the lineage with files that outlive any executor. Shuffle files of earlier tables
+    that nothing refers to any more stay on disk until the driver's JVM collects its garbage, so
+    it is asked to before more are made.
     """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

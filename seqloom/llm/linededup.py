@@ -20,8 +20,8 @@ LEAST_WORDS = 5
 #: Candidates that a line names for one token: the closest, which is tried first, and so many in all.
 LISTED = 512
 #: Words above which a line has finer parities, and still finer ones of so many classes.
-LONG = 120
-FINE = ((400, 1024), (2000, 8192))
+LONG = 400
+FINE = ((2000, 8192),)
 #: Lines with one token that a task holds, about; a commoner token's lines are dealt to several tasks.
 BLOCK_LINES = 100_000
 #: Groups up to this many lines are compared at all distances at once.
