@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import text_or_empty
 
 #: Labelled documents the model is fitted on at most (those with the lowest hash of doc_id).
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 #: Tokens the model may score above the background at most (those of the highest z).
 FIT_TOKENS = 50_000
 #: Weight of the Dirichlet prior against the counts, and the z above which a token counts as toxic.
