@@ -15,8 +15,8 @@ from seqloom.llm.textcols import bytes_of, hashed_runs, mix, runs, word_hashes
 
 #: Jaccard similarity of lines, as a fraction, so that all bounds are exact integers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Distinct words a line needs to be compared at all.
-LEAST_WORDS = 5
+#: Distinct words a line needs to be compared at all: only lines without words take no part.
+LEAST_WORDS = 1
 #: Candidates that a line names for one token: the closest, which is tried first, and so many in all.
 LISTED = 512
 #: Words above which a line has finer parities, and still finer ones of so many classes.
@@ -79,7 +79,7 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """One row for each line of at least LEAST_WORDS words: ``k1, k2, doc, line, words, parity1 to parity4, finest, prefix``.
+    """One row for each line of at least LEAST_WORDS distinct words: ``k1, k2, doc, line, words, parity1 to parity4, finest, prefix``.
 
     k1 and k2 stand for the set of words. ``prefix`` has the line's rarest words, as many as a
     similar line cannot all lack, each as rarity, hash and position in one number, but none that
@@ -322,8 +322,8 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame) -> DataFrame:
     """``doc, line, first_doc, first_line`` of every line with an earlier line of Jaccard similarity >= 0.8, and one such earlier line.
 
-    Earlier is by (doc, line): ``common.document_key`` and the line's number from 0. Lines of
-    fewer than LEAST_WORDS distinct words take no part. Lines with the same set of words are one
+    Earlier is by (doc, line): ``common.document_key`` and the line's number from 0. Lines
+    without words take no part. Lines with the same set of words are one
     candidate, their earliest. Exact: prefix, positional, length and parity filters only turn away
     pairs that cannot be similar.
     """

@@ -282,6 +282,13 @@ def test_line_dedup_is_exact(spark, monkeypatch, small, block, listed, long):
     assert linededup.removed_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_compared(spark):
+    rows = [(1, "Read more\none two three four\nword word word"), (2, "read  More\n\none two three four five\nword"), (3, "more\n \t\nmore read\n全文一行没有空格"), (4, "全文一行没有空格\nread less")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc"]: list(r["removed_lines"]) for r in linededup.removed_lines(docs).collect()}
+    assert got == {2: [0, 2, 3], 3: [2], 4: [0]}
+
+
 def test_needed_overlap():
     for n in range(1, 40):
         for m in range(1, 40):
