@@ -123,7 +123,10 @@ def weigh(idf: np.ndarray, hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 
 def parities(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each row, one bit for each of PARITY_BITS classes of light shingles and of heavy ones: whether it has an odd number of them."""
+    """For each row, one bit for each of PARITY_BITS classes of light shingles and of heavy ones: whether it has an odd number of them.
+
+    ``weights`` are those of single occurrences, so that a shingle is in the same half in every text.
+    """
     rows = len(first) - 1
     row = np.repeat(np.arange(rows), np.diff(first))
     at = row * (2 * PARITY_BITS) + np.where(weights >= HEAVY, PARITY_BITS, 0) + ((hashes >> np.uint64(7)) & np.uint64(PARITY_BITS - 1)).astype(np.int64)
@@ -151,8 +154,9 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 words[first_row:last_row] = np.diff(at)
                 hashes, times, first = _sets(*shingle_hashes(found, at, SHINGLE))
                 full = np.flatnonzero(np.diff(first))
-                weights = weigh(idf, hashes, times)
-                parity += [p.tobytes() for p in parities(hashes, weights, first)]
+                single = weigh(idf, hashes, np.ones_like(times))
+                weights = single * (1.0 + np.log(times)).astype(np.float32)
+                parity += [p.tobytes() for p in parities(hashes, single, first)]
                 weight[first_row:last_row] = np.diff(np.concatenate(([0], np.cumsum(weights, dtype=np.float64)))[first])
                 if len(full):
                     made = sampler.signatures(hashes, sampler.steps(weights), first[full])
@@ -205,7 +209,9 @@ def across(members: DataFrame, threshold: float) -> DataFrame:
     ``members`` has ``bucket, key, root, parity, weight``. With S the weights of both texts
     together and D those of the shingles that only one has, likeness is at most (S - D) / (S + D),
     and D is at least the number of parity bits in which they differ, each light one weighing 1
-    and each heavy one HEAVY. So no pair that is alike is ruled out.
+    and each heavy one HEAVY: a shingle is light or heavy by its idf, whatever its tf, so those that
+    both have cancel out, and tf only adds to the weight of the others. So no pair that is alike
+    is ruled out.
     """
     bound = (1 - threshold) / (1 + threshold)
 

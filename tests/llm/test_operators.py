@@ -220,6 +220,18 @@ def test_across_rules_out_no_pair_that_is_alike():
         assert apart <= total - 2 * shared + 1e-6
 
 
+def test_across_keeps_alike_texts_of_unequal_tf(spark):
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + words[:60]))], "doc_id long, text string")
+    idf = np.full_like(minhash.idf_table(minhash.document_counts(docs), 2), 1.2)
+    members = minhash.signatures(docs, idf).withColumn("bucket", F.lit(1).cast("long")).withColumn("root", F.col("key"))
+    pairs = minhash.across(members, 0.8)
+    texts = docs.select(F.unhex(F.md5("text")).alias("key"), "text")
+    every = members.select(F.col("key").alias("a")).crossJoin(members.select(F.col("key").alias("b"))).where("a < b")
+    assert minhash.verified(every, texts, idf).first()["likeness"] >= 0.8
+    assert pairs.count() == 1
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
