@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
 from seqloom.llm.common import ahead_of_join, document_key, stash, text_or_empty
+from seqloom.llm.components import components
 from seqloom.llm.textcols import bytes_of, hashed_runs, mix, runs, word_hashes
 
 #: Jaccard similarity of lines, as a fraction, so that all bounds are exact integers.
@@ -319,6 +320,59 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.mapInArrow(compare, "x_doc long, x_line int, y_doc long, y_line int")
 
 
+def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``line_table`` of all lines, and of the first line of each set of words, with ``n``, the lines of the set."""
+    lines = stash(line_table(docs, word_frequencies(docs)), "lines")
+    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "finest", "prefix")).alias("first"))
+    return lines, stash(sets.select("k1", "k2", "n", "first.*"), "line-sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` of lines of ``docs`` that are similar."""
+    wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line"))
+    return similar(pairs, line_texts(docs, wanted))
+
+
+def line_links(docs: DataFrame) -> DataFrame:
+    """``doc, removed_lines, line_sets, similar_sets, class_id, n_links`` of each document with a line that is like any other line.
+
+    The whole join, in two parts: ``line_sets`` has (line, set_doc, set_line) for each such line,
+    which names the first line with the same set of words; ``similar_sets`` has (line, near_doc,
+    near_line) for each pair of sets of Jaccard similarity >= 0.8, beside the later set's first
+    line, and names the earlier set's. Every pair of similar lines is of one set or of two sets
+    that are paired. ``n_links`` counts the pairs of a line of the document and any other line,
+    earlier or later, that are similar (a pair within the document twice); ``class_id`` is the
+    least document that is connected by such pairs. ``removed_lines`` are those of ``later_copies``.
+    """
+    lines, sets = line_sets(docs)
+    line, other = ["x_doc", "x_line"], ["y_doc", "y_line"]
+    found = stash(candidates(prefix_rows(sets), None), "pairs")
+    rest = found.select(*line, F.explode(F.arrays_zip("docs", "lines")).alias("y")).select(*line, "y.docs", "y.lines")
+    pairs = stash(verified(docs, stash(found.select(*line, *other).union(rest).distinct(), "pairs")), "matches")
+    firsts = sets.select("doc", "line", "n")
+    sized = pairs.join(firsts.toDF("x_doc", "x_line", "x_n"), line).join(firsts.toDF("y_doc", "y_line", "y_n"), other)
+    ends = sized.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"), F.col("y_n").alias("others"), F.struct(F.col("y_doc").alias("near_doc"), F.col("y_line").alias("near_line")).alias("near"))
+    ends = ends.unionByName(sized.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"), F.col("x_n").alias("others"), F.lit(None).cast("struct<near_doc:bigint,near_line:int>").alias("near")))
+    degrees = ends.groupBy("doc", "line").agg(F.sum("others").alias("others"), F.count("near").alias("earlier"))
+    special = sets.select("k1", "k2", "n", "doc", "line").join(degrees, ["doc", "line"], "left").where("n > 1 OR others IS NOT NULL")
+    special = special.select(
+        "k1", "k2", F.col("doc").alias("set_doc"), F.col("line").alias("set_line"),
+        (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), (F.coalesce("earlier", F.lit(0)) > 0).alias("near"),
+    )
+    members = ahead_of_join(lines.select("k1", "k2", "doc", "line"), "k1", special.select("k1")).join(special, ["k1", "k2"]).drop("k1", "k2")
+    members = stash(members, "members")
+    is_first = (F.col("doc") == F.col("set_doc")) & (F.col("line") == F.col("set_line"))
+    none = F.array().cast("array<int>")
+    of_doc = members.groupBy("doc").agg(
+        F.array_sort(F.coalesce(F.collect_set(F.when(~is_first | F.col("near"), F.col("line"))), none)).alias("removed_lines"),
+        F.array_sort(F.collect_list(F.struct("line", "set_doc", "set_line"))).alias("line_sets"), F.sum("links").alias("n_links"),
+    )
+    near = ends.where("near IS NOT NULL").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("line", "near.near_doc", "near.near_line"))).alias("similar_sets"))
+    edges = members.select(F.col("doc").alias("a"), F.col("set_doc").alias("b")).union(pairs.select("x_doc", "y_doc"))
+    roots = components(edges).select(F.col("node").alias("doc"), F.col("root").alias("class_id"))
+    return of_doc.join(near, "doc", "left").join(roots, "doc", "left").withColumn("class_id", F.coalesce("class_id", "doc"))
+
+
 def later_copies(docs: DataFrame) -> DataFrame:
     """``doc, line, first_doc, first_line`` of every line with an earlier line of Jaccard similarity >= 0.8, and one such earlier line.
 
@@ -327,15 +381,11 @@ def later_copies(docs: DataFrame) -> DataFrame:
     candidate, their earliest. Exact: prefix, positional, length and parity filters only turn away
     pairs that cannot be similar.
     """
-    lines = stash(line_table(docs, word_frequencies(docs)), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "line", "words", "parity1", "parity2", "parity3", "parity4", "finest", "prefix")).alias("first"))
-    sets = stash(sets.select("k1", "k2", "n", "first.*"), "line-sets")
+    lines, sets = line_sets(docs)
     found = stash(candidates(prefix_rows(sets), LISTED), "pairs")
 
     def check(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).union(pairs.select("y_doc", "y_line"))
-        matched = similar(pairs, line_texts(docs, wanted))
-        return matched.groupBy("x_doc", "x_line").agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select("x_doc", "x_line", "y.*")
+        return verified(docs, pairs).groupBy("x_doc", "x_line").agg(F.min(F.struct("y_doc", "y_line")).alias("y")).select("x_doc", "x_line", "y.*")
 
     line = ["x_doc", "x_line"]
     pair = [*line, "y_doc", "y_line"]

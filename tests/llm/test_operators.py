@@ -294,6 +294,45 @@ def test_line_dedup_is_exact(spark, monkeypatch, small, block, listed, long):
     assert linededup.removed_lines(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [48, 2])
+def test_line_links_are_all_found(spark, monkeypatch, small):
+    monkeypatch.setattr(linededup, "SMALL_GROUP", small)
+    rng = random.Random(11)
+    base = [[rng.choice(WORDS) + str(rng.randrange(3)) for _ in range(rng.randint(3, 20))] for _ in range(8)]
+    rows = []
+    for i in range(50):
+        made = []
+        for _ in range(rng.randint(1, 3)):
+            words = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                words[rng.randrange(len(words))] = rng.choice(WORDS)
+            made.append(" ".join(words))
+        rows.append((i, "\n".join(made)))
+    # The case of the review: a line like many different earlier lines.
+    common = [f"c{k}" for k in range(20)]
+    rows += [(100 + k, " ".join([*common, f"own{k}"])) for k in range(15)] + [(200, " ".join(common)), (201, "nothing like it\n\n"), (202, None)]
+    lines = [(i, k, frozenset(x.encode().lower().split())) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])
+    alike = lambda s, t: 5 * len(s & t) >= 4 * len(s | t)
+    got = {r["doc"]: r for r in linededup.line_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links, parent = defaultdict(int), {i: i for i, _ in rows}
+    pairs = {(a[:2], b[:2]) for a in lines for b in lines if a[:2] < b[:2] and alike(a[2], b[2])}
+    for a, b in pairs:
+        links[a[0]] += 1
+        links[b[0]] += 1
+        low, high = sorted((parent[a[0]], parent[b[0]]))
+        parent = {i: low if p == high else p for i, p in parent.items()}
+    assert {i: r["n_links"] for i, r in got.items()} == links
+    assert {i: r["class_id"] for i, r in got.items()} == {i: parent[i] for i in links}
+    assert {i: list(r["removed_lines"]) for i, r in got.items() if r["removed_lines"]} == {i: k for i, k in later_lines(rows).items()}
+    # The pairs again, from membership and pairs of sets.
+    near = {((i, p["line"]), (p["near_doc"], p["near_line"])) for i, r in got.items() for p in r["similar_sets"] or []}
+    member = {(i, m["line"]): (m["set_doc"], m["set_line"]) for i, r in got.items() for m in r["line_sets"]}
+    assert pairs == {(a, b) for a in member for b in member if a < b and (member[a] == member[b] or {(member[a], member[b]), (member[b], member[a])} & near)}
+    assert got[200]["n_links"] == 15
+    assert linededup.line_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_short_lines_are_compared(spark):
     rows = [(1, "Read more\none two three four\nword word word"), (2, "read  More\n\none two three four five\nword"), (3, "more\n \t\nmore read\n全文一行没有空格"), (4, "全文一行没有空格\nread less")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
