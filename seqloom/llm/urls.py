@@ -14,15 +14,16 @@ from seqloom.llm.common import stash
 #: (verdict, rule): the rule's host stands before its first slash, its path from there on.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: A segment stays literal with at least so many urls and such a share of its node's; others become wildcards.
-LEAST_URLS, LEAST_SHARE = 2, 0.05
+#: A segment stays literal with at least so many urls; others become wildcards.
+LEAST_URLS = 2
+#: Merged branches of up to so many names spell them all; others one of them and how many more there are.
+SPELLED = 22
 #: Error of the bound by which two branches count as different.
 DIFFERENT = 0.05
 #: Urls that the prior weighs, and the smoothed share of bad ones above which a template is rejected.
 PRIOR, REJECT = 8.0, 0.5
-#: Segments of a path that make levels of the tree; what follows is one last wildcard.
-DEPTH = 12
 
+_COUNTS = ("n", "labelled", "bad", "ends")
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -52,76 +53,84 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES
     return rule, verdict
 
 
-def similar_branches(n: Sequence[int], labelled: Sequence[int], bad: Sequence[int], ends: Sequence[int]) -> list[int]:
+def similar_branches(n: Sequence[int], labelled: Sequence[int], bad: Sequence[int], ends: Sequence[int], copies: Sequence[int] | None = None) -> list[int]:
     """For each of a node's branches the first branch it is merged with.
 
     Two branches are similar if neither the share of bad ones among the labelled nor the share of
     urls that end there differs by more than the Hoeffding bound allows; without labels on one
     side the first says nothing, and similar ends decide. A branch joins the first merged branch
-    it is similar to, whose counts then grow.
+    it is similar to, whose counts then grow. ``copies`` says of how many branches with the same
+    counts each stands; they are compared as one of them, and all count.
     """
     def differ(a: int, n: int, b: int, m: int) -> bool:
         return bool(n and m) and abs(a / n - b / m) > math.sqrt(0.5 * math.log(2 / DIFFERENT)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
     merged: list[list[int]] = []
     where = []
-    for i, counts in enumerate(zip(n, labelled, bad, ends)):
+    for i, (times, *counts) in enumerate(zip(copies or [1] * len(n), n, labelled, bad, ends)):
         for m in merged:
             if not differ(counts[2], counts[1], m[3], m[2]) and not differ(counts[3], counts[0], m[4], m[1]):
                 for k in range(4):
-                    m[k + 1] += counts[k]
+                    m[k + 1] += times * counts[k]
                 where.append(m[0])
                 break
         else:
-            merged.append([i, *counts])
+            merged.append([i, *[times * c for c in counts]])
             where.append(i)
     return where
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["n", "name"], ascending=[False, True]).reset_index(drop=True)
-    where = similar_branches(*(rows[c].tolist() for c in ("n", "labelled", "bad", "ends")))
-    names: dict[int, list[str]] = {}
-    for name, k in zip(rows["name"], where):
-        names.setdefault(k, []).append(name)
-    rows["branch"] = ["|".join(sorted(names[k])) for k in where]
-    return rows[["host", "prefix", "name", "branch"]]
+    where = similar_branches(*(rows[c].tolist() for c in (*_COUNTS, "copies")))
+    rows["leader"] = [rows["name"][k] for k in where]
+    rows["names"] = rows.groupby("leader")["copies"].transform("sum")
+    return rows[["host", "prefix", *_COUNTS, "leader", "names"]]
 
 
 def templates(urls: DataFrame) -> DataFrame:
     """``urls`` (with ``host``, ``path``, ``labelled`` and ``bad``, both 0 or 1) plus ``template``.
 
-    Level by level, from the host down: a segment that is common enough in its node stays
-    literal, so that a node has at most 1 / LEAST_SHARE of them; all others become ``#`` (with a
-    digit) or ``*``. The node's branches, few by now, are merged where they are similar, and the
-    next level is built below the merged branches. Counts are summed before each shuffle, so a
-    host with a third of all urls is no more than its distinct segments.
+    Level by level, from the host down: a segment with LEAST_URLS urls in its node stays literal;
+    all others become ``#`` (with a digit) or ``*``. The node's branches are merged where they are
+    similar, and the next level is built below the merged branches. Counts are summed before each
+    shuffle, and branches of a node with the same counts are merged as one, so a host with a third
+    of all urls is no more than its distinct segments, and a merge no more than their distinct
+    counts. A url alone in its node has wildcards from there on, as it would have level by level.
     """
     parts = F.filter(F.split(F.col("path"), "/"), lambda s: s != "")
-    cut = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
-    rows = stash(urls.withColumn("parts", cut).withColumn("prefix", F.lit("")), "urls")
-    deepest = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    for level in range(deepest):
-        segment = F.get("parts", level)
-        below = rows.where(F.size("parts") > level).groupBy("host", "prefix", segment.alias("segment")).agg(
+    wild = lambda s: F.when(s.rlike("[0-9]"), "#").otherwise("*")
+    rows = stash(urls.withColumn("parts", parts).withColumn("prefix", F.lit("")), "urls")
+    columns, node = rows.columns, ["host", "prefix"]
+    done, live = rows.where(F.size("parts") == 0), rows.where(F.size("parts") > 0)
+    level = 0
+    while not live.isEmpty():
+        segment = F.get("parts", F.lit(level))
+        below = live.groupBy(*node, segment.alias("segment")).agg(
             F.count(F.lit(1)).alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"),
             F.sum((F.size("parts") == level + 1).cast("long")).alias("ends"),
         )
         below = stash(below, "segments")
-        totals = below.groupBy("host", "prefix").agg(F.sum("n").alias("total"))
-        wild = F.when(F.col("segment").rlike("[0-9]"), "#").otherwise("*")
-        named = below.join(totals, ["host", "prefix"]).withColumn(
-            "name", F.when((F.col("n") >= LEAST_URLS) & (F.col("n") >= LEAST_SHARE * F.col("total")), F.concat(F.lit("="), "segment")).otherwise(wild)
-        )
-        branches = named.groupBy("host", "prefix", "name").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad", "ends")])
-        merged = stash(branches.groupBy("host", "prefix").applyInPandas(_merge, "host string, prefix string, name string, branch string"), "branches")
-        literal = merged.where(F.col("name").startswith("=")).select("host", "prefix", F.substring("name", F.lit(2), F.length("name")).alias("segment"), F.col("branch").alias("own"))
-        other = merged.where(~F.col("name").startswith("=")).select("host", "prefix", F.col("name").alias("wild"), F.col("branch").alias("general"))
-        step = rows.withColumn("segment", segment).withColumn("wild", wild)
-        step = step.join(literal, ["host", "prefix", "segment"], "left").join(other, ["host", "prefix", "wild"], "left")
-        branch = F.coalesce("own", "general")
-        rows = stash(step.withColumn("prefix", F.when(F.col("segment").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), branch))).select(*rows.columns), "urls")
-    return rows.withColumnRenamed("prefix", "template").drop("parts")
+        alone = below.groupBy(*node).agg(F.sum("n").alias("total")).where("total = 1").select(*node, F.lit(True).alias("alone"))
+        named = below.join(alone, node, "left_anti").withColumn("name", F.when(F.col("n") >= LEAST_URLS, F.concat(F.lit("="), "segment")).otherwise(wild(F.col("segment"))))
+        branches = stash(named.groupBy(*node, "name").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "branches")
+        kinds = branches.groupBy(*node, *_COUNTS).agg(F.count(F.lit(1)).alias("copies"), F.min("name").alias("name"))
+        schema = "host string, prefix string, n long, labelled long, bad long, ends long, leader string, names long"
+        merged = stash(branches.join(kinds.groupBy(*node).applyInPandas(_merge, schema), [*node, *_COUNTS]).select(*node, "name", "leader", "names"), "branches")
+        spelled = merged.where(F.col("names") <= SPELLED).groupBy(*node, "leader").agg(F.array_join(F.sort_array(F.collect_list("name")), "|").alias("spelled"))
+        counted = F.concat("leader", F.lit("|+"), (F.col("names") - 1).cast("string"))
+        merged = merged.join(spelled, [*node, "leader"], "left").select(*node, "name", F.coalesce("spelled", counted).alias("branch"))
+        literal = merged.where(F.col("name").startswith("=")).select(*node, F.substring("name", F.lit(2), F.length("name")).alias("segment"), F.col("branch").alias("own"))
+        other = merged.where(~F.col("name").startswith("=")).select(*node, F.col("name").alias("wild"), F.col("branch").alias("general"))
+        step = live.withColumn("segment", segment).withColumn("wild", wild(segment)).join(alone, node, "left")
+        step = step.join(literal, [*node, "segment"], "left").join(other, [*node, "wild"], "left")
+        rest = F.array_join(F.transform(F.slice("parts", level + 1, F.size("parts")), wild), "/")
+        after = F.concat("prefix", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.coalesce("own", "general")))
+        over = F.coalesce("alone", F.lit(False)) | (F.size("parts") == level + 1)
+        step = stash(step.withColumn("prefix", after).withColumn("over", over).select(*columns, "over"), "urls")
+        done, live = done.unionByName(step.where("over").drop("over")), step.where("NOT over").drop("over")
+        level += 1
+    return done.withColumnRenamed("prefix", "template").drop("parts")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

@@ -567,3 +567,18 @@ def test_url_templates_reject_what_is_labelled_bad(spark):
     got = urls.judge(pages, labels).collect()
     assert all((r["verdict"] == "block") == (r["page_id"] % 2 == 1) for r in got)
     assert {r["template"] for r in got} == {"/=spam/#/=page", "/=news/#/=page"}
+
+
+def test_url_sections_of_a_small_share_are_judged(spark):
+    rows = [(k, f"http://h.com/s{k % 40}/{k}") for k in range(1600)]
+    deep = "/".join("abcdefghijklm")
+    rows += [(k, f"http://deep.com/{deep}/{'bad' if k % 2 else 'good'}/{k}/end") for k in range(2000, 2200)]
+    labels = [(k, int(k % 40 == 7 if k < 2000 else k % 2)) for k, _ in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge(pages, spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert len(got) == len(rows)
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == {k for k, b in labels if b}
+    assert {got[k]["template"] for k in (7, 47)} == {"/=s7/#"} and got[0]["template"] == "/=s0|+38/#"
+    assert got[2001]["template"] == "/" + "/".join(f"={c}" for c in "abcdefghijklm") + "/=bad/#/=end"
+    one = spark.createDataFrame([(1, "http://x.com/a/1/b")], "page_id long, url string")
+    assert urls.judge(one, spark.createDataFrame([], "page_id long, bad int")).first()["template"] == "/*/#/*"
