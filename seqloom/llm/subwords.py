@@ -41,6 +41,10 @@ class Subwords:
             return encoding.encode_to_numpy(text, allowed_special="all").astype(np.uint32, copy=False)
         return encoding.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
+    def encode_ordinary(self, text: str) -> np.ndarray:
+        """The ids of a text in which no string is special: SPECIAL is ordinary subwords too."""
+        return _encoding(self.ranks_path).encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of many short texts, one after another, and how many each has."""
         ordinary = _encoding(self.ranks_path).encode_ordinary

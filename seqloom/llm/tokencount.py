@@ -43,8 +43,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = SPECIAL_ID, subw
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "")
-                ids = ids[ids != end_id]  # in a text the end id would end the document
+                ids = encoder.encode_ordinary(text.as_py() or "")
+                if (ids == end_id).any():
+                    raise ValueError(f"{end_id} is an id of ordinary text and cannot end documents")
                 head = (np.uint64(key & (1 << 64) - 1) >> shifts & np.uint64(KEY_BASE - 1)) if keyed else shifts[:0]
                 rows.append(np.concatenate((head, ids, [end_id])).astype("<u2").tobytes()[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
@@ -109,8 +110,8 @@ def key_of(head: str = "head") -> F.Column:
 def count_documents(docs: DataFrame, end_id: int = SPECIAL_ID, subwords: Subwords | None = None) -> DataFrame:
     """``doc_id, tokens``: writes the documents to flat token files in the shared folder and counts by scanning them.
 
-    Null and empty texts have 0 tokens. The end id never occurs within a text (its string is
-    left out). Repeated rows are counted each; where doc_id is null the key is a hash of the text.
+    Null and empty texts have 0 tokens. The end id never occurs within a text (its string
+    counts as ordinary subwords). Repeated rows are counted each; where doc_id is null the key is a hash of the text.
     """
     path = f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid4().hex}"
     write_token_files(docs, path, end_id, subwords)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.llm import ann, fingerprint, linededup, lm, minhash, mixing, packing, tokencount, toxicity, urls
+from seqloom.llm import ann, fingerprint, linededup, lm, minhash, mixing, packing, subwords, tokencount, toxicity, urls
 from seqloom.llm.common import prepare
 from seqloom.llm.components import components
 from seqloom.llm.subwords import VOCABULARY, Subwords
@@ -114,6 +114,16 @@ def test_token_counts(spark):
     assert {r["doc_id"] for r in tokencount.count_documents(negative).collect()} == {-5, 2**62 + 3}
 
 
+def test_end_string_in_a_text_is_counted(spark):
+    texts = ["<|endoftext|>", "<|endoftext|>" * 3, "a <|endoftext|> b", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["tokens"] for r in tokencount.count_documents(docs).collect()}
+    encoding = subwords._encoding(None)
+    assert got == {k: len(encoding.encode_ordinary(t)) for k, t in enumerate(texts)}
+    assert got[0] > 1 and got[2] > got[3]
+
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 1000])
 def test_scan_stitches_blocks(spark, tmp_path, block):
     rng = np.random.default_rng(block)
