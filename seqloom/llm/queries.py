@@ -75,20 +75,13 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every document its lines that repeat an earlier line, and all links of its lines, as ``linededup.line_links`` gives them."""
+    """For every document its lines that repeat an earlier line, how many links its lines have, and its class, as ``linededup.line_links`` gives them."""
     prepare(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    links = linededup.line_links(docs)
-    lines = docs.select("doc_id", document_key().alias("doc"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    none = F.array().cast("array<int>")
-    return lines.join(links, "doc", "left").select(
-        "doc_id", "n_lines",
-        F.coalesce("removed_lines", none).alias("removed_lines"),
-        F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
-        F.coalesce("line_sets", F.array().cast("array<struct<line:int,set_doc:bigint,set_line:int>>")).alias("line_sets"),
-        F.coalesce("similar_sets", F.array().cast("array<struct<line:int,near_doc:bigint,near_line:int>>")).alias("similar_sets"),
-        F.coalesce("class_id", "doc").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    rows = linededup.with_links(table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.line_links)
+    removed = F.coalesce("seqloom removed_lines", F.array().cast("array<int>"))
+    return rows.select(
+        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"), removed.alias("removed_lines"), F.size(removed).alias("n_removed"),
+        F.coalesce("seqloom class_id", document_key()).alias("class_id"), F.coalesce("seqloom n_links", F.lit(0).cast("long")).alias("n_links"),
     )
 
 

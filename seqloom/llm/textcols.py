@@ -73,14 +73,21 @@ def words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words, A-Z taken as a-z."""
+    """Starts, ends and 64-bit hashes of the words, A-Z taken as a-z; worked on in pieces of whole words of about RUN_BYTES."""
     starts, ends = words(raw, cuts)
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * _power("down", len(raw)), out=sums[1:])
-    polynomial = (sums[ends] - sums[starts]) * _power("up", len(raw) + 1)[starts]
-    return starts, ends, mix(polynomial + (ends - starts).astype(np.uint64))
+    hashes = np.empty(len(starts), np.uint64)
+    low = 0
+    while low < len(starts):
+        base = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, base + RUN_BYTES + 4096, "right")))
+        part = raw[base : int(ends[high - 1])]
+        first, last = starts[low:high] - base, ends[low:high] - base
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * _power("down", len(part)), out=sums[1:])
+        polynomial = (sums[last] - sums[first]) * _power("up", len(part) + 1)[first]
+        hashes[low:high] = mix(polynomial + (last - first).astype(np.uint64))
+        low = high
+    return starts, ends, hashes
 
 
 def hashed_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

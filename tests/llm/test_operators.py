@@ -266,7 +266,7 @@ def test_components(spark):
 
 def later_lines(rows) -> dict:
     lines = [(i, k, frozenset(line.encode().lower().split())) for i, t in rows for k, line in enumerate((t or "").split("\n"))]
-    lines = sorted(x for x in lines if len(x[2]) >= linededup.LEAST_WORDS)
+    lines = sorted(x for x in lines if x[2])
     lines.sort(key=lambda x: x[:2])
     found = defaultdict(list)
     for n, (i, k, s) in enumerate(lines):
@@ -275,72 +275,106 @@ def later_lines(rows) -> dict:
     return dict(found)
 
 
-@pytest.mark.parametrize("small,block,listed,long", [(48, 100_000, 64, 120), (2, 100_000, 1, 8), (48, 3, 2, 10)])
-def test_line_dedup_is_exact(spark, monkeypatch, small, block, listed, long):
-    monkeypatch.setattr(linededup, "LISTED", listed)
-    monkeypatch.setattr(linededup, "LONG", long)
-    monkeypatch.setattr(linededup, "FINE", ((long + 2, 1024), (long + 8, 8192)))
-    monkeypatch.setattr(linededup, "SMALL_GROUP", small)
-    monkeypatch.setattr(linededup, "BLOCK_LINES", block)
-    rng = random.Random(9)
-    base = [[rng.choice(WORDS) + str(rng.randrange(3)) for _ in range(rng.randint(4, 30))] for _ in range(25)]
+def linked_lines(rows) -> tuple[dict, dict, set]:
+    """By brute force: links and class of each document, and all pairs of similar lines, the later one first."""
+    lines = sorted((i, k, frozenset(x.encode().lower().split())) for i, t in rows for k, x in enumerate((t or "").split("\n")) if x.split())
+    links, parent, pairs = defaultdict(int), {i: i for i, _ in rows}, set()
+    for n, a in enumerate(lines):
+        for b in lines[:n]:
+            if 5 * len(a[2] & b[2]) >= 4 * len(a[2] | b[2]):
+                pairs.add((a[:2], b[:2]))
+                links[a[0]] += 1
+                links[b[0]] += 1
+                low, high = sorted((parent[a[0]], parent[b[0]]))
+                parent = {i: low if p == high else p for i, p in parent.items()}
+    return dict(links), parent, pairs
+
+
+def line_rows(seed: int, long: int) -> list:
+    rng = random.Random(seed)
+    base = [[rng.choice(WORDS) + str(rng.randrange(3)) for _ in range(rng.randint(3, 30))] for _ in range(20)]
+    base += [[f"u{k}x{j}" for j in range(long)] for k in range(2)]
     rows = []
-    for i in range(80):
+    for i in range(90):
         lines = []
-        for _ in range(rng.randint(1, 4)):
+        for _ in range(rng.randint(1, 3)):
             words = list(rng.choice(base))
-            for _ in range(rng.randint(0, 4)):
+            for _ in range(rng.choice([0, 0, 1, 2, 4, len(words) // 6])):
                 words[rng.randrange(len(words))] = rng.choice(WORDS)
             lines.append(" ".join(words))
         rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, rows[0][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc"]: list(r["removed_lines"]) for r in linededup.removed_lines(docs).collect()}
-    assert got == later_lines(rows)
-    clean = {r["doc_id"]: r["text"] for r in linededup.without_later_copies(docs).collect()}
-    for i, text in rows:
-        want = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in got.get(i, []))
-        assert clean[i] == want
-    assert linededup.removed_lines(docs.limit(0)).count() == 0
+    # A line like many different earlier lines.
+    common = [f"c{k}" for k in range(20)]
+    rows += [(200 + k, " ".join([*common, f"own{k}"])) for k in range(15)] + [(300, " ".join(common))]
+    return [*rows, (400, None), (401, ""), (402, "\n\n"), (403, rows[0][1]), (404, "nothing like it\n\n")]
 
 
-@pytest.mark.parametrize("small", [48, 2])
-def test_line_links_are_all_found(spark, monkeypatch, small):
+@pytest.mark.parametrize("small,block,words,gathered", [(2, 50_000, 1 << 17, 40), (48, 3, 60, 400_000), (3, 4, 40, 100)])
+def test_line_dedup_is_exact(spark, monkeypatch, small, block, words, gathered):
     monkeypatch.setattr(linededup, "SMALL_GROUP", small)
-    rng = random.Random(11)
-    base = [[rng.choice(WORDS) + str(rng.randrange(3)) for _ in range(rng.randint(3, 20))] for _ in range(8)]
-    rows = []
-    for i in range(50):
-        made = []
-        for _ in range(rng.randint(1, 3)):
-            words = list(rng.choice(base))
-            for _ in range(rng.choice([0, 0, 1, 2])):
-                words[rng.randrange(len(words))] = rng.choice(WORDS)
-            made.append(" ".join(words))
-        rows.append((i, "\n".join(made)))
-    # The case of the review: a line like many different earlier lines.
-    common = [f"c{k}" for k in range(20)]
-    rows += [(100 + k, " ".join([*common, f"own{k}"])) for k in range(15)] + [(200, " ".join(common)), (201, "nothing like it\n\n"), (202, None)]
-    lines = [(i, k, frozenset(x.encode().lower().split())) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
-    lines = sorted((x for x in lines if x[2]), key=lambda x: x[:2])
-    alike = lambda s, t: 5 * len(s & t) >= 4 * len(s | t)
-    got = {r["doc"]: r for r in linededup.line_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    links, parent = defaultdict(int), {i: i for i, _ in rows}
-    pairs = {(a[:2], b[:2]) for a in lines for b in lines if a[:2] < b[:2] and alike(a[2], b[2])}
-    for a, b in pairs:
-        links[a[0]] += 1
-        links[b[0]] += 1
-        low, high = sorted((parent[a[0]], parent[b[0]]))
-        parent = {i: low if p == high else p for i, p in parent.items()}
-    assert {i: r["n_links"] for i, r in got.items()} == links
+    monkeypatch.setattr(linededup, "BLOCK_LINES", block)
+    monkeypatch.setattr(linededup, "BLOCK_WORDS", words)
+    monkeypatch.setattr(linededup, "GATHERED", gathered)
+    monkeypatch.setattr(linededup, "PART_BYTES", 4000)
+    rows = line_rows(9 + small, 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc"]: r for r in linededup.line_links(docs).collect()}
+    links, parent, pairs = linked_lines(rows)
+    assert {i: list(r["removed_lines"]) for i, r in got.items() if r["removed_lines"]} == later_lines(rows)
+    assert {i: r["n_links"] for i, r in got.items()} == links and got[300]["n_links"] == 15
     assert {i: r["class_id"] for i, r in got.items()} == {i: parent[i] for i in links}
-    assert {i: list(r["removed_lines"]) for i, r in got.items() if r["removed_lines"]} == {i: k for i, k in later_lines(rows).items()}
-    # The pairs again, from membership and pairs of sets.
-    near = {((i, p["line"]), (p["near_doc"], p["near_line"])) for i, r in got.items() for p in r["similar_sets"] or []}
-    member = {(i, m["line"]): (m["set_doc"], m["set_line"]) for i, r in got.items() for m in r["line_sets"]}
-    assert pairs == {(a, b) for a in member for b in member if a < b and (member[a] == member[b] or {(member[a], member[b]), (member[b], member[a])} & near)}
-    assert got[200]["n_links"] == 15
-    assert linededup.line_links(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in linededup.without_later_copies(docs).collect()}
+    for i, text in rows:
+        gone = got[i]["removed_lines"] if i in got else []
+        assert clean[i] == (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone))
+    if small != 3:
+        return
+    # Pairs of first lines of sets, and later copies, are pairs by brute force; every pair of different sets is there.
+    near = {((r["doc"], r["line"]), (r["near_doc"], r["near_line"])) for r in linededup.similar_pairs(docs).collect()}
+    sets = {(i, k): frozenset(x.encode().lower().split()) for i, t in rows for k, x in enumerate((t or "").split("\n"))}
+    assert near <= pairs and {frozenset((sets[a], sets[b])) for a, b in near} == {frozenset((sets[a], sets[b])) for a, b in pairs if sets[a] != sets[b]}
+    first = {((r["doc"], r["line"]), (r["first_doc"], r["first_line"])) for r in linededup.later_copies(docs).collect()}
+    assert first <= pairs and {a for a, _ in first} == {a for a, _ in pairs}
+    assert linededup.line_links(docs.limit(0)).count() == 0 and linededup.without_later_copies(docs.limit(0)).count() == 0
+
+
+def test_long_lines_are_exact(spark):
+    """Lines whose parities are folded: near copies of several lengths, and others that only share common words."""
+    rng = random.Random(4)
+    common, rows = [f"c{k}" for k in range(300)], []
+    for n in (100, 130, 260, 700, 1500, 3000):
+        for _ in range(3):
+            words = [*rng.sample(common, n // 10), *(f"r{rng.random()}" for _ in range(n - n // 10))]
+            rows.append((len(rows), " ".join(words)))
+            for changes in (n // 20, n // 10, n // 8, n // 7):
+                other = [rng.choice(common) if k < changes else w for k, w in enumerate(rng.sample(words, n - changes // 3))]
+                rows.append((len(rows), " ".join(other)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    links, _, pairs = linked_lines(rows)
+    assert len(pairs) > 40
+    assert {r["doc"]: r["n_links"] for r in linededup.line_links(docs).collect()} == links
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "one two three four"), (2, "one two three four\nits own words"), (2, "unlike anything else seen before here\nmore of it"), (2, "unlike anything else seen before here\nmore of it"), (3, "its own words")]
+    docs = spark.createDataFrame([(i, t, "mine", 7, "x") for i, t in rows], "doc_id long, text string, doc string, line int, links string")
+    got = sorted((r["doc_id"], r["text"]) for r in linededup.without_later_copies(docs).collect())
+    # Whichever of the identical rows comes first keeps its lines.
+    assert got == sorted([(1, rows[0][1]), (2, "its own words"), (2, rows[2][1]), (2, ""), (3, "")])
+    assert {(r["doc"], r["line"], r["links"]) for r in linededup.without_later_copies(docs).collect()} == {("mine", 7, "x")}
+
+
+def test_very_many_lines_of_one_text():
+    text = "\n".join(["a b"] * 10 + ["c"] * ((1 << 20) + 10))
+    seen, words = 0, 0
+    for _, number, _, _, sizes in linededup.line_words(pa.array([text])):
+        assert number[0] == seen and (sizes >= 0).all()
+        seen, words = seen + len(number), words + int(sizes.sum())
+    assert (seen, words) == ((1 << 20) + 20, (1 << 20) + 30)
+
+
+def test_rarity_of_very_common_words():
+    assert linededup._rarity(np.array([0, 1, 2, 1 << 32, 1 << 62])).tolist() == [0, 0, 4, 128, 248]
 
 
 def test_short_lines_are_compared(spark):
