@@ -31,39 +31,52 @@ def counts_of(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.minimum.reduce([table[a] for a in at])
 
 
-def count(rows: DataFrame, column: Column, hashes: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
-    """The summed table of all rows. ``hashes`` gives, for a column of an Arrow batch, arrays of hashes to count.
+def empty() -> np.ndarray:
+    return np.zeros(DEPTH << BITS, np.int64)
 
-    Each task adds up its own rows; tasks' pieces are added in a shuffle, and the driver gets
-    the one summed table of DEPTH * 2**BITS counters.
-    """
 
-    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(DEPTH << BITS, np.int64)
-        for batch in batches:
-            for found in hashes(batch.column(0)):
-                for at in cells(found):
-                    table += np.bincount(at, minlength=len(table)) if len(at) > len(table) // 8 else 0
-                    if len(at) <= len(table) // 8:
-                        np.add.at(table, at, 1)
-        for piece, values in enumerate(table.reshape(-1, PIECE)):
-            if values.any():
-                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([_packed(values)], pa.binary())], names=["piece", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(PIECE, np.int64)
+def add(table: np.ndarray, hashes: np.ndarray) -> None:
+    for at in cells(hashes):
+        np.add.at(table, at, 1)
+
+
+def pieces(table: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The number and packed counters of each piece that has any."""
+    for piece, values in enumerate(table.reshape(-1, PIECE)):
+        if values.any():
+            yield piece, _packed(values)
+
+
+def summed(found: DataFrame) -> np.ndarray:
+    """The sum of all tables whose pieces are the rows ``piece, counts``: added in a shuffle, so that the driver gets one table of DEPTH * 2**BITS counters."""
+
+    def total(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(PIECE, np.int64)
         for batch in batches:
             for value in batch.column("counts"):
-                total += _unpacked(value.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(total)], pa.binary())], names=["piece", "counts"])
+                sums += _unpacked(value.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(sums)], pa.binary())], names=["piece", "counts"])
 
-    pieces = rows.select(column.alias("value")).mapInArrow(tables, "piece int, counts binary")
-    table = np.zeros((DEPTH << BITS) // PIECE * PIECE, np.int64).reshape(-1, PIECE)
-    for r in pieces.groupBy("piece").applyInArrow(add, "piece int, counts binary").collect():
+    table = empty().reshape(-1, PIECE)
+    for r in found.groupBy("piece").applyInArrow(total, "piece int, counts binary").collect():
         table[r["piece"]] = _unpacked(r["counts"])
     return table.reshape(-1)
 
 
+def count(rows: DataFrame, column: Column, hashes: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+    """The summed table of all rows. ``hashes`` gives, for a column of an Arrow batch, arrays of hashes to count."""
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = empty()
+        for batch in batches:
+            for found in hashes(batch.column(0)):
+                add(table, found)
+        for piece, values in pieces(table):
+            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([values], pa.binary())], names=["piece", "counts"])
+
+    return summed(rows.select(column.alias("value")).mapInArrow(tables, "piece int, counts binary"))
+
+
 def _packed(values: np.ndarray) -> bytes:
     import zlib
 

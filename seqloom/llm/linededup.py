@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import frequency
 from seqloom.llm.common import ahead_of_join, apart_from, document_key, drop, joined, stash, text_or_empty
 from seqloom.llm.components import components
-from seqloom.llm.textcols import bytes_of, hashed_runs, mix, runs, word_hashes
+from seqloom.llm.textcols import bytes_of, mix, runs, word_hashes
 
 #: Jaccard similarity of lines, as a fraction, so that all bounds are exact integers.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -36,8 +36,10 @@ CLASSES, MOST_CLASSES = 128, 1 << 16
 BLOCK_LINES = 50_000
 #: Prefix rows a task gathers before it sends them on, and bytes of text whose rows go to one part, about.
 GATHERED, PART_BYTES = 400_000, 6 << 20
-#: Groups up to this many sets are compared at all distances at once.
+#: Verified groups up to this many sets are compared at all distances at once.
 SMALL_GROUP = 48
+#: Pairs of prefix rows that are compared at once.
+PAIRS_AT_ONCE = 1 << 18
 #: Words of a block of a group that is verified, and words compared at once.
 BLOCK_WORDS, WORDS_AT_ONCE = 1 << 17, 1 << 21
 #: Bits of the filter by which the last scan leaves out lines that are no candidates.
@@ -113,34 +115,32 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def word_frequencies(docs: DataFrame) -> np.ndarray:
-    """How often each word occurs in all documents."""
-
-    def hashes(column: pa.Array) -> Iterator[np.ndarray]:
-        for _, _, words, _ in hashed_runs(column):
-            yield mix(words >> np.uint64(64 - _WORD_BITS))
-
-    return frequency.count(docs, F.col("text"), hashes)
-
-
 def _rarity(counts: np.ndarray) -> np.ndarray:
     """Four times the binary logarithm, which fits a byte whatever the count; 0 for a word that occurs once."""
     return np.minimum(np.rint(4 * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
 
 def line_ids(docs: DataFrame) -> DataFrame:
-    """``k1, k2, words, doc, text_id, line`` of every line that has a word: the keys of its set, and how many words that has."""
+    """``k1, k2, words, doc, text_id, line`` of every line that has a word: the keys of its set, and how many words that has.
+
+    Beside these there are rows with ``piece`` and ``counts``: pieces of each task's table of how many lines hold a word (see ``frequency``).
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = frequency.empty()
         for batch in batches:
             for row_of, number, words, begin, sizes in line_words(batch.column(2)):
+                frequency.add(table, words)
                 kept = np.flatnonzero(sizes)
                 k1, k2 = set_keys(words, begin[kept])
                 of = pa.array(row_of[kept])
                 columns = [_signed(k1), _signed(k2), pa.array(sizes[kept].astype(np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(number[kept].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "words", *PLACE])
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(kept), pa.int32()), pa.nulls(len(kept), pa.binary())], names=["k1", "k2", "words", *PLACE, "piece", "counts"])
+        for piece, counts in frequency.pieces(table):
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), pa.array([piece], pa.int32()), pa.array([counts], pa.binary())], names=["k1", "k2", "words", *PLACE, "piece", "counts"])
 
-    return keyed(docs).mapInArrow(rows, "k1 long, k2 long, words int, doc long, text_id long, line int")
+    return keyed(docs).mapInArrow(rows, "k1 long, k2 long, words int, doc long, text_id long, line int, piece int, counts binary")
 
 
 # --- candidates -----------------------------------------------------------------------------------
@@ -293,14 +293,14 @@ def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def connected(sets: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...]) -> np.ndarray:
     """A label for each set: those of one label hang together by pairs that pass the filters and share a group.
 
-    ``sets`` has size, parities and where they start; ``rows`` the set, group, position and flags of
+    ``sets`` has size (ascending), parities and where they start; ``rows`` the set, group, position and flags of
     each prefix row. A pair of similar sets is found at the first prefix word that they share: there
     no word before it is shared, so each set must have as many words left as the pair needs.
     """
     n_of, parity, at_of = sets
     owner, key, position, flags = rows
     labels = np.arange(len(n_of))
-    order = np.lexsort((owner, n_of[owner], key))
+    order = np.lexsort((owner, key))
     new = np.append(True, (key[order][1:] != key[order][:-1]) | (owner[order][1:] != owner[order][:-1]))
     order = order[new]
     cuts = np.append(np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
@@ -331,44 +331,46 @@ def connected(sets: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...]) -> np.
         return wide[words]
 
     def tie(x: np.ndarray, y: np.ndarray) -> None:
-        """Unite the sets of the rows x and y (n[x] >= n[y]) that pass all filters; the coarse parity filter is behind them."""
-        least = needed(n[x], n[y])
-        ok = (labels[owner[x]] != labels[owner[y]]) & (DENOMINATOR * n[y] >= NUMERATOR * n[x]) & (np.minimum(left[x], left[y]) >= least) & (~across[x] | (side[x] != side[y]))
-        x, y, least = x[ok], y[ok], least[ok]
+        """Unite the sets of the rows x and y (n[x] >= n[y]) that pass all filters."""
+        total = n[x] + n[y]
+        ok = (left[y] * (NUMERATOR + DENOMINATOR) >= NUMERATOR * total) & (~across[x] | (side[x] != side[y])) & (x != y)
+        x, y, total = x[ok], y[ok], total[ok]
+        odd = np.bitwise_count(first[x] ^ first[y]) + np.bitwise_count(second[x] ^ second[y])
+        ok = odd.astype(np.int32) * (NUMERATOR + DENOMINATOR) <= total  # an upper bound of what the exact test allows
+        x, y, odd = x[ok], y[ok], odd[ok]
         a, b = owner[x], owner[y]
+        least = needed(n[x], n[y])
         allowed = n[x] + n[y] - 2 * least
-        ok = np.bitwise_count(first[x] ^ first[y]).astype(np.int64) + np.bitwise_count(second[x] ^ second[y]) <= allowed
+        ok = (labels[a] != labels[b]) & (np.minimum(left[x], left[y]) >= least) & (odd <= allowed)
+        a, b, allowed = a[ok], b[ok], allowed[ok]
+        ok = np.ones(len(a), bool)
         narrow = np.minimum(width[a], width[b])
-        for words in np.unique(narrow[ok & (narrow > 2)]).tolist():
+        for words in np.unique(narrow[narrow > 2]).tolist():
             matrix, row = level(words)
-            some = np.flatnonzero(ok & (narrow == words))
+            some = np.flatnonzero(narrow == words)
             step = max(1, (1 << 20) // words)
             for k in range(0, len(some), step):
                 part = some[k : k + step]
                 ok[part] = np.bitwise_count(matrix[row[a[part]]] ^ matrix[row[b[part]]]).sum(1, dtype=np.int64) <= allowed[part]
         unite(labels, a[ok], b[ok])
 
-    group = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(group)) - cuts[:-1][group]
-    x = np.flatnonzero((sizes <= SMALL_GROUP)[group])
-    back = 0
-    while len(x):
-        back += 1
-        x = x[inside[x] >= back]
-        x = x[DENOMINATOR * n[x - back] >= NUMERATOR * n[x]]  # farther ones are shorter still
-        odd = np.bitwise_count(first[x] ^ first[x - back]).astype(np.int64) + np.bitwise_count(second[x] ^ second[x - back])
-        near = x[odd * (NUMERATOR + DENOMINATOR) <= n[x] + n[x - back]]
-        tie(near, near - back)
-    for g in np.flatnonzero(sizes > SMALL_GROUP):
-        low, high = int(cuts[g]), int(cuts[g + 1])
-        step = max(1, 400_000 // (high - low))
-        for k in range(low, high, step):
-            end = min(k + step, high)
-            begin = low + int(np.searchsorted(n[low:high], needed_of_own(n[k])))
-            odd = np.bitwise_count(first[k:end, None] ^ first[None, begin:end]) + np.bitwise_count(second[k:end, None] ^ second[None, begin:end])
-            near = (odd.astype(np.int64) * (NUMERATOR + DENOMINATOR) <= n[k:end, None] + n[None, begin:end]) & (np.arange(begin, end) < np.arange(k, end)[:, None])
-            i, j = np.nonzero(near)
-            tie(i + k, j + begin)
+    # With n[x] >= n[y] both sets need 4/9 (n[x] + n[y]) words from the shared one on. So x only meets sets of at most
+    # 5/4 n[x] - 9/4 p[x] words, and y is no more than a ninth from the start. Rows are sorted by group and size: x's partners are one run.
+    group = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes) << 32
+    early = np.flatnonzero(left * (NUMERATOR + DENOMINATOR) >= 2 * NUMERATOR * n)
+    keys = (group + n)[early]
+    most = np.minimum(n, (DENOMINATOR * n - (NUMERATOR + DENOMINATOR) * position) // NUMERATOR)
+    low = np.searchsorted(keys, group + needed_of_own(n))
+    many = np.maximum(np.searchsorted(keys, group + np.maximum(most, 0), "right") - low, 0)
+    some = np.flatnonzero(many)
+    ends = np.cumsum(many[some])
+    k = 0
+    while k < len(some):
+        base = ends[k - 1] if k else 0
+        to = max(k + 1, int(np.searchsorted(ends, base + PAIRS_AT_ONCE, "right")))
+        x = some[k:to]
+        tie(np.repeat(x, many[x]), early[_gathered(low[x], many[x])])
+        k = to
     return labels
 
 
@@ -382,7 +384,7 @@ def candidate_links(packed: DataFrame) -> DataFrame:
         sizes = _classes(n) // 64
         at = np.cumsum(sizes) - sizes
         # A set that several tasks have sent is one.
-        order = np.lexsort((n, ids))
+        order = np.lexsort((ids, n))
         new = np.append(True, (ids[order][1:] != ids[order][:-1]) | (n[order][1:] != n[order][:-1]))
         of = np.empty(len(ids), np.int64)
         of[order] = np.cumsum(new) - 1
@@ -390,9 +392,11 @@ def candidate_links(packed: DataFrame) -> DataFrame:
         owner = of[np.repeat(np.arange(len(ids)), many)]
         kept = parity[_gathered(at[one], sizes[one])]
         labels = connected((n[one], kept, np.concatenate(([0], np.cumsum(sizes[one])))), (owner, token, position, flags))
-        # Sets are in order of their keys, so a class's least member has the least key.
-        linked = np.flatnonzero(labels != np.arange(len(labels)))
-        a, b = ids[one][linked], ids[one][labels[linked]]
+        least = ids[one].copy()
+        np.minimum.at(least, labels, ids[one])
+        a, b = ids[one], least[labels]
+        linked = a != b
+        a, b = a[linked], b[linked]
         yield pa.RecordBatch.from_arrays([_signed(a), _signed(b)], names=["a", "b"])
 
     return packed.groupBy("part").applyInArrow(link, "a long, b long")
@@ -592,10 +596,10 @@ def verified(members: DataFrame, pairs: bool = False) -> DataFrame:
     return rows.mapInArrow(check, PAIRS if pairs else FOUND)
 
 
-def similar_sets(docs: DataFrame, sets: DataFrame, pairs: bool = False) -> DataFrame:
-    """What ``verified`` gives for all sets of words of ``docs``; ``sets`` are those of ``line_sets``."""
+def similar_sets(docs: DataFrame, sets: DataFrame, counts: np.ndarray, pairs: bool = False) -> DataFrame:
+    """What ``verified`` gives for all sets of words of ``docs``; ``sets`` and ``counts`` are those of ``line_sets``."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    links = stash(candidate_links(prefix_rows(docs, _rarity(word_frequencies(docs)), max(1, -(-size // PART_BYTES)))), "line-links")
+    links = stash(candidate_links(prefix_rows(docs, _rarity(counts), max(1, -(-size // PART_BYTES)))), "line-links")
     roots = stash(components(links), "line-roots")
     drop(links)
     able = stash(sets.join(roots.select(F.col("node").alias("k1"), "root"), "k1"), "line-candidates")
@@ -616,11 +620,13 @@ def similar_sets(docs: DataFrame, sets: DataFrame, pairs: bool = False) -> DataF
     return made
 
 
-def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``line_ids`` of all lines, and ``k1, k2, words, copies, doc, text_id, line``: each set, how many lines it has, and the first of them."""
+def line_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """``line_ids`` of all lines; ``k1, k2, words, copies, doc, text_id, line``: each set, how many lines it has, and the first of them; and how many lines hold each word."""
     lines = stash(line_ids(docs), "lines")
-    sets = lines.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE)).alias("first"))
-    return lines, stash(sets.select("k1", "k2", "words", "copies", "first.*"), "line-sets")
+    counts = frequency.summed(lines.where("piece IS NOT NULL").select("piece", "counts"))
+    lines_ = lines.where("piece IS NULL")
+    sets = lines_.groupBy("k1", "k2").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("copies"), F.min(F.struct(*PLACE)).alias("first"))
+    return lines, stash(sets.select("k1", "k2", "words", "copies", "first.*"), "line-sets"), counts
 
 
 def similar_pairs(docs: DataFrame) -> DataFrame:
@@ -629,8 +635,8 @@ def similar_pairs(docs: DataFrame) -> DataFrame:
     With the membership of lines in sets this is the whole join. Pairs grow with the square of a
     group of near copies, so the other functions only count them.
     """
-    lines, sets = line_sets(docs)
-    made = similar_sets(docs, sets, pairs=True)
+    lines, sets, counts = line_sets(docs)
+    made = similar_sets(docs, sets, counts, pairs=True)
     drop(lines, sets)
     return made
 
@@ -641,13 +647,13 @@ def line_members(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     The set is named by its first line; ``links`` counts the other lines of the set and of similar
     sets, ``near`` is the first line of the earliest similar set before the set, or null.
     """
-    lines, sets = line_sets(docs)
-    found = similar_sets(docs, sets)
+    lines, sets, counts = line_sets(docs)
+    found = similar_sets(docs, sets, counts)
     degrees = found.groupBy("k1", "k2").agg(F.sum("others").alias("others"), F.min("earlier").alias("near"))
     special = sets.join(degrees, ["k1", "k2"], "left").where("copies > 1 OR others IS NOT NULL")
     special = stash(special.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), "near", *[F.col(c).alias(f"set_{c}") for c in PLACE]), "line-special")
     drop(sets)
-    members = ahead_of_join(lines.select("k1", "k2", *PLACE), "k1", special.select("k1")).join(special, ["k1", "k2"]).drop("k1", "k2")
+    members = ahead_of_join(lines.where("piece IS NULL").select("k1", "k2", *PLACE), "k1", special.select("k1")).join(special, ["k1", "k2"]).drop("k1", "k2")
     members = stash(members, "line-members")
     edges = members.select(F.col("doc").alias("a"), F.col("set_doc").alias("b")).union(found.select("doc", "linked")).where("a <> b").distinct()
     edges = stash(edges, "line-edges")

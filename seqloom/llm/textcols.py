@@ -10,23 +10,14 @@ import pyarrow as pa
 #: Texts are worked on in runs of about so many bytes, which stay in a core's cache; a longer text is a run of its own.
 RUN_BYTES = 1 << 17
 
-_IS_WORD = np.ones(256, dtype=bool)
-_IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+def _in_words(raw: np.ndarray) -> np.ndarray:
+    """Which bytes are none of space, tab, line feed, vertical tab, form feed, carriage return."""
+    return (raw != 0x20) & (raw - np.uint8(0x09) > np.uint8(4))
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    """Powers 0 to n - 1 of the multiplier (up) or of its inverse (down), modulo 2**64."""
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, RUN_BYTES + 4096), _PRIME if which == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+def _lower(raw: np.ndarray) -> np.ndarray:
+    return raw + (raw - np.uint8(0x41) < np.uint8(26)).view(np.uint8) * np.uint8(0x20)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,32 +53,47 @@ def runs(where: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def words(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of all words in ``raw``; ``cuts`` are places that no word spans."""
-    inside = _IS_WORD[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[cuts] = True
-    edge[[0, -1]] = True
-    before = np.concatenate(([False], inside[:-1]))
-    after = np.concatenate((inside[1:], [False]))
-    return np.flatnonzero(inside & (~before | edge[:-1])), np.flatnonzero(inside & (~after | edge[1:])) + 1
+    """Starts and ends of all words in ``raw``; ``cuts`` are ascending places that no word spans."""
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = _in_words(raw)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    ends = [np.zeros(int(inside[0]), np.int64), edges, np.full(int(inside[-1]), len(raw))]
+    between = cuts[(cuts > 0) & (cuts < len(raw))]
+    between = between[inside[between] & inside[between - 1]]
+    if len(between):
+        between = np.unique(between)
+        ends += [between, between]
+    places = np.concatenate(ends)
+    if len(between):
+        places.sort()
+    return np.ascontiguousarray(places[0::2]), np.ascontiguousarray(places[1::2])
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_STRIDE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words, A-Z taken as a-z; worked on in pieces of whole words of about RUN_BYTES."""
+    """Starts, ends and 64-bit hashes of the words, A-Z taken as a-z.
+
+    A word is read eight bytes at a time, each time mixed into what is there so far.
+    """
     starts, ends = words(raw, cuts)
-    hashes = np.empty(len(starts), np.uint64)
-    low = 0
-    while low < len(starts):
-        base = int(starts[low])
-        high = max(low + 1, int(np.searchsorted(ends, base + RUN_BYTES + 4096, "right")))
-        part = raw[base : int(ends[high - 1])]
-        first, last = starts[low:high] - base, ends[low:high] - base
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((_LOWER[part].astype(np.uint64) + np.uint64(1)) * _power("down", len(part)), out=sums[1:])
-        polynomial = (sums[last] - sums[first]) * _power("up", len(part) + 1)[first]
-        hashes[low:high] = mix(polynomial + (last - first).astype(np.uint64))
-        low = high
-    return starts, ends, hashes
+    length = ends - starts
+    hashes = length.astype(np.uint64) * _STRIDE
+    if not len(starts):
+        return starts, ends, hashes
+    padded = np.concatenate((_lower(raw), np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    open_, at, left, h = slice(None), starts, length, hashes
+    while len(at):
+        h = mix(h ^ (eights[at] & _MASKS[np.minimum(left, 8)])) * _STRIDE
+        hashes[open_] = h
+        more = np.flatnonzero(left > 8)
+        open_ = np.arange(len(hashes))[open_][more]
+        at, left, h = at[more] + 8, left[more] - 8, h[more]
+    return starts, ends, mix(hashes)
 
 
 def hashed_runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
