@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WORD_PATTERN, stash, text_or_empty, uniform
+from seqloom.llm.common import drop, joined, stash, uniform
+from seqloom.llm.textcols import bytes_of, runs, words
 
-#: Slices of the keys of one source. Only the slice in which the budget ends is ever sorted.
-SLICES = 4096
+#: Slices into which the keys of one source are cut, and how often the slice in which a budget ends is cut again.
+#: Only the last one is ever ordered: one document of 2**27 or so.
+SLICES, LEVELS = 512, 3
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long")
+#: What each byte is: of a word; of a word and the first of its code point; the same, and a letter or not ASCII.
+_BYTES = np.arange(256)
+_IN_WORD = ~np.isin(_BYTES, [0x20, *range(0x09, 0x0E)])
+_POINT = _IN_WORD & ((_BYTES & 0xC0) != 0x80)
+_LETTER = _POINT & ((_BYTES >= 0x80) | ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <= 0x7A)))
 
 
-def quality_weight(text: Column) -> Column:
-    """A weight between 0.25 and 1.25: a quarter, plus the share of letters among all but white space."""
-    kept = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-    letters = F.length(F.regexp_replace(text, r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", ""))
-    return F.lit(0.25) + F.when(kept > 0, letters.cast("double") / kept).otherwise(0.0)
+def measured(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of words of each text, and its quality between 0.25 and 1.25: a quarter, plus the share of letters among all but white space."""
+    raw, where = bytes_of(texts)
+    n = len(where) - 1
+    size, quality = np.zeros(n, np.int64), np.full(n, 0.25)
+    for first, last in runs(where):
+        part = raw[where[first] : where[last]]
+        cuts = where[first : last + 1] - where[first]
+        size[first:last] = np.diff(np.searchsorted(words(part, cuts)[0], cuts))
+        kept, letters = (np.diff(np.searchsorted(np.flatnonzero(kind[part]), cuts)) for kind in (_POINT, _LETTER))
+        quality[first:last] += np.where(kept > 0, letters / np.maximum(kept, 1), 0.0)
+    return size, quality
+
+
+def sized(docs: DataFrame, kept: Sequence[str], seed: str) -> DataFrame:
+    """The columns ``kept`` of ``docs`` (renamed to ``its 0``, ``its 1``, ...), and ``doc_id, source, size, key``, which decide the mix."""
+    names = [f"its {k}" for k in range(len(kept))]
+    texts = next((k for k, c in enumerate(kept) if c == "text"), len(kept) + 2)
+    given = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], "doc_id", "source", *["text"] * (texts > len(kept)))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(names) + 2
+        for batch in batches:
+            size, quality = measured(batch.column(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(size), pa.array(quality)], names=[*batch.schema.names[:n], "size", "quality"])
+
+    schema = given.drop("text").withColumn("size", F.lit(0).cast("long")).withColumn("quality", F.lit(0.0)).schema
+    rows = given.mapInArrow(measure, schema)
+    return rows.withColumn("key", -F.log(uniform("doc_id", "size", F.lit(seed))) / F.col("quality")).drop("quality")
 
 
 def source_targets(sizes: DataFrame, share: float, weights: Sequence[int], most_epochs: int) -> DataFrame:
@@ -49,6 +80,79 @@ def source_targets(sizes: DataFrame, share: float, weights: Sequence[int], most_
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("stop")).otherwise(F.col("weight") * F.col("open")).alias("target"))
 
 
+def _slice(level: int) -> Column:
+    """The slice of a key on a level: 1 - exp(-key) is near uniform in the order of the keys, and each level cuts a slice into SLICES."""
+    most = SLICES ** (level + 1)
+    place = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * float(most)), F.lit(most - 1))
+    return F.pmod(place, F.lit(SLICES))
+
+
+def cuts(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, source_size, target, epochs, cut``: for each source the last document that the rest of its budget takes, and how much of it.
+
+    ``rows`` has ``source, doc_id, size, key``. ``cut`` has key, no_id (whether doc_id is null), doc_id, size and ``left``, the budget that is
+    left before that document, or is null if the budget takes all or nothing. LEVELS times the slice in which the budget ends is
+    found from sums by slice and cut into finer ones; only the rows of the last slice are ordered, so no task orders a source.
+    """
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = targets.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "source_size", "target", epochs.alias("epochs"))
+    plan = plan.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    plan = stash(plan, "mix-plan")
+    keys = ["name", "nameless"]
+    inside = rows.select(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("nameless"), "doc_id", "size", "key").where("size > 0")
+    left = plan.where("rest > 0").select(*keys, F.col("rest").alias("left"))
+    running = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    made = []
+    for level in range(LEVELS):
+        inside = joined(inside.withColumn("slice", _slice(level)), left, keys)
+        # The last slice that begins before the budget ends.
+        ends = inside.groupBy(*keys, "slice").agg(F.sum("size").alias("size"), F.first("left").alias("left"))
+        ends = ends.withColumn("before", F.coalesce(F.sum("size").over(running), F.lit(0))).where(F.col("before") < F.col("left"))
+        ends = stash(ends.groupBy(*keys).agg(F.max("slice").alias("slice"), F.max_by(F.col("left") - F.col("before"), "slice").alias("left")), "mix-slices")
+        inside = joined(inside.drop("left"), ends.drop("left"), [*keys, "slice"]).drop("slice")
+        left = ends.drop("slice")
+        made.append(ends)
+    order = Window.partitionBy(*keys).orderBy("key", F.col("doc_id").isNull(), "doc_id", "size")
+    last = joined(inside, left, keys).withColumn("before", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    last = last.where(F.col("before") < F.col("left")).withColumn("left", F.col("left") - F.col("before"))
+    at = F.struct("key", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size")
+    # Of rows that are equal in all of this the first stands for them; the others are told apart when the rest is dealt.
+    found = last.groupBy(*keys).agg(F.max(F.struct(at.alias("at"), "left")).alias("cut"))
+    same = last.withColumn("at", at).join(found.select(*keys, F.col("cut.at").alias("at")), [*keys, "at"]).groupBy(*keys, "at").agg(F.max("left").alias("left"))
+    found = same.select(*keys, "at.*", "left").withColumn("cut", F.struct("key", "no_id", "doc_id", "size", "left")).select(*keys, "cut")
+    result = plan.join(found, keys, "left").select(F.when(~F.col("nameless"), F.col("name")).alias("source"), "source_size", "target", "epochs", "rest", "cut")
+    result = stash(result, "mix-cuts")
+    drop(plan, *made)
+    return result
+
+
+def planned(docs: DataFrame, kept: Sequence[str], share: float, weights: Sequence[int], most_epochs: int, seed: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` as ``sized`` gives them, plus ``source_size, target, taken``; and the names that the columns ``kept`` have in it.
+
+    The documents' sizes and keys are written once, without texts; texts are only read, twice.
+    """
+    rows = sized(docs, kept, seed)
+    small = stash(sized(docs, [], seed), "mix-sizes")
+    sizes = small.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = cuts(small, source_targets(sizes, share, weights, most_epochs))
+    drop(small)
+    plan = plan.withColumnRenamed("source", "its source").withColumn("name", F.coalesce("its source", F.lit(""))).withColumn("nameless", F.col("its source").isNull()).drop("its source")
+    rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("nameless", F.col("source").isNull())
+    rows = joined(rows, plan, ["name", "nameless"])
+    at = F.struct("key", F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), "size")
+    cut = F.struct("cut.key", "cut.no_id", F.col("cut.doc_id").alias("doc_id"), "cut.size")
+    equal = F.col("cut").isNotNull() & F.col("key").eqNullSafe(F.col("cut.key")) & F.col("doc_id").eqNullSafe(F.col("cut.doc_id")) & (F.col("size") == F.col("cut.size"))
+    part = F.when(F.col("cut").isNull(), 0).when(at < cut, F.col("size")).otherwise(0)
+    whole = rows.where(~equal).withColumn("part", part)
+    order = Window.partitionBy("name", "nameless", "key").orderBy("size")
+    dealt = rows.where(equal).withColumn("place", F.row_number().over(order) - 1)
+    dealt = dealt.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut.left") - F.col("place") * F.col("size")))).drop("place")
+    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long")
+    names = [f"its {k}" for k in range(len(kept))]
+    columns = [*names, "size", "source_size", "target"]
+    return whole.unionByName(dealt).select(*columns, taken.alias("taken")), names
+
+
 def mix(
     docs: DataFrame,
     share: float = 1.5,
@@ -68,48 +172,18 @@ def mix(
 
     Null text counts as empty; null source is a source of its own, last in order; documents
     without words take nothing. Repeated rows are each a document; equal keys are ordered by
-    doc_id, then size, and rows equal in both are interchangeable. Other columns pass through,
-    except those named like the four results, which are replaced.
-
-    The sized rows are written once to the shared folder, since they are read three times.
-    No step sorts a whole source: keys are cut into SLICES slices of equal share, slices are
-    summed before any shuffle, and only the one slice of each source in which its budget ends
-    is sorted.
+    doc_id (null last), then size, and rows equal in all of these are interchangeable. Other
+    columns pass through, except those named like the four results, which are replaced
+    (``repeated`` keeps them). An empty table gives an empty table.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("size", "source_size", "target", "taken")]
-    text = text_or_empty()
-    key = -F.log(uniform("mix_doc", "mix_size", F.lit(seed))) / F.col("mix_quality")
-    rows = docs.select(
-        F.struct(*kept).alias("row"), F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"),
-        word_count(text).alias("mix_size"), quality_weight(text).alias("mix_quality"),
-    ).withColumn("key", key)
-    # 1 - exp(-key) is near uniform, and its order is the order of the keys.
-    rows = rows.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * SLICES)).cast("int"))
-    rows = rows.select("row", F.col("mix_doc").alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), "key", "slice")
-    rows = stash(rows, "mix-sized")
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    targets = source_targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), share, weights, most_epochs)
-    before = Window.partitionBy("source_key", "no_source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    guard = [F.coalesce(F.col("source"), F.lit("")).alias("source_key"), F.col("source").isNull().alias("no_source")]
-    budgets = targets.select(
-        *guard, "source_size", "target",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
-    ).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
-    placed = (
-        slices.select(*guard, "slice", "slice_size")
-        .withColumn("slice_start", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-        .join(budgets, ["source_key", "no_source"])
-    )
-    # The slice at which the rest of the budget ends; slices before it are taken whole.
-    ends = placed.filter((F.col("slice_start") < F.col("rest")) & (F.col("slice_start") + F.col("slice_size") >= F.col("rest")))
-    ends = ends.groupBy("source_key", "no_source").agg(F.min("slice").alias("end_slice"), F.min("slice_start").alias("end_start"))
-    plan = budgets.join(ends, ["source_key", "no_source"], "left")
-    rows = rows.select("*", *guard).join(plan, ["source_key", "no_source"])
-    inside = Window.partitionBy("source_key", "no_source", "end_slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_end = F.col("slice") == F.col("end_slice")
-    middle = rows.filter(at_end).withColumn("start", F.col("end_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    middle = middle.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start"))))
-    others = rows.filter(at_end.isNull() | ~at_end).withColumn("part", F.when(F.col("slice") < F.col("end_slice"), F.col("size")).otherwise(F.lit(0)))
-    taken = (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken")
-    result = [*[F.col(f"row.`{c}`").alias(c) for c in kept], "size", "source_size", "target", taken]
-    return middle.select(*result).unionByName(others.select(*result))
+    rows, names = planned(docs, kept, share, weights, most_epochs, seed)
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, kept)], "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), most_epochs: int = 2, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, each as often as ``mix`` takes it, to the nearest whole time."""
+    rows, names = planned(docs, docs.columns, share, weights, most_epochs, seed)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    rows = rows.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
