@@ -31,11 +31,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as often as the mix of sources takes them, to the nearest whole time."""
+    """Documents repeated as often as the mix of sources takes them, to the nearest whole time.
+
+    Documents without words, null text among them, have no size and are not taken. Null source is
+    a source; repeated rows are each a document; all columns pass unchanged.
+    """
     prepare(spark)
-    mixed = mixing.mix(docs)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("times", times).where("times > 0").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    return mixing.repeated(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
