@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from seqloom.operators.order import with_place
+
 #: Length that a representative counts as when members are ordered.
 REP_LENGTH = 99_999_999
 
@@ -115,21 +117,20 @@ def reduce_segments(members: DataFrame, segments: str, rate: int) -> DataFrame:
 
 def renumber(members: DataFrame) -> DataFrame:
     """Clusters and members numbered from 0 without gaps; ``old_cluster_no`` keeps the old number."""
-    numbers = members.select("cluster_no").distinct().withColumn("new_no", F.row_number().over(Window.orderBy("cluster_no")).cast("long") - 1)
+    numbers = with_place(members.select("cluster_no").distinct(), [F.asc("cluster_no")], "new_no")
     rows = members.join(numbers, "cluster_no")
     place = (F.row_number().over(by_cluster().orderBy("member_pos")) - 1).cast("int")
     return rows.withColumn("member_pos", place).select(
-        F.col("new_no").alias("cluster_no"), *[c for c in members.columns if c != "cluster_no"], F.col("cluster_no").alias("old_cluster_no")
+        F.col("new_no").cast("long").alias("cluster_no"), *[c for c in members.columns if c != "cluster_no"], F.col("cluster_no").alias("old_cluster_no")
     )
 
 
 def sort_clusters(members: DataFrame, by: str) -> DataFrame:
     """Clusters renumbered by size (``no``) or longest member (``len``), largest first, ties in the old order."""
     key = F.count(F.lit(1)) if by == "no" else F.max("len")
-    ranked = members.groupBy("cluster_no").agg(key.alias("key"))
-    ranked = ranked.withColumn("new_no", F.row_number().over(Window.orderBy(F.desc("key"), "cluster_no")).cast("long") - 1)
+    ranked = with_place(members.groupBy("cluster_no").agg(key.alias("key")), [F.desc("key"), F.asc("cluster_no")], "new_no")
     rows = members.join(ranked.select("cluster_no", "new_no"), "cluster_no")
-    return rows.select(F.col("new_no").alias("cluster_no"), *[c for c in members.columns if c != "cluster_no"], F.col("cluster_no").alias("old_cluster_no"))
+    return rows.select(F.col("new_no").cast("long").alias("cluster_no"), *[c for c in members.columns if c != "cluster_no"], F.col("cluster_no").alias("old_cluster_no"))
 
 
 def sort_members(members: DataFrame, by: str) -> DataFrame:
@@ -270,12 +271,19 @@ def append_level(table: DataFrame, coarse: DataFrame) -> DataFrame:
     return table.unionByName(rows)
 
 
-def sort_hierarchy(table: DataFrame) -> DataFrame:
-    """``id, place``: rows ordered by cluster and representative flag, coarsest level first."""
-    levels = [r[0] for r in table.select("level").distinct().orderBy(F.desc("level")).collect()]
-    wide = table.groupBy("id").pivot("level", levels).agg(F.first("cid").alias("cid"), F.first("rep").alias("rep"))
-    order = [F.asc(f"{k}_{c}") for k in levels for c in ("cid", "rep")]
-    return wide.select("id", F.row_number().over(Window.orderBy(*order, "id")).alias("place"))
+def sort_hierarchy(table: DataFrame, ordinals: DataFrame, levels: int | None = None) -> DataFrame:
+    """``id, place`` (from 1): rows by cluster, representatives first, on the coarsest level, then on up to two finer ones.
+
+    Rows equal in all of that keep their order of input, which ``ordinals`` (``id, ordinal``) gives.
+    ``levels`` says how many levels count (all, up to three, if None); more than there are is an error.
+    """
+    found = [r[0] for r in table.select("level").distinct().orderBy(F.desc("level")).collect()]
+    if levels is not None and levels > len(found):
+        raise ValueError("error level")
+    used = found[: min(levels or 3, 3)]
+    wide = table.groupBy("id").pivot("level", used).agg(F.first("cid").alias("cid"), F.first("rep").alias("rep")).join(ordinals, "id")
+    order = [o for k in used for o in (F.asc(f"{k}_cid"), F.desc(f"{k}_rep"))]
+    return with_place(wide, [*order, F.asc("ordinal")]).select("id", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def tree_text(members: DataFrame, identity: float) -> DataFrame:
@@ -287,15 +295,52 @@ def tree_text(members: DataFrame, identity: float) -> DataFrame:
     return rows.select("cluster_no", F.when(F.col("n") == 1, F.concat("id", F.lit(":1.0"))).otherwise(F.concat(F.lit("("), inner, F.lit(f"):{float(identity):.15g}"))).alias("tree"))
 
 
-def hit_table(members: DataFrame) -> DataFrame:
-    """``query, subject, identity, aligned, mismatches, evalue, score``: each member against its representative."""
-    reps = representatives(members).select("cluster_no", F.col("rep_id").alias("subject"), F.col("rep_len"))
-    share = F.when(F.col("is_rep"), 100.0).otherwise(F.regexp_replace("iden", "%", "").cast("double"))
-    aligned = F.least("len", "rep_len")
-    return members.join(reps, "cluster_no").select(
-        F.col("id").alias("query"), "subject", share.alias("identity"), aligned.alias("aligned"),
-        F.floor(aligned * (100 - share) / 100).alias("mismatches"), F.lit(0.0).alias("evalue"), (aligned * 2).alias("score"),
+def leading_number(text: Column) -> Column:
+    """The number that a text begins with, 0 without one."""
+    found = F.regexp_extract(text, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.when(found == "", 0.0).otherwise(found.cast("double"))
+
+
+def number_text(value: Column) -> Column:
+    """A number with at most 15 significant digits, without trailing zeros."""
+    digits = F.lit(14) - F.floor(F.log10(F.abs(value)))
+    scaled = F.when(value == 0, 0.0).otherwise(F.rint(value * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits))
+    return F.regexp_replace(scaled.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+
+
+def hit_table(members: DataFrame, field: str = "iden") -> DataFrame:
+    """The twelve columns of a hit table for each member that is not a representative, against the first representative of its cluster.
+
+    ``field`` holds what follows the word ``at`` of a member's line: ``q1:q2:r1:r2/`` with the
+    coordinates of the alignment (and a strand before the share), or the share alone. The aligned
+    length comes from the query's coordinates; without any, the share itself stands in the first
+    place and the numbers follow from that. Mismatches are what the identity leaves of the length,
+    the score is three a letter less six a mismatch. ``place`` keeps the order of members.
+    """
+    first = F.min_by(F.col("id"), F.when(F.col("is_rep"), F.col("member_pos")))
+    reps = members.groupBy("cluster_no").agg(first.alias("rep_id"))
+    rows = members.where(~F.col("is_rep")).join(reps, "cluster_no")
+    parts = F.split(F.coalesce(F.col(field), F.lit("")), "/", -1)
+    share = F.element_at(parts, -1)
+    share = F.substring(share, F.lit(1), F.greatest(F.length(share) - 1, F.lit(0)))
+    at = F.split(F.element_at(parts, 1), ":", -1)
+    of = lambda k: F.coalesce(F.get(at, F.lit(k)), F.lit(""))
+    rows = rows.select(
+        "cluster_no", F.col("member_pos").alias("place"), F.col("id").alias("query"), F.coalesce("rep_id", F.lit("")).alias("subject"), share.alias("identity"),
+        (leading_number(of(1)) - leading_number(of(0)) + 1.0).alias("aligned"), *[of(k).alias(c) for k, c in enumerate(("q_from", "q_to", "s_from", "s_to"))],
     )
+    rows = rows.withColumn("lost", F.col("aligned") * (F.lit(100.0) - leading_number(F.col("identity"))) / F.lit(100.0))
+    rows = rows.withColumn("mismatches", F.when(F.col("lost") < 0, F.ceil("lost")).otherwise(F.floor("lost")).cast("double"))
+    return rows.select(
+        "cluster_no", "place", "query", "subject", "identity", "aligned", "mismatches", F.lit(0).alias("gaps"), "q_from", "q_to", "s_from", "s_to",
+        F.lit(0).alias("evalue"), (F.col("aligned") * 3.0 - F.col("mismatches") * 6.0).alias("score"),
+    )
+
+
+def hit_lines(hits: DataFrame) -> DataFrame:
+    """``cluster_no, place, value``: the lines of a hit table, ordered by the first two."""
+    texts = ["query", "subject", "identity", number_text(F.col("aligned")), number_text(F.col("mismatches")), F.col("gaps").cast("string"), "q_from", "q_to", "s_from", "s_to", F.col("evalue").cast("string"), number_text(F.col("score"))]
+    return hits.select("cluster_no", "place", F.concat_ws("\t", *texts).alias("value"))
 
 
 def sequences_of_large(sequences: DataFrame, members: DataFrame, least: int) -> DataFrame:
@@ -313,7 +358,7 @@ def paired_kept(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def screen_members(references: DataFrame, matches: DataFrame) -> DataFrame:
     """``cluster_no, member_pos, idx, is_rep``: each reference (``seq_idx``), in order, is a cluster; queries matched to it stand below by index."""
-    numbers = references.select("seq_idx", (F.row_number().over(Window.orderBy("seq_idx")) - 1).cast("long").alias("cluster_no"))
+    numbers = with_place(references.select("seq_idx"), [F.asc("seq_idx")]).select("seq_idx", F.col("place").cast("long").alias("cluster_no"))
     own = numbers.select("cluster_no", F.lit(0).alias("member_pos"), F.col("seq_idx").alias("idx"), F.lit(True).alias("is_rep"))
     below = matches.join(numbers.withColumnRenamed("seq_idx", "r_idx"), "r_idx")
     place = F.row_number().over(by_cluster().orderBy("q_idx")).cast("int")

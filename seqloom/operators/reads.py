@@ -15,10 +15,12 @@ from seqloom.functions.letters import reverse_complement
 def exact_duplicates(records: DataFrame) -> DataFrame:
     """``seq_idx, rep_idx, abundance``: sequences that are equal, with the least index as representative.
 
-    Grouped by the sequence and joined back, so that a very common one is a count before it is shuffled.
+    Sequences are grouped by two hashes of 64 bits, which travel instead of the letters, and counted
+    before they are shuffled; groups of one need no partner and are told apart by their count.
     """
-    groups = records.groupBy("seq").agg(F.min("seq_idx").alias("rep_idx"), F.count(F.lit(1)).alias("abundance"))
-    return records.select("seq_idx", "seq").join(groups, "seq").select("seq_idx", "rep_idx", "abundance")
+    rows = records.select("seq_idx", F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit("other"), "seq").alias("h2"))
+    groups = rows.groupBy("h1", "h2").agg(F.min("seq_idx").alias("rep_idx"), F.count(F.lit(1)).alias("abundance"))
+    return rows.join(groups, ["h1", "h2"]).select("seq_idx", "rep_idx", "abundance")
 
 
 def common_prefix(records: DataFrame, least: int = 15) -> DataFrame:
@@ -28,9 +30,26 @@ def common_prefix(records: DataFrame, least: int = 15) -> DataFrame:
     return ends.select(F.when(n >= least, n).otherwise(0).alias("primer"))
 
 
-def mismatches(a: Column, b: Column, length: Column) -> Column:
-    """Places among the first ``length`` in which two strings differ."""
-    return F.size(F.filter(F.sequence(F.lit(1), length), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1))))
+def _with_mismatches(pairs: DataFrame, errors: int) -> DataFrame:
+    """``q_idx, r_idx, mismatches`` of the pairs (``q_seq, r_seq``, r no shorter) whose letters differ in at most ``errors`` of the places of q; byte arrays are compared whole batches at a time."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                held = column.cast(pa.large_binary())
+                _, offsets, data = held.buffers()
+                where = np.frombuffer(offsets, np.int64, len(held) + 1, held.offset * 8) if len(held) else np.zeros(1, np.int64)
+                sides.append((np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), where))
+            (q, q_at), (r, r_at) = sides
+            size = np.diff(q_at)
+            row = np.repeat(np.arange(len(size)), size)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            wrong = np.bincount(row[q[q_at[0] : q_at[-1]] != r[r_at[:-1][row] + inside]], minlength=len(size))
+            ok = pa.array(wrong <= errors)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(wrong.astype(np.int32)).filter(ok)], names=["q_idx", "r_idx", "mismatches"])
+
+    return pairs.select("q_idx", "r_idx", "q_seq", "r_seq").mapInArrow(compare, "q_idx long, r_idx long, mismatches int")
 
 
 def near_duplicates(records: DataFrame, errors: int, block: int = 30, same_length: bool = True) -> DataFrame:
@@ -38,16 +57,28 @@ def near_duplicates(records: DataFrame, errors: int, block: int = 30, same_lengt
 
     r comes first, longest first, ties by index; the query is compared over its whole length. With
     ``same_length`` false it may be a prefix of a longer r. Shorter sequences than a block are compared
-    as wholes. The block and the length are keys of an equi-join.
+    as wholes. The block, the length, and one of the errors + 1 equal parts into which the rest of a
+    sequence is cut are keys of an equi-join (with at most that many errors one part has none).
     """
-    rows = records.withColumn("head", F.substring(F.col("seq"), F.lit(1), F.lit(block)))
-    q = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("len").alias("q_len"), "head")
-    r = rows.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("len").alias("r_len"), F.col("head").alias("r_head"))
-    on = [F.col("head") == F.col("r_head"), (F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx")))]
-    if same_length:
-        on.append(F.col("q_len") == F.col("r_len"))
-    pairs = q.join(r, on).withColumn("mismatches", F.when(F.col("q_seq") == F.substring(F.col("r_seq"), F.lit(1), F.col("q_len")), 0).otherwise(mismatches(F.col("q_seq"), F.col("r_seq"), F.col("q_len"))))
-    return pairs.where(F.col("mismatches") <= errors).select("q_idx", "r_idx", "mismatches")
+    rows = records.select("seq_idx", "seq", "len", F.substring(F.col("seq"), F.lit(1), F.lit(block)).alias("head"))
+    later = [(F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx")))]
+    if not same_length:
+        q = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("len").alias("q_len"), "head")
+        r = rows.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("len").alias("r_len"), F.col("head").alias("r_head"))
+        pairs = q.join(r, [F.col("head") == F.col("r_head"), *later])
+        if errors == 0:
+            return pairs.where(F.col("q_seq") == F.substring(F.col("r_seq"), F.lit(1), F.col("q_len"))).select("q_idx", "r_idx", F.lit(0).alias("mismatches"))
+        return _with_mismatches(pairs, errors)
+    rest = F.greatest(F.col("len") - block, F.lit(0))
+    bounds = [F.floor(rest * k / (errors + 1)).cast("int") for k in range(errors + 2)]
+    parts = F.array(*[F.xxhash64(F.lit(k), "len", "head", F.substring(F.col("seq"), bounds[k] + block + 1, bounds[k + 1] - bounds[k])) for k in range(errors + 1)])
+    keyed = rows.select("seq_idx", "len", F.explode(F.array_distinct(parts)).alias("part"))
+    q = keyed.select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "part")
+    r = keyed.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), "part")
+    met = q.join(r, "part").where(later[0] & (F.col("q_len") == F.col("r_len"))).select("q_idx", "r_idx").distinct()
+    left = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("head"))
+    right = rows.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("head").alias("r_head"))
+    return _with_mismatches(met.join(left, "q_idx").join(right, "r_idx").where("head = r_head AND length(q_seq) = length(r_seq)"), errors)
 
 
 def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFrame:

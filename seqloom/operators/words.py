@@ -1,11 +1,16 @@
 """Word (k-mer) operators: counts, shared words, lookup order, bounds, and candidate pairs.
 
-A similarity self-join is a join of word rows on the word, summed by pair. Length bounds are part
-of the join condition, so that they act before the sum.
+A similarity join needs pairs that share many words. Each query's words are ordered by rarity; of
+so many of the rarest at least a few must be shared (prefix filter), so only these are joined, with
+length bounds in the join condition, and only pairs that share enough of them are counted exactly.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +34,16 @@ def strict_count(length: Column, m: int, identity: float) -> Column:
     return F.greatest(F.lit(0), length - m - (F.lit(m) * F.ceil(F.lit(1 - identity) * length)).cast("int"))
 
 
-def required_counts(length: Column, k: int, identity: float, small: int = 2, kind: str = "protein") -> tuple[Column, Column, Column]:
+def required_counts(length: Column, k: int, identity: float, small: int = 2, kind: str = "protein", shares: tuple[float, float] = (0.0, 0.0)) -> tuple[Column, Column, Column]:
     """Identical letters, shared short words and shared words that a query of this length needs.
 
     ``small`` is the length of the short words. A bound by counting words that mismatches can
     destroy is blended with one in proportion to length, the closer the threshold is to 1.
+    ``shares`` are shares of the length that short words and words must reach at least, for instance
+    from statistics of real alignments at this identity; the linear bounds stand where they are lower.
     """
     share_small, share = 1 - (1 - identity) * (small if kind == "protein" else 4), 1 - (1 - identity) * k
+    share_small, share = max(share_small, shares[0]), max(share, shares[1])
     rest = (length - k).cast("double") / (length * k)
     floor = F.lit(1.0) - rest
     new = (F.lit(identity) - floor) / rest
@@ -44,7 +52,8 @@ def required_counts(length: Column, k: int, identity: float, small: int = 2, kin
         blended = (new * strict_count(length, m, identity) + (F.lit(1.0) - new) * old).cast("int")
         return F.when(F.lit(identity) > floor, blended).otherwise(old)
 
-    letters = (F.lit(identity) * length).cast("int") - small + 1
+    # The count of letters is blended with its strict bound too, where the threshold is that close to 1.
+    letters = blend((F.lit(identity) * length).cast("int") - small + 1, small)
     shorts = blend(F.greatest(F.lit(0), (F.lit(share_small) * length).cast("int")), small)
     words = blend(F.greatest(F.lit(0), (F.lit(share) * length).cast("int")), k)
     return letters, shorts, words
@@ -66,32 +75,96 @@ def covered(length: Column, share: float, most: int, control: int) -> Column:
     return F.greatest((length * F.lit(share)).cast("long"), length - F.lit(most), F.lit(control))
 
 
-def shared_words(queries: DataFrame, references: DataFrame, k: int, kind: str = "protein", same: bool = True) -> DataFrame:
-    """``q_idx, r_idx, shared, look_pos``: the words two sequences share, with multiplicity, and the first of them in the query's order.
+def word_lists(records: DataFrame, k: int, kind: str = "protein") -> DataFrame:
+    """``seq_idx, len, words, skipped``: each sequence's words in ascending order as numbers, the n-th occurrence of a word as a number of its own.
 
-    With ``same`` both are one database: r comes before q, longest first, ties by index.
+    So the multiset of words is a set, and a number's place is how many words sort before it.
+    Nucleotide words with other letters than ACGT are left out and counted in ``skipped``.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = 27 ** np.arange(k - 1, -1, -1, dtype=np.int64)
+        for batch in batches:
+            rows, skipped = [], []
+            for seq in batch.column(2).to_pylist():
+                letters = np.frombuffer((seq or "").encode("ascii", "replace"), np.uint8).astype(np.int64) - 64
+                n = max(0, len(letters) - k + 1)
+                codes = np.lib.stride_tricks.sliding_window_view(letters, k) @ powers if n else np.zeros(0, np.int64)
+                if kind == "base" and n:
+                    known = np.isin(letters, [1, 3, 7, 20])
+                    codes = codes[np.lib.stride_tricks.sliding_window_view(known, k).all(1)]
+                codes = np.sort(codes)
+                new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+                nth = np.arange(len(codes)) - np.repeat(new, np.diff(np.append(new, len(codes))))
+                with np.errstate(over="ignore"):
+                    h = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + nth.astype(np.uint64)
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                rows.append((h ^ (h >> np.uint64(32))).view(np.int64))
+                skipped.append(n - len(codes))
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array(skipped, pa.int32())], names=["seq_idx", "len", "words", "skipped"])
+
+    return records.select(F.col("seq_idx").cast("long"), F.col("len").cast("int"), "seq").mapInArrow(cut, "seq_idx long, len int, words array<long>, skipped int")
+
+
+#: Of the words that a query needs, the share that must be met among its rarest ones.
+AHEAD = 0.25
+
+
+def sharing(queries: DataFrame, references: DataFrame, same: bool = True, on: Column | None = None) -> DataFrame:
+    """``q_idx, r_idx, shared, look_pos, q_len, r_len``: pairs that share at least ``needed`` words.
+
+    Both tables are ``word_lists``; ``queries`` has ``needed`` too, and ``shared`` counts words with
+    multiplicity. With ``same`` r comes before q, longest first, ties by index; ``on`` is a further
+    condition on ``q_len`` and ``r_len``. If a query of W words needs m, then of its W - m + t
+    rarest ones a reference that has enough shares t. ``look_pos`` is the place of the first
+    shared word in the query's order, after the skipped ones.
     """
-    q = look_positions(kmer_counts(queries, k, kind)).join(queries.select("seq_idx", "len"), "seq_idx")
-    r = (kmer_counts(references, k, kind)).join(references.select("seq_idx", "len"), "seq_idx")
-    q = q.select(F.col("seq_idx").alias("q_idx"), "word", F.col("n").alias("q_n"), "j0", F.col("len").alias("q_len"))
-    r = r.select(F.col("seq_idx").alias("r_idx"), "word", F.col("n").alias("r_n"), F.col("len").alias("r_len"))
-    on = [q["word"] == r["word"]]
+    earlier = F.lit(True) if on is None else on
     if same:
-        on.append((F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx"))))
-    return q.join(r, on).groupBy("q_idx", "r_idx").agg(
-        F.sum(F.least("q_n", "r_n")).alias("shared"), F.min("j0").alias("look_pos"), F.first("q_len").alias("q_len"), F.first("r_len").alias("r_len")
+        earlier = earlier & ((F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx"))))
+    q = queries.where((F.col("needed") >= 1) & (F.size("words") >= F.col("needed")))
+    q = q.withColumn("ahead", F.greatest(F.lit(1), F.floor(F.col("needed") * AHEAD)).cast("int"))
+    r_words = references.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), F.explode("words").alias("word"))
+    rarity = r_words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    q_words = q.select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "ahead", (F.size("words") - F.col("needed") + F.col("ahead")).alias("first"), F.explode("words").alias("word"))
+    ranked = q_words.join(rarity, "word", "left").withColumn("place", F.row_number().over(Window.partitionBy("q_idx").orderBy(F.col("n").asc_nulls_first(), "word")))
+    ahead = ranked.where((F.col("place") <= F.col("first")) & F.col("n").isNotNull()).select("q_idx", "q_len", "ahead", "word")
+    met = ahead.join(r_words, "word").where(earlier).groupBy("q_idx", "r_idx").agg(F.count(F.lit(1)).alias("met"), F.first("ahead").alias("ahead")).where("met >= ahead").select("q_idx", "r_idx")
+    left = q.select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), F.col("words").alias("q_words"), "needed", "skipped")
+    right = references.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), F.col("words").alias("r_words"))
+    both = met.join(left, "q_idx").join(right, "r_idx").withColumn("common", F.array_intersect("q_words", "r_words")).where(F.size("common") >= F.col("needed"))
+    return both.select(
+        "q_idx", "r_idx", F.size("common").cast("long").alias("shared"), (F.array_position("q_words", F.element_at("common", 1)) - 1 + F.col("skipped")).alias("look_pos"), "q_len", "r_len",
     )
 
 
-def candidate_pairs(queries: DataFrame, references: DataFrame, k: int, identity: float, kind: str = "protein", same: bool = True) -> DataFrame:
+def shared_words(queries: DataFrame, references: DataFrame, k: int, kind: str = "protein", same: bool = True, least: int = 1) -> DataFrame:
+    """``q_idx, r_idx, shared, look_pos``: the words two sequences share, with multiplicity, at least ``least``, and the first of them in the query's order.
+
+    With ``same`` both are one database: r comes before q, longest first, ties by index.
+    """
+    r = word_lists(references, k, kind)
+    q = (r if queries is references else word_lists(queries, k, kind)).withColumn("needed", F.lit(least))
+    return sharing(q, r, same)
+
+
+def candidate_pairs(
+    queries: DataFrame, references: DataFrame, k: int, identity: float, kind: str = "protein", same: bool = True, on: Column | None = None, shares: tuple[float, float] = (0.0, 0.0)
+) -> DataFrame:
     """Pairs that share enough words, first met early enough in the query's order: ``q_idx, r_idx, shared, look_pos, look_rank``.
 
-    A reference first met when fewer words are left than it needs is never a candidate.
+    A reference first met when fewer words are left than it needs is never a candidate. Words
+    with unknown bases lower what a query needs, to one at least. ``on``: see ``sharing``.
     """
-    pairs = shared_words(queries, references, k, kind, same)
-    _, _, needed = required_counts(F.col("q_len"), k, identity, 2 if kind == "protein" else 4, kind)
-    words = F.col("q_len") - k + 1
-    pairs = pairs.where((F.col("shared") >= needed) & (words - F.col("look_pos") + 1 >= needed))
+    r = word_lists(references, k, kind)
+    q = r if queries is references else word_lists(queries, k, kind)
+    _, _, needed = required_counts(F.col("len"), k, identity, 2 if kind == "protein" else 4, kind, shares)
+    lowered = F.when(F.col("skipped") > 0, F.greatest(needed - F.col("skipped"), F.lit(1))).otherwise(needed)
+    q = q.withColumn("needed", F.greatest(lowered, F.lit(1)).cast("int")).withColumn("wanted", lowered)
+    pairs = sharing(q, r, same, on).join(q.select(F.col("seq_idx").alias("q_idx"), "wanted"), "q_idx")
+    pairs = pairs.where(F.col("q_len") - k + 1 - F.col("look_pos") + 1 >= F.col("wanted"))
     order = Window.partitionBy("q_idx").orderBy("look_pos", F.desc("r_len"), "r_idx")
     return pairs.select("q_idx", "r_idx", "shared", "look_pos", F.row_number().over(order).alias("look_rank"))
 
@@ -111,15 +184,26 @@ def statistics(records: DataFrame) -> DataFrame:
     )
 
 
+#: Sequences of one length that one task numbers, about.
+SALT_ROWS = 500_000
+
+
 def length_ranks(records: DataFrame) -> DataFrame:
     """``seq_idx, rank``: place from 0, longest first, ties by index.
 
-    Each length is numbered on its own and starts where the longer ones end, so no task sorts everything.
+    Each length is numbered on its own and starts where the longer ones end; a length of many
+    sequences is cut at quantiles of the index, so no task sorts everything, nor a whole length.
     """
-    starts = records.groupBy("len").agg(F.count(F.lit(1)).alias("n"))
-    starts = starts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("len").orderBy("seq_idx")) - 1
-    return records.withColumn("inside", inside).join(starts, "len").select("seq_idx", (F.col("start") + F.col("inside")).alias("rank"))
+    rows = records.select("len", "seq_idx")
+    n, = rows.agg(F.count(F.lit(1))).first()
+    parts = max(1, -(-n // SALT_ROWS))
+    cuts = sorted(set(rows.agg(F.percentile_approx("seq_idx", [k / parts for k in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("seq_idx"))) if cuts else F.lit(0)
+    rows = rows.withColumn("part", part)
+    starts = rows.groupBy("len", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = starts.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("len"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy("len", "part").orderBy("seq_idx")) - 1
+    return rows.withColumn("inside", inside).join(starts, ["len", "part"]).select("seq_idx", (F.col("start") + F.col("inside")).alias("rank"))
 
 
 def divide(records: DataFrame, parts: int) -> DataFrame:

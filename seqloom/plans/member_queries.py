@@ -101,7 +101,7 @@ QUERIES = {
     "merge_in_order": lambda s, d: M.merge_in_order(M.select_size(member_view(s, d), 8, 99).select(*_M), [member_view(s, d).select(*_M)]),
     "rev_expand": lambda s, d: M.expand(member_view(s, d).select(*_M), _coarse(s, d)),
     "hier_append": lambda s, d: M.append_level(M.hierarchy(member_view(s, d)), _coarse(s, d)),
-    "hier_sort": lambda s, d: M.sort_hierarchy(M.append_level(M.hierarchy(member_view(s, d)), _coarse(s, d))),
+    "hier_sort": lambda s, d: M.sort_hierarchy(M.append_level(M.hierarchy(member_view(s, d)), _coarse(s, d)), member_view(s, d).select("id", F.col("k").alias("ordinal"))),
     "hier_rollup": lambda s, d: M.rolled_up(M.append_level(M.hierarchy(member_view(s, d)), _coarse(s, d))),
     "cluster_file_lines": lambda s, d: S.members_as_text(member_view(s, d)),
     "tree_text": lambda s, d: M.tree_text(member_view(s, d), 0.9),
@@ -162,14 +162,16 @@ SELECT cluster_no, CAST(row_number() OVER (PARTITION BY cluster_no ORDER BY memb
     "hier_append": f"""{_COARSE} SELECT id, len, 1 AS level, cluster_no AS cid, CAST(is_rep AS INT) AS rep FROM members UNION ALL
 SELECT m.id, m.len, 2, coalesce(c.cluster_no, v.cluster_no), coalesce(CAST(c.is_rep AS INT), 0) FROM members m JOIN reps r USING (cluster_no) LEFT JOIN coarse c ON c.id = m.id LEFT JOIN coarse v ON v.id = r.rep_id""",
     "hier_sort": f"""{_COARSE}, x AS (SELECT m.id, m.cluster_no AS c1, CAST(m.is_rep AS INT) AS r1, coalesce(c.cluster_no, v.cluster_no) AS c2, coalesce(CAST(c.is_rep AS INT), 0) AS r2
-FROM members m JOIN reps r USING (cluster_no) LEFT JOIN coarse c ON c.id = m.id LEFT JOIN coarse v ON v.id = r.rep_id) SELECT id, CAST(row_number() OVER (ORDER BY c2, r2, c1, r1, id) AS INT) AS place FROM x""",
+FROM members m JOIN reps r USING (cluster_no) LEFT JOIN coarse c ON c.id = m.id LEFT JOIN coarse v ON v.id = r.rep_id) SELECT id, CAST(row_number() OVER (ORDER BY c2, r2 DESC, c1, r1 DESC, CAST(id AS BIGINT)) AS INT) AS place FROM x""",
     "hier_rollup": f"""{_COARSE}, x AS (SELECT m.id, m.cluster_no AS c1, coalesce(c.cluster_no, v.cluster_no) AS c2 FROM members m JOIN reps r USING (cluster_no) LEFT JOIN coarse c ON c.id = m.id LEFT JOIN coarse v ON v.id = r.rep_id)
 SELECT 1 AS level, c1 AS cid, count(*) AS size, count(*) AS children FROM x GROUP BY c1 UNION ALL SELECT 2, c2, count(*), count(DISTINCT c1) FROM x GROUP BY c2""",
     "cluster_file_lines": f"""{_V} SELECT cluster_no, member_pos, CAST(row_number() OVER (PARTITION BY cluster_no ORDER BY member_pos) - 1 AS VARCHAR) || chr(9) || CAST(len AS VARCHAR) || 'aa, >' || id || '... ' ||
 CASE WHEN is_rep THEN '*' ELSE 'at ' || iden END AS value FROM members UNION ALL SELECT DISTINCT cluster_no, -1, '>Cluster ' || CAST(cluster_no AS VARCHAR) FROM members""",
     "tree_text": f"""{_V} SELECT cluster_no, CASE WHEN count(*) = 1 THEN max(id) || ':1.0' ELSE '(' || string_agg(id || ':0.1', ',' ORDER BY member_pos) || '):0.9' END AS tree FROM members GROUP BY cluster_no""",
-    "hit_table": f"""{_V}, {_REPS}, x AS (SELECT id AS query, rep_id AS subject, CASE WHEN is_rep THEN 100.0::DOUBLE ELSE CAST(replace(iden, '%', '') AS DOUBLE) END AS identity, least(len, rep_len) AS aligned FROM members JOIN reps USING (cluster_no))
-SELECT query, subject, identity, aligned, CAST(floor(aligned * (100 - identity) / 100) AS BIGINT) AS mismatches, 0.0::DOUBLE AS evalue, aligned * 2 AS score FROM x""",
+    "hit_table": f"""{_V}, {_REPS}, x AS (SELECT cluster_no, member_pos AS place, id AS query, rep_id AS subject, iden, replace(iden, '%', '') AS identity,
+0.0::DOUBLE - CAST(replace(iden, '%', '') AS DOUBLE) + 1.0::DOUBLE AS aligned FROM members JOIN reps USING (cluster_no) WHERE NOT is_rep),
+y AS (SELECT *, trunc(aligned * (100.0::DOUBLE - CAST(identity AS DOUBLE)) / 100.0::DOUBLE) + 0.0::DOUBLE AS mismatches FROM x)
+SELECT cluster_no, place, query, subject, identity, aligned, mismatches, 0 AS gaps, iden AS q_from, '' AS q_to, '' AS s_from, '' AS s_to, 0 AS evalue, aligned * 3 - mismatches * 6 AS score FROM y""",
     "multi_seq": f"""{_V}, {_SIZES} SELECT m.cluster_no, m.id, o_orderpriority FROM members m JOIN sizes USING (cluster_no) JOIN orders ON o_orderkey = k WHERE size >= 12""",
     "pe_filter": f"""{_V} SELECT CAST(o_orderkey AS VARCHAR) AS id_1, CAST(o_orderkey + 1 AS VARCHAR) AS id_2 FROM orders WHERE CAST(o_orderkey AS VARCHAR) IN (SELECT id FROM members WHERE is_rep) OR CAST(o_orderkey + 1 AS VARCHAR) IN (SELECT id FROM members WHERE is_rep)""",
 }

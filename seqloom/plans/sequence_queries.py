@@ -54,14 +54,14 @@ def _required_sql(k: int, c: float, small: int = 2) -> str:
     """Expressions of ``operators.words.required_counts`` over a column ``len``."""
     rest = f"(CAST(len - {k} AS DOUBLE) / (len * {k}))"
 
-    def blend(share: str, m: int) -> str:
-        old = f"greatest(0, CAST(trunc({share} * len) AS INT))"
+    def blend(share: str, m: int, old: str = "") -> str:
+        old = old or f"greatest(0, CAST(trunc({share} * len) AS INT))"
         strict = f"greatest(0, len - {m} - CAST(trunc({m} * ceil((1 - {c}::DOUBLE) * len)) AS INT))"
         new = f"(({c}::DOUBLE - (1.0::DOUBLE - {rest})) / {rest})"
         return f"CASE WHEN {c}::DOUBLE > 1.0::DOUBLE - {rest} THEN CAST(trunc({new} * {strict} + (1.0::DOUBLE - {new}) * {old}) AS INT) ELSE {old} END"
 
     return (
-        f"CAST(trunc({c}::DOUBLE * len) AS INT) - {small} + 1 AS letters, {blend(f'(1 - (1 - {c}::DOUBLE) * {small})', small)} AS shorts, "
+        f"{blend(f'{c}::DOUBLE', small, f'(CAST(trunc({c}::DOUBLE * len) AS INT) - {small} + 1)')} AS letters, {blend(f'(1 - (1 - {c}::DOUBLE) * {small})', small)} AS shorts, "
         f"{blend(f'(1 - (1 - {c}::DOUBLE) * {k})', k)} AS words"
     )
 
@@ -98,8 +98,8 @@ QUERIES = {
     "divide_segments": lambda s, d: W.divide(letters(s, d), 8),
     "kmer_counts": lambda s, d: W.kmer_counts(letters(s, d), 5),
     "kmer_counts_nt": lambda s, d: W.kmer_counts(letters(s, d, kind="base"), 8, "base"),
-    "shared_words": lambda s, d: W.shared_words(letters(s, d), letters(s, d), 5).where("shared >= 20").select("q_idx", "r_idx", "shared", "look_pos"),
-    "candidate_pairs": lambda s, d: W.candidate_pairs(letters(s, d), letters(s, d), 5, 0.9),
+    "shared_words": lambda s, d: W.shared_words(*[letters(s, d)] * 2, 5, least=20).select("q_idx", "r_idx", "shared", "look_pos"),
+    "candidate_pairs": lambda s, d: W.candidate_pairs(*[letters(s, d)] * 2, 5, 0.9),
     "candidate_pairs_2d": lambda s, d: W.candidate_pairs(letters(s, d, 100), benchmark(s, d, 100), 4, 0.8, same=False).select("q_idx", "r_idx", "shared", "look_pos"),
     "required_counts": _required,
     "length_bounds": _bounds,

@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from seqloom.operators import cluster as C
+from seqloom.operators import reads as R
+from seqloom.operators import words as W
 from seqloom.operators.verify import BONUS, UNIT, Limits, Scoring, align, diagonal_test, encode, limited
 
 PROTEIN = "ARNDCQEGHILKMFPSTWYV"
@@ -153,7 +155,9 @@ def serial_cluster(records, identity, k):
             strict = max(0, n - m - int(m * math.ceil((1 - identity) * n)))
             new = (identity - (1.0 - rest)) / rest
             out.append(int(new * strict + (1.0 - new) * old) if identity > 1.0 - rest else old)
-        return int(identity * n) - 2 + 1, *out
+        old, strict = int(identity * n) - 2 + 1, max(0, n - 2 - int(2 * math.ceil((1 - identity) * n)))
+        new = (identity - (1.0 - rest)) / rest
+        return int(new * strict + (1.0 - new) * old) if identity > 1.0 - rest else old, *out
 
     for idx, seq in order:
         n = len(seq)
@@ -215,3 +219,89 @@ def test_screen_finds_mutants_and_novel_ones(spark):
     got = {r["q_idx"]: r["r_idx"] for r in C.screen(make(queries), make(refs), 0.8, 3).collect()}
     assert got == {10 + i: i for i in range(5)}
     assert [r["seq_idx"] for r in C.novel(make(queries), make(refs), 0.8, 3).collect()] == [99]
+
+
+def test_screen_keeps_to_lengths_and_divides_by_the_shorter(spark):
+    """By default a reference is at least as long as the query; looser bounds let a longer query in, whose identity is the share of the reference."""
+    rng = random.Random(12)
+    long = "".join(rng.choice(PROTEIN) for _ in range(60))
+    make = lambda rows: spark.createDataFrame([(i, s, len(s)) for i, s in rows], "seq_idx long, seq string, len int")
+    queries, references = make([(10, long), (11, long[:50])]), make([(0, long[:54])])
+    got = {r["q_idx"]: r["identity"] for r in C.screen(queries, references, 0.8, 3).collect()}
+    assert set(got) == {11} and got[11] == 1.0
+    got = {r["q_idx"]: r["identity"] for r in C.screen(queries, references, 0.8, 3, lengths=C.Lengths(least=0.5, less=20)).collect()}
+    assert set(got) == {10, 11} and got[10] == 1.0
+    assert C.screen(queries, references, 0.8, 3, lengths=C.Lengths(more=2)).count() == 0
+
+
+def test_candidates_equal_a_full_join(spark):
+    """Prefix-filtered pairs against all pairs of words, with multiplicity, ties and repeated words; proteins and bases with unknown letters."""
+    rng = random.Random(13)
+    for kind, letters, k in (("protein", "ACDE", 2), ("base", "ACGTN", 3)):
+        records = [(i, "".join(rng.choice(letters) for _ in range(rng.randint(k, 25)))) for i in range(40)]
+        records += [(40, records[0][1]), (41, mutated(rng, records[1][1], letters, 1)), (42, "A" * 20), (43, "A" * 18)]
+        table = spark.createDataFrame([(i, s, len(s)) for i, s in records], "seq_idx long, seq string, len int")
+        cut = {i: sorted(w for w in (s[j : j + k] for j in range(len(s) - k + 1)) if kind == "protein" or "N" not in w) for i, s in records}
+        want = {}
+        for q, s in records:
+            skipped = max(0, len(s) - k + 1) - len(cut[q])
+            for r, t in records:
+                if (len(t), -r) > (len(s), -q) and q != r:
+                    shared = sum(min(cut[q].count(w), cut[r].count(w)) for w in set(cut[q]))
+                    if shared >= 3:
+                        want[q, r] = (shared, min(cut[q].index(w) for w in set(cut[q]) & set(cut[r])) + skipped)
+        got = {(r["q_idx"], r["r_idx"]): (r["shared"], r["look_pos"]) for r in W.shared_words(table, table, k, kind, least=3).collect()}
+        assert got == want and len(want) > 20
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(14)
+    seqs = ["".join(rng.choice("ACGT") for _ in range(rng.choice([20, 35, 50]))) for _ in range(12)]
+    for s in list(seqs):
+        for _ in range(4):
+            t = list(s)
+            for _ in range(rng.randint(0, 5)):
+                t[rng.randrange(len(t))] = rng.choice("ACGT")
+            seqs.append("".join(t))
+    table = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(seqs)], "seq_idx long, seq string, len int")
+    for errors, block in ((0, 10), (3, 10), (2, 30)):
+        got = {(r["q_idx"], r["r_idx"], r["mismatches"]) for r in R.near_duplicates(table, errors, block).collect()}
+        want = set()
+        for i, q in enumerate(seqs):
+            for j, r in enumerate(seqs[:i]):
+                wrong = sum(a != b for a, b in zip(q, r, strict=False))
+                if len(q) == len(r) and q[:block] == r[:block] and wrong <= errors:
+                    want.add((i, j, wrong))
+        assert got == want and want
+
+
+def test_ranges_number_as_one_window(spark, monkeypatch):
+    from seqloom.operators import order as O
+
+    rows = spark.createDataFrame([(k, (k * 37) % 50) for k in range(400)], "id long, key long")
+    from pyspark.sql import functions as F
+
+    want = {r["id"]: r["place"] for r in O.with_place(rows, [F.desc("key"), F.asc("id")]).collect()}
+    monkeypatch.setattr(O, "RANGE_ROWS", 60)
+    assert {r["id"]: r["place"] for r in O.with_place(rows, [F.desc("key"), F.asc("id")]).collect()} == want
+    monkeypatch.setattr(W, "SALT_ROWS", 90)
+    lengths = rows.select(F.col("id").alias("seq_idx"), (F.col("key") % 3 + 5).cast("int").alias("len"))
+    got = {r["seq_idx"]: r["rank"] for r in W.length_ranks(lengths).collect()}
+    order = sorted(((k * 37) % 50 % 3 + 5, -k) for k in range(400))[::-1]
+    assert got == {-k: n for n, (_, k) in enumerate(order)}
+
+
+def test_hits_and_hierarchy_follow_the_files(spark):
+    """Lines of a hit table with and without coordinates, and a hierarchy in which only the input's order tells rows apart."""
+    from seqloom.operators import members as M
+
+    rows = [(0, 0, "a", 120, True, None), (0, 1, "b", 110, False, "97.50%"), (0, 2, "c", 100, False, "3:102:5:104/95.00%"), (1, 0, "d", 90, False, "1:90:1:90/+/96.67%")]
+    table = spark.createDataFrame(rows, "cluster_no long, member_pos int, id string, len long, is_rep boolean, iden string")
+    got = [r["value"] for r in M.hit_lines(M.hit_table(table)).orderBy("cluster_no", "place").collect()]
+    assert got == ["b\ta\t97.50\t-96.5\t-2\t0\t97.50%\t\t\t\t0\t-277.5", "c\ta\t95.00\t100\t5\t0\t3\t102\t5\t104\t0\t270", "d\t\t96.67\t90\t2\t0\t1\t90\t1\t90\t0\t258"]
+    levels = [(i, 1, level, cid, rep) for level, cells in ((1, {"x": (0, 0), "y": (0, 1), "z": (1, 1), "u": (0, 0)}), (2, {"x": (5, 0), "y": (5, 1), "z": (4, 0), "u": (5, 0)})) for i, (cid, rep) in cells.items()]
+    tree = spark.createDataFrame(levels, "id string, len int, level int, cid long, rep int")
+    ordinals = spark.createDataFrame([("u", 9), ("x", 3), ("y", 1), ("z", 2)], "id string, ordinal int")
+    assert [r["id"] for r in M.sort_hierarchy(tree, ordinals).orderBy("place").collect()] == ["z", "y", "x", "u"]
+    with pytest.raises(ValueError):
+        M.sort_hierarchy(tree, ordinals, levels=3)
