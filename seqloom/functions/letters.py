@@ -14,9 +14,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LETTERS_AS_BASES = "ACGTACGTACGTACGTACGTACGTAC"
 
 
-def letters_of(text: Column, most: int = 200) -> Column:
-    """The first ``most`` ASCII letters of a text, upper-case."""
-    return F.substring(F.upper(F.regexp_replace(text, "[^A-Za-z]", "")), 1, most)
+def letters_of(text: Column) -> Column:
+    """The ASCII letters of a text, upper-case."""
+    return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
 
 
 def as_bases(letters: Column) -> Column:
@@ -55,9 +55,9 @@ def two_decimals(share: Column) -> Column:
     return F.bround(percent.cast("decimal(20,12)"), 2).cast("string")
 
 
-def records(docs: DataFrame, most: int = 200, longer_than: int = 10, kind: str = "protein") -> DataFrame:
-    """``seq_idx, seq, len`` from a table of texts: letters or bases of each text that has more than ``longer_than`` of them."""
-    seq = letters_of(F.col("text"), most)
+def records(docs: DataFrame, longer_than: int = 10, kind: str = "protein") -> DataFrame:
+    """``seq_idx, seq, len`` from a table of texts: all letters, or bases, of each text that has more than ``longer_than`` of them."""
+    seq = letters_of(F.col("text"))
     if kind == "base":
         seq = as_bases(seq)
     rows = docs.select(F.col("doc_id").cast("long").alias("seq_idx"), seq.alias("seq"))

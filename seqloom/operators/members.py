@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from seqloom.operators.order import with_place
+from seqloom.operators.words import length_ranks
 
 #: Length that a representative counts as when members are ordered.
 REP_LENGTH = 99_999_999
@@ -357,8 +358,8 @@ def paired_kept(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def screen_members(references: DataFrame, matches: DataFrame) -> DataFrame:
-    """``cluster_no, member_pos, idx, is_rep``: each reference (``seq_idx``), in order, is a cluster; queries matched to it stand below by index."""
-    numbers = with_place(references.select("seq_idx"), [F.asc("seq_idx")]).select("seq_idx", F.col("place").cast("long").alias("cluster_no"))
+    """``cluster_no, member_pos, idx, is_rep``: each reference (``seq_idx, len``), longest first, is a cluster; queries matched to it stand below by index."""
+    numbers = length_ranks(references).select("seq_idx", F.col("rank").cast("long").alias("cluster_no"))
     own = numbers.select("cluster_no", F.lit(0).alias("member_pos"), F.col("seq_idx").alias("idx"), F.lit(True).alias("is_rep"))
     below = matches.join(numbers.withColumnRenamed("seq_idx", "r_idx"), "r_idx")
     place = F.row_number().over(by_cluster().orderBy("q_idx")).cast("int")

@@ -26,7 +26,10 @@ def exact_duplicates(records: DataFrame) -> DataFrame:
 def common_prefix(records: DataFrame, least: int = 15) -> DataFrame:
     """One row ``primer``: length of the longest prefix that all sequences share, 0 if below ``least``."""
     ends = records.agg(F.min("seq").alias("a"), F.max("seq").alias("b"))
-    n = F.size(F.filter(F.sequence(F.lit(1), F.least(F.length("a"), F.length("b"))), lambda i: F.substring(F.col("a"), F.lit(1), i) == F.substring(F.col("b"), F.lit(1), i)))
+    shorter = F.least(F.length("a"), F.length("b"))
+    # The first place in which the two differ; letters are compared one by one only between the outermost two sequences.
+    differ = F.filter(F.when(shorter > 0, F.sequence(F.lit(1), shorter)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(F.col("a"), i, F.lit(1)) != F.substring(F.col("b"), i, F.lit(1)))
+    n = F.coalesce(F.get(differ, F.lit(0)) - 1, shorter, F.lit(0))
     return ends.select(F.when(n >= least, n).otherwise(0).alias("primer"))
 
 
@@ -52,33 +55,107 @@ def _with_mismatches(pairs: DataFrame, errors: int) -> DataFrame:
     return pairs.select("q_idx", "r_idx", "q_seq", "r_seq").mapInArrow(compare, "q_idx long, r_idx long, mismatches int")
 
 
-def near_duplicates(records: DataFrame, errors: int, block: int = 30, same_length: bool = True) -> DataFrame:
-    """``q_idx, r_idx, mismatches``: pairs whose leading ``block`` letters are equal and whose further letters differ in at most ``errors`` places.
+def percent_text(share: Column) -> Column:
+    """A percentage in single precision with two decimals, ties to even."""
+    return F.bround(share.cast("float").cast("double").cast("decimal(20,12)"), 2).cast("string")
 
-    r comes first, longest first, ties by index; the query is compared over its whole length. With
-    ``same_length`` false it may be a prefix of a longer r. Shorter sequences than a block are compared
-    as wholes. The block, the length, and one of the errors + 1 equal parts into which the rest of a
-    sequence is cut are keys of an equi-join (with at most that many errors one part has none).
+
+def duplicate_members(clusters: DataFrame, reads: DataFrame) -> DataFrame:
+    """``cluster_no, member_pos, id, len, is_rep, iden`` of ``duplicate_clusters``: members longest first, each aligned from its first letter to the representative's first.
+
+    ``reads`` has ``seq_idx, id, seq, len``. The identity is the share of equal letters in whole reads.
+    """
+    of = reads.select(F.col("seq_idx").alias("rep_idx"), F.col("seq").alias("r_seq"))
+    rows = clusters.select("seq_idx", "rep_idx", "cluster_no", "is_rep").join(reads.select("seq_idx", "id", "seq", "len"), "seq_idx").join(of, "rep_idx")
+    pairs = rows.where(~F.col("is_rep")).select(F.col("seq_idx").alias("q_idx"), F.col("rep_idx").alias("r_idx"), F.col("seq").alias("q_seq"), "r_seq")
+    wrong = _with_mismatches(pairs, 2**31 - 1).select(F.col("q_idx").alias("seq_idx"), "mismatches")
+    rows = rows.join(wrong, "seq_idx", "left")
+    share = (F.lit(100) * (F.col("len") - F.col("mismatches"))).cast("float") / F.col("len").cast("float")
+    at = F.concat(F.lit("1:"), F.col("len").cast("string"), F.lit(":1:"), F.col("len").cast("string"), F.lit("/+/"), percent_text(share), F.lit("%"))
+    place = (F.row_number().over(Window.partitionBy("cluster_no").orderBy(F.desc("is_rep"), F.desc("len"), "seq_idx")) - 1).cast("int")
+    return rows.select("cluster_no", place.alias("member_pos"), "id", F.col("len").cast("long").alias("len"), "is_rep", F.when(~F.col("is_rep"), at).alias("iden"), "seq_idx")
+
+
+def overlap_members(clusters: DataFrame, reads: DataFrame) -> DataFrame:
+    """``cluster_no, member_pos, id, len, is_rep, iden`` of ``overlap_clusters``, with the places of the overlap in both reads; on the reverse strand the query's count from its own end."""
+    lengths = reads.select(F.col("seq_idx").alias("rep_idx"), F.col("len").alias("r_len"))
+    rows = clusters.join(reads.select("seq_idx", "id", "len"), "seq_idx").join(lengths, "rep_idx")
+    # The ends that overlap: the query's start with the representative's end, or the other way round.
+    q_from = F.when(F.col("phase") == 1, F.lit(1)).otherwise(F.col("len") - F.col("overlap") + 1)
+    r_from = F.when(F.col("phase") == 1, F.col("r_len") - F.col("overlap") + 1).otherwise(F.lit(1))
+    q_to, turned = q_from + F.col("overlap") - 1, F.col("strand") == "-"
+    places = [F.when(turned, F.col("len") - q_from + 1).otherwise(q_from), F.when(turned, F.col("len") - q_to + 1).otherwise(q_to), r_from, r_from + F.col("overlap") - 1]
+    at = F.concat(F.concat_ws(":", *[p.cast("string") for p in places]), F.lit("/"), F.col("strand"), F.lit("/100.00%"))
+    place = (F.row_number().over(Window.partitionBy("cluster_no").orderBy(F.desc("is_rep"), F.desc("len"), "seq_idx")) - 1).cast("int")
+    return rows.select("cluster_no", place.alias("member_pos"), "id", F.col("len").cast("long").alias("len"), "is_rep", F.when(~F.col("is_rep"), at).alias("iden"), "seq_idx")
+
+
+def _errors_of(length: Column, errors: float) -> Column:
+    """Places in which a read of this length may differ: so many, or below 1 that share of its length in single precision."""
+    return F.lit(int(errors)) if errors >= 1 or errors == 0 else (length.cast("float") * F.lit(float(errors)).cast("float")).cast("int")
+
+
+def _leading_block(records: DataFrame, errors: float, block: int | None) -> tuple[Column, Column, int]:
+    """How many leading letters must be equal (null: no read of the length is found by its block), the least length for that, and the most errors of any read.
+
+    With ``block`` given it is the same for all. Else the letters that all reads share (the primer)
+    come first, then a block of at least 30 letters, or of the shortest read's rest cut into one
+    part more than there are errors; longer reads have longer blocks, by 10 letters times the
+    square of a depth. Behind a primer only reads of depth 0 are found.
     """
-    rows = records.select("seq_idx", "seq", "len", F.substring(F.col("seq"), F.lit(1), F.lit(block)).alias("head"))
-    later = [(F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx")))]
+    primer, least, most = records.agg(F.min("len"), F.max("len")).crossJoin(common_prefix(records)).select("primer", F.col("min(len)"), F.col("max(len)")).first()
+    allowed = int(errors) if errors >= 1 or errors == 0 else int(np.float32(most or 0) * np.float32(errors))
+    if block is not None:
+        return F.lit(block), F.lit(0), allowed
+    shared = max(30, ((least or 0) - (primer or 0)) // (allowed + 1))
+    depth = F.floor(F.sqrt(F.greatest(F.floor((F.col("len") - primer - shared) / 10), F.lit(0)))).cast("int")
+    letters = F.lit(primer + shared) + 10 * depth * depth
+    found = F.when((depth == 0) | F.lit(primer == 0), letters)
+    if errors == 0:  # blocks further on find the longer ones of the others
+        found = F.when(F.col("len") >= primer + 2 * shared, F.lit(primer + shared)).otherwise(found)
+    return found, F.lit(primer + shared), allowed
+
+
+def near_duplicates(records: DataFrame, errors: float, block: int | None = 30, same_length: bool = True) -> DataFrame:
+    """``q_idx, r_idx, mismatches``: pairs whose leading letters are equal and whose further letters differ in at most ``errors`` places.
+
+    How many leading letters, and what ``errors`` below 1 means: see ``_leading_block``. r comes
+    first, longest first, ties by index; the query is compared over its whole length. With
+    ``same_length`` false it may be a prefix of a longer r. With a given block shorter sequences are compared as wholes. The leading letters, the length, and one of the errors + 1
+    equal parts into which the rest of a sequence is cut are keys of an equi-join (with at most
+    that many errors one part has none).
+    """
+    letters, shortest, allowed = _leading_block(records, errors, block)
+    rows = records.select("seq_idx", "seq", "len", letters.alias("lead")).where(F.col("lead").isNotNull() & (F.col("len") >= shortest))
+    rows = rows.withColumn("head", F.col("seq").substr(F.lit(1), F.col("lead")))
+    later = (F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx")))
     if not same_length:
-        q = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("len").alias("q_len"), "head")
-        r = rows.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("len").alias("r_len"), F.col("head").alias("r_head"))
-        pairs = q.join(r, [F.col("head") == F.col("r_head"), *later])
+        q = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("len").alias("q_len"), "lead", F.xxhash64("head").alias("key"))
+        # A longer sequence has the blocks of all shorter ones.
+        leads = [r["lead"] for r in rows.select("lead").distinct().orderBy("lead").collect()]
+        all_ = records.where(F.col("len") >= shortest)
+        r = all_.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("len").alias("r_len"), F.explode(F.array(*[F.lit(x) for x in leads])).alias("lead")) if leads else None
+        if r is None:
+            return records.sparkSession.createDataFrame([], "q_idx long, r_idx long, mismatches int")
+        r = r.withColumn("key", F.xxhash64(F.col("r_seq").substr(F.lit(1), F.col("lead"))))
+        pairs = q.join(r, ["lead", "key"]).where(later)
         if errors == 0:
             return pairs.where(F.col("q_seq") == F.substring(F.col("r_seq"), F.lit(1), F.col("q_len"))).select("q_idx", "r_idx", F.lit(0).alias("mismatches"))
-        return _with_mismatches(pairs, errors)
-    rest = F.greatest(F.col("len") - block, F.lit(0))
-    bounds = [F.floor(rest * k / (errors + 1)).cast("int") for k in range(errors + 2)]
-    parts = F.array(*[F.xxhash64(F.lit(k), "len", "head", F.substring(F.col("seq"), bounds[k] + block + 1, bounds[k + 1] - bounds[k])) for k in range(errors + 1)])
-    keyed = rows.select("seq_idx", "len", F.explode(F.array_distinct(parts)).alias("part"))
-    q = keyed.select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "part")
-    r = keyed.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), "part")
-    met = q.join(r, "part").where(later[0] & (F.col("q_len") == F.col("r_len"))).select("q_idx", "r_idx").distinct()
-    left = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("head"))
-    right = rows.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("head").alias("r_head"))
-    return _with_mismatches(met.join(left, "q_idx").join(right, "r_idx").where("head = r_head AND length(q_seq) = length(r_seq)"), errors)
+        found = _with_mismatches(pairs, allowed)
+    else:
+        rest = F.greatest(F.col("len") - F.col("lead"), F.lit(0))
+        bounds = [F.floor(rest * k / (allowed + 1)).cast("int") for k in range(allowed + 2)]
+        parts = F.array(*[F.xxhash64(F.lit(k), "len", "head", F.col("seq").substr(bounds[k] + F.col("lead") + 1, bounds[k + 1] - bounds[k])) for k in range(allowed + 1)])
+        keyed = rows.select("seq_idx", "len", F.explode(F.array_distinct(parts)).alias("part"))
+        q = keyed.select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "part")
+        r = keyed.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), "part")
+        met = q.join(r, "part").where(later & (F.col("q_len") == F.col("r_len"))).select("q_idx", "r_idx").distinct()
+        left = rows.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), F.col("head"))
+        right = rows.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"), F.col("head").alias("r_head"))
+        found = _with_mismatches(met.join(left, "q_idx").join(right, "r_idx").where("head = r_head AND length(q_seq) = length(r_seq)"), allowed)
+    if 0 < errors < 1:
+        found = found.join(records.select(F.col("seq_idx").alias("q_idx"), _errors_of(F.col("len"), errors).alias("own")), "q_idx").where("mismatches <= own").drop("own")
+    return found
 
 
 def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFrame:
@@ -87,25 +164,33 @@ def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFra
     Phase 1: the first M letters of q are the last M of r, M below q's length; phase 2: the last M
     of q are the first M of r, M up to q's length. M is at least ``least`` and that share of q's
     length. Strand - takes q's reverse complement. r is longer, or as long with a lower index.
+
+    Only the outer ``least`` letters of r are looked up, among all runs of so many letters of q;
+    where they are says how long the overlap is, which is then compared as a whole.
     """
     most = F.greatest(F.lit(least), (F.col("len") * F.lit(share)).cast("int"))
     forward = records.select("seq_idx", "seq", "len", F.lit("+").alias("strand"))
     queries = forward.unionByName(records.select("seq_idx", reverse_complement(F.col("seq"), "A").alias("seq"), "len", F.lit("-").alias("strand")))
-
-    def ends(rows: DataFrame, last: Column, tail: bool, low: Column) -> DataFrame:
-        m = F.explode(F.when(last >= low, F.sequence(low, last)).otherwise(F.array().cast("array<int>")))
-        rows = rows.withColumn("m", m)
-        text = F.substring(F.col("seq"), F.col("len") - F.col("m") + 1, F.col("m")) if tail else F.substring(F.col("seq"), F.lit(1), F.col("m"))
-        return rows.withColumn("end", text)
-
-    made = None
-    for phase, tail, last in ((1, False, F.col("len") - 1), (2, True, F.col("len"))):
-        q = ends(queries, last, tail, most).select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "strand", "m", "end")
-        r = ends(records.select("seq_idx", "seq", "len"), F.col("len"), not tail, F.lit(least)).select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), F.col("m").alias("r_m"), F.col("end").alias("r_end"))
-        on = (F.col("m") == F.col("r_m")) & (F.col("end") == F.col("r_end")) & ((F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx"))))
-        found = q.join(r, on).groupBy("q_idx", "r_idx", "strand").agg(F.max("m").alias("overlap")).withColumn("phase", F.lit(phase))
-        made = found if made is None else made.unionByName(found)
-    return made.select("q_idx", "r_idx", "phase", "overlap", "strand")
+    long = records.where(F.col("len") >= least)
+    head, tail = F.substring(F.col("seq"), F.lit(1), F.lit(least)), F.col("seq").substr(F.col("len") - least + 1, F.lit(least))
+    ends = F.explode(F.array(*[F.struct(F.lit(phase).alias("phase"), F.xxhash64(end).alias("end")) for phase, end in ((1, tail), (2, head))]))
+    r = long.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), ends.alias("e")).select("r_idx", "r_len", "e.phase", "e.end")
+    # Only runs of letters that begin or end some sequence are met by it.
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - least + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.substring(F.col("seq"), i, F.lit(least))).alias("end"))))
+    q = queries.where(F.col("len") >= least).select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "strand", most.alias("most"), at.alias("a"))
+    q = q.select("q_idx", "q_len", "strand", "most", "a.at", "a.end")
+    m = F.when(F.col("phase") == 1, F.col("at") + least - 1).otherwise(F.col("q_len") - F.col("at") + 1)
+    met = q.join(r, "end").withColumn("m", m)
+    met = met.where(
+        ((F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx")))) & (F.col("m") >= F.col("most")) & (F.col("m") <= F.col("r_len"))
+        & ((F.col("phase") == 2) | (F.col("m") < F.col("q_len")))
+    )
+    left = queries.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), "strand")
+    right = records.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"))
+    both = met.select("q_idx", "r_idx", "strand", "phase", "m", "q_len", "r_len").join(left, ["q_idx", "strand"]).join(right, "r_idx")
+    first, last = (lambda c: F.substring(F.col(c), F.lit(1), F.col("m"))), (lambda c, n: F.col(c).substr(F.col(n) - F.col("m") + 1, F.col("m")))
+    same = F.when(F.col("phase") == 1, first("q_seq") == last("r_seq", "r_len")).otherwise(last("q_seq", "q_len") == first("r_seq"))
+    return both.where(same).groupBy("q_idx", "r_idx", "phase", "strand").agg(F.max("m").alias("overlap")).select("q_idx", "r_idx", "phase", "overlap", "strand")
 
 
 def mates(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -151,16 +151,18 @@ def shared_words(queries: DataFrame, references: DataFrame, k: int, kind: str =
 
 
 def candidate_pairs(
-    queries: DataFrame, references: DataFrame, k: int, identity: float, kind: str = "protein", same: bool = True, on: Column | None = None, shares: tuple[float, float] = (0.0, 0.0)
+    queries: DataFrame, references: DataFrame, k: int, identity: float, kind: str = "protein", same: bool = True, on: Column | None = None, shares: tuple[float, float] = (0.0, 0.0),
+    counted: Column | None = None,
 ) -> DataFrame:
     """Pairs that share enough words, first met early enough in the query's order: ``q_idx, r_idx, shared, look_pos, look_rank``.
 
     A reference first met when fewer words are left than it needs is never a candidate. Words
-    with unknown bases lower what a query needs, to one at least. ``on``: see ``sharing``.
+    with unknown bases lower what a query needs, to one at least. ``on``: see ``sharing``; ``counted``
+    are the letters that the need follows from, if not the query's length.
     """
     r = word_lists(references, k, kind)
     q = r if queries is references else word_lists(queries, k, kind)
-    _, _, needed = required_counts(F.col("len"), k, identity, 2 if kind == "protein" else 4, kind, shares)
+    _, _, needed = required_counts(F.col("len") if counted is None else counted, k, identity, 2 if kind == "protein" else 4, kind, shares)
     lowered = F.when(F.col("skipped") > 0, F.greatest(needed - F.col("skipped"), F.lit(1))).otherwise(needed)
     q = q.withColumn("needed", F.greatest(lowered, F.lit(1)).cast("int")).withColumn("wanted", lowered)
     pairs = sharing(q, r, same, on).join(q.select(F.col("seq_idx").alias("q_idx"), "wanted"), "q_idx")

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LINES = re.compile(rb"[^\n]*\n|[^\n]+")
@@ -169,6 +169,59 @@ def members_as_text(members: DataFrame, unit: str = "aa") -> DataFrame:
     return headers.unionByName(lines)
 
 
+def cluster_members(clusters: DataFrame, records: DataFrame, kind: str = "protein", places: bool = False, distances: bool = False) -> DataFrame:
+    """``cluster_no, member_pos, id, len, is_rep, iden`` of a clustering, as ``members_as_text`` takes it; members in order of their index.
+
+    ``records`` has ``seq_idx, id, len``. ``iden`` is what follows ``at``: the aligned places if
+    ``places``, the strand of nucleotides, the identity in percent, the distance if ``distances``.
+    """
+    from seqloom.functions.letters import two_decimals
+
+    at = F.concat_ws(":", *[F.col(c).cast("string") for c in ("q_from", "q_to", "r_from", "r_to")])
+    parts = [at] * places + [F.col("strand")] * (kind == "base") + [F.concat(two_decimals(F.col("identity")), F.lit("%"))] + [F.concat(two_decimals(F.col("distance")), F.lit("%"))] * distances
+    place = (F.row_number().over(Window.partitionBy("cluster_no").orderBy("seq_idx")) - 1).cast("int")
+    rows = clusters.join(records.select("seq_idx", "id", F.col("len").cast("long").alias("len")), "seq_idx")
+    return rows.select("cluster_no", place.alias("member_pos"), "id", "len", "is_rep", F.when(~F.col("is_rep"), F.concat_ws("/", *parts)).alias("iden"), "seq_idx")
+
+
+def screen_text(references: DataFrame, matches: DataFrame, queries: DataFrame, kind: str = "protein", places: bool = False) -> DataFrame:
+    """``cluster_no, member_pos, value``: the cluster file of a screen. Every reference, in order, is a cluster; the queries that match it stand below by index."""
+    from seqloom.operators.members import screen_members
+
+    found = screen_members(references, matches).where("NOT is_rep").select("cluster_no", F.col("idx").alias("q_idx"))
+    own = screen_members(references, matches).where("is_rep").select("cluster_no", F.col("idx").alias("seq_idx"), F.lit(True).alias("is_rep"))
+    below = found.join(matches, "q_idx").select("cluster_no", F.col("q_idx").alias("seq_idx"), F.lit(False).alias("is_rep"), "strand", "identity", "distance", "q_from", "q_to", "r_from", "r_to")
+    first = cluster_members(own.withColumns({c: F.lit(None).cast("string") for c in ("strand",)}).unionByName(below.limit(0), allowMissingColumns=True), references, kind, places)
+    rest = cluster_members(below, queries, kind, places).withColumn("member_pos", F.col("member_pos") + 1)
+    return members_as_text(first.unionByName(rest), "aa" if kind == "protein" else "nt")
+
+
+def representative_records(records: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``seq_idx, raw_record`` of the representatives: in order of the index, the bytes of the representative file."""
+    return records.join(clusters.where("is_rep").select("seq_idx"), "seq_idx", "left_semi").select("seq_idx", "raw_record")
+
+
+def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """``value`` of the lines as text files whose names ascend in the given order: joined in order of their names they are the file."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
+def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
+    """``ordinal, id, len, level, cid, rep``: a table of tab-separated lines ``id, length, then cluster and flag of each level``; empty fields at a line's end don't count."""
+    rows = spark.read.text(path, wholetext=False).withColumn("ordinal", F.monotonically_increasing_id())
+    fields = F.split(F.regexp_replace("value", r"[\t\r]+$", ""), "\t", -1)
+    rows = rows.select("ordinal", fields.alias("f")).where(F.size("f") >= 4)
+    levels = F.explode(F.transform(F.sequence(F.lit(1), F.floor((F.size("f") - 2) / 2).cast("int")), lambda k: F.struct(k.alias("level"), F.get("f", 2 * k).alias("cid"), F.get("f", 2 * k + 1).alias("rep"))))
+    return rows.select("ordinal", F.get("f", F.lit(0)).alias("id"), F.get("f", F.lit(1)).cast("long").alias("len"), levels.alias("l")).select("ordinal", "id", "len", "l.level", F.col("l.cid").cast("long").alias("cid"), F.col("l.rep").cast("int").alias("rep"))
+
+
+def split_label(text: Column) -> tuple[Column, Column]:
+    """What stands before and after the first double bar of an identifier; the second is null without one, or if nothing follows."""
+    at = F.locate("||", text)
+    rest = F.when(at > 0, F.substring(text, at + 2, F.length(text)))
+    return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text), F.when(rest != "", rest)
+
+
 def write_segments(records: DataFrame, segments: DataFrame, path: str) -> None:
     """Records as FASTA text, one folder for each segment (``seq_idx, segment``)."""
     rows = records.join(segments, "seq_idx").select("segment", "seq_idx", F.concat(F.lit(">"), F.col("seq_idx").cast("string"), F.lit("\n"), "seq").alias("value"))

@@ -8,6 +8,7 @@ import pytest
 
 from seqloom.operators import cluster as C
 from seqloom.operators import reads as R
+from seqloom.operators import verify as V
 from seqloom.operators import words as W
 from seqloom.operators.verify import BONUS, UNIT, Limits, Scoring, align, diagonal_test, encode, limited
 
@@ -123,12 +124,15 @@ def test_alignment_and_diagonals(kind):
 def test_alignment_details():
     scoring = Scoring.protein()
     q, r = "ACDEFGHIKLMNPQRSTVWY", "ACDEFGHIKWWWLMNPQRSTVWA"
-    same, columns, q_from, q_to, r_from, r_to, unequal, gaps = align([encode(q, scoring)], [encode(r, scoring)], np.array([[-1, 0, 4]]), scoring)[0]
-    assert (same, q_from, q_to, r_from, r_to, unequal, gaps) == (19, 0, 19, 0, 22, 1, 1) and columns == 23
+    made = align([encode(q, scoring)], [encode(r, scoring)], np.array([[-1, 0, 4]]), scoring)[0]
+    assert made[[V.IDENTICAL, V.Q_FROM, V.Q_TO, V.R_FROM, V.R_TO, V.UNEQUAL, V.GAPS, V.COLUMNS]].tolist() == [19, 0, 19, 0, 22, 1, 1, 23]
+    # The best stretch leaves out the unequal end.
+    assert made[[V.BEST_Q_FROM, V.BEST_Q_TO, V.BEST_R_FROM, V.BEST_R_TO, V.LOCAL_IDENTICAL, V.LOCAL_COLUMNS]].tolist() == [0, 18, 0, 21, 19, 22]
 
 
 def test_limits(spark):
     rows = spark.createDataFrame([(10, 20, 0, 9, 5, 14, 0.1), (10, 20, 2, 6, 0, 4, 0.1)], "q_len int, r_len int, q_from long, q_to long, r_from long, r_to long, distance float")
+    rows = rows.selectExpr("*", "q_from AS best_q_from", "q_to AS best_q_to", "r_from AS best_r_from", "r_to AS best_r_to")
     pick = lambda **k: [r["q_from"] for r in limited(rows, Limits(**k)).collect()]
     assert pick() == [0, 2] and pick(query_share=0.6) == [0] and pick(reference_share=0.5) == [0] and pick(query_left=5) == [0, 2]
     assert pick(unmatched=0) == [0] and pick(unmatched=3) == [0, 2] and pick(most_distance=0.05) == [] and pick(least=11) == [] and pick(shortest=0.6) == []
@@ -305,3 +309,27 @@ def test_hits_and_hierarchy_follow_the_files(spark):
     assert [r["id"] for r in M.sort_hierarchy(tree, ordinals).orderBy("place").collect()] == ["z", "y", "x", "u"]
     with pytest.raises(ValueError):
         M.sort_hierarchy(tree, ordinals, levels=3)
+
+
+def test_overlaps_equal_brute_force(spark):
+    rng = random.Random(15)
+    base = "".join(rng.choice("ACGT") for _ in range(200))
+    turned = base[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    seqs = []
+    for _ in range(30):
+        of, start = rng.choice([base, turned]), rng.randrange(150)
+        seqs.append(of[start : start + rng.randint(6, 45)])
+    seqs += ["A" * 20, "A" * 25, "ACACACACACACAC", "CACACACACACA", seqs[0]]
+    table = spark.createDataFrame([(i, s, len(s)) for i, s in enumerate(seqs)], "seq_idx long, seq string, len int")
+    for least, share in ((8, 0.0), (5, 0.6)):
+        got = {(r["q_idx"], r["r_idx"], r["phase"], r["overlap"], r["strand"]) for r in R.overlaps(table, least, share).collect()}
+        want = set()
+        for i, s in enumerate(seqs):
+            for strand, q in (("+", s), ("-", s[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+                for j, r in enumerate(seqs):
+                    if (len(r), -j) > (len(q), -i) and i != j:
+                        low = max(least, int(len(q) * share))
+                        for phase, found in ((1, [m for m in range(low, min(len(q) - 1, len(r)) + 1) if q[:m] == r[-m:]]), (2, [m for m in range(low, min(len(q), len(r)) + 1) if q[-m:] == r[:m]])):
+                            if found:
+                                want.add((i, j, phase, max(found), strand))
+        assert got == want and len(want) > 20

@@ -80,3 +80,48 @@ def test_streamed_screen(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["q_idx"] for r in found] == [0]
+
+
+def test_cluster_lines_with_places_and_strands(spark):
+    clusters = spark.createDataFrame(
+        [(0, 0, 0, True, "+", 1.0, None, None, None, None, None), (2, 0, 0, False, "-", 0.5, 0.25, 10, 1, 2, 11), (1, 1, 1, True, "+", 1.0, None, None, None, None, None)],
+        "seq_idx long, rep_idx long, cluster_no long, is_rep boolean, strand string, identity float, distance float, q_from long, q_to long, r_from long, r_to long",
+    )
+    records = spark.createDataFrame([(0, "a", 12, b">a x\nACGT\n"), (1, "b", 11, b">b\nAC\n"), (2, "c", 10, b">c\nA\n")], "seq_idx long, id string, len int, raw_record binary")
+    lines = S.members_as_text(S.cluster_members(clusters, records, "base", places=True, distances=True), "nt").orderBy("cluster_no", "member_pos").collect()
+    assert [r["value"] for r in lines] == [">Cluster 0", "0\t12nt, >a... *", "1\t10nt, >c... at 10:1:2:11/-/50.00%/25.00%", ">Cluster 1", "0\t11nt, >b... *"]
+    assert [bytes(r["raw_record"]) for r in S.representative_records(records, clusters).orderBy("seq_idx").collect()] == [b">a x\nACGT\n", b">b\nAC\n"]
+
+
+def test_lines_are_written_in_order_and_hierarchies_read(spark, tmp_path):
+    lines = spark.createDataFrame([(1, 0, "c"), (0, 1, "b"), (0, 0, "a"), (2, 0, "d")], "x int, y int, value string")
+    S.write_lines(lines, str(tmp_path / "out"), ["x", "y"])
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(f.read_text() for f in files) == "a\nb\nc\nd\n"
+    (tmp_path / "t.tsv").write_text("p\t12\t0\t1\t5\t0\t\t\nq\t9\t0\t0\n")
+    got = [(r["id"], r["len"], r["level"], r["cid"], r["rep"]) for r in S.read_hierarchy(spark, str(tmp_path / "t.tsv")).orderBy("ordinal", "level").collect()]
+    assert got == [("p", 12, 1, 0, 1), ("p", 12, 2, 5, 0), ("q", 9, 1, 0, 0)]
+
+
+def test_labels_behind_a_double_bar(spark):
+    rows = spark.createDataFrame([("a||b",), ("a",), ("a||",), ("a||b||c",)], "id string")
+    got = [tuple(r) for r in rows.select(*S.split_label(rows["id"])).collect()]
+    assert got == [("a", "b"), ("a", None), ("a", None), ("a", "b||c")]
+
+
+def test_duplicates_by_depth_and_fraction(spark):
+    """Without a given block the leading letters that must agree grow with the read; a fraction allows errors by length."""
+    import random
+
+    rng = random.Random(3)
+    base = "".join(rng.choice("ACGT") for _ in range(400))
+    change = lambda s, at: s[:at] + ("A" if s[at] != "A" else "C") + s[at + 1 :]
+    # Reads of 35 and 400: the block has 30 letters, and 30 + 10 * 6 ** 2 = 390 of the long ones.
+    seqs = [base, change(base, 395), change(base, 200), "".join(rng.choice("ACGT") for _ in range(35))]
+    got = {r["seq_idx"]: r["rep_idx"] for r in C.duplicate_clusters(make(spark, seqs), 1).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+    got = {r["seq_idx"]: r["rep_idx"] for r in C.duplicate_clusters(make(spark, [*seqs, change(change(base, 394), 396)]), 0.005).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 0}
+    # A prefix of a longer read is its duplicate where lengths may differ.
+    got = {r["seq_idx"]: r["rep_idx"] for r in C.duplicate_clusters(make(spark, [base, base[:100], base[1:90]]), 0, same_length=False).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
