@@ -8,6 +8,7 @@ rows. All windows are partitioned by cluster or run over one row for each cluste
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -190,13 +191,34 @@ def quality_pair_counts(members: DataFrame, label: str = "bench_id") -> DataFram
 
 
 def size_by_length(members: DataFrame, size_segments: str, length_segments: str) -> DataFrame:
-    """``size_segment, length_segment, n_clusters, n_seqs``: clusters by size and representative's length; 0 is outside all segments, length_segment -1 is the total."""
-    rows = representatives(members).select(
-        segment_of(F.col("size"), size_segments).alias("size_segment"), segment_of(F.coalesce("rep_len", F.lit(0)), length_segments).alias("length_segment"), "size"
+    """``place, segment, n_seqs, n_clusters, len_1, len_2, ...``: for each size segment its sequences and clusters, and how many representatives' lengths fall in each length segment; the last row is the total.
+
+    Segments are like ``1,2-5,6-up`` and may overlap. ``up`` ends a size segment at the largest
+    size; a length segment has only numbers, so one that ends in ``up`` holds nothing. A cluster
+    without a representative counts with the length of the last one before it that has one. A
+    segment of one size that no cluster has shows no number of clusters.
+    """
+    number = lambda text: int(re.match(r"\s*[+-]?\d*", text).group().strip() or 0) if re.match(r"\s*[+-]?\d", text) else 0
+    sizes_ = [(k, t, number(t.partition("-")[0]), (2**62 if "up" in t.partition("-")[2].lower() else number(t.partition("-")[2])) if "-" in t else number(t), "-" in t) for k, t in enumerate(filter(None, size_segments.split(",")))]
+    lengths = [(number(t.partition("-")[0]), number(t.partition("-")[2]) if "-" in t else number(t)) for t in filter(None, length_segments.split(","))]
+    rows = representatives(members).select("cluster_no", "size", "rep_len")
+    if not rows.where("rep_len IS NULL").isEmpty():
+        before = with_place(rows, [F.asc("cluster_no")]).withColumn("run", F.floor(F.col("place") / 100_000))
+        inside = F.last("rep_len", True).over(Window.partitionBy("run").orderBy("place"))
+        ends = before.groupBy("run").agg(F.max_by("rep_len", F.when(F.col("rep_len").isNotNull(), F.col("place"))).alias("end"))
+        ends = ends.select("run", F.last("end", True).over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+        rows = before.withColumn("rep_len", inside).join(ends, "run").select("size", F.coalesce("rep_len", "carried", F.lit(0)).alias("rep_len"))
+    spine = rows.sparkSession.createDataFrame(sizes_, "place int, segment string, low long, high long, range boolean")
+    counted = [F.count_if(F.col("rep_len").between(low, high)).alias(f"len_{k}") for k, (low, high) in enumerate(lengths, 1)]
+    # One row for each size and length first, so that the join with segments is small.
+    cells = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), *counted)
+    names = [f"len_{k}" for k in range(1, len(lengths) + 1)]
+    found = spine.join(cells, F.col("size").between(F.col("low"), F.col("high")), "left").groupBy("place", "segment", "range").agg(
+        F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0)).alias("n_seqs"), F.sum("n").alias("n_clusters"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]
     )
-    cells = rows.groupBy("size_segment", "length_segment").agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("size").alias("n_seqs"))
-    totals = cells.groupBy("size_segment").agg(F.sum("n_clusters").alias("n_clusters"), F.sum("n_seqs").alias("n_seqs"))
-    return cells.unionByName(totals.withColumn("length_segment", F.lit(-1)))
+    found = found.withColumn("n_clusters", F.when(F.col("range"), F.coalesce("n_clusters", F.lit(0))).otherwise(F.col("n_clusters"))).drop("range")
+    total = found.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_seqs", "n_clusters", *names)])
+    return found.unionByName(total.select(F.lit(len(sizes_)).alias("place"), F.lit("Total").alias("segment"), "*"))
 
 
 def merge_by_rep(master: DataFrame, parts: Sequence[DataFrame]) -> DataFrame:

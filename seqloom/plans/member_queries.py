@@ -96,7 +96,7 @@ QUERIES = {
     "quality_links": lambda s, d: M.quality_by_links(_labelled(s, d)),
     "quality_pairs": lambda s, d: M.quality_by_pairs(_labelled(s, d)),
     "quality_pair_counts": lambda s, d: M.quality_pair_counts(_labelled(s, d)),
-    "plot_len": lambda s, d: M.size_by_length(member_view(s, d), "1,2-5,6-10,11-up", "1-100000,100001-300000,300001-up"),
+    "plot_len": lambda s, d: M.size_by_length(member_view(s, d), "1-1,2-5,6-10,11-up", "1-100000,100001-300000,300001-up"),
     "merge_noorder": lambda s, d: M.merge_by_rep(M.cut_top(member_view(s, d), 3).select(*_M), [member_view(s, d).select(*_M)]),
     "merge_in_order": lambda s, d: M.merge_in_order(M.select_size(member_view(s, d), 8, 99).select(*_M), [member_view(s, d).select(*_M)]),
     "rev_expand": lambda s, d: M.expand(member_view(s, d).select(*_M), _coarse(s, d)),
@@ -146,9 +146,11 @@ SELECT coalesce(b.a, c.a) AS a, coalesce(b.b, c.b) AS b, CASE WHEN b.a IS NOT NU
     "quality_pair_counts": f"""{_LABELLED}, l AS (SELECT * FROM labelled WHERE bench_id IS NOT NULL AND bench_id NOT IN ('', '0')),
 x AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM l GROUP BY cluster_no, bench_id)), y AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM l GROUP BY bench_id)),
 z AS (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) AS n FROM (SELECT count(*) AS n FROM labelled GROUP BY cluster_no)) SELECT x.n AS both, y.n - x.n AS bench_only, z.n - x.n AS cluster_only FROM x, y, z""",
-    "plot_len": f"""{_V}, {_REPS}, r AS (SELECT CASE WHEN size = 1 THEN 1 WHEN size BETWEEN 2 AND 5 THEN 2 WHEN size BETWEEN 6 AND 10 THEN 3 WHEN size >= 11 THEN 4 ELSE 0 END AS size_segment,
-CASE WHEN rep_len BETWEEN 1 AND 100000 THEN 1 WHEN rep_len BETWEEN 100001 AND 300000 THEN 2 WHEN rep_len >= 300001 THEN 3 ELSE 0 END AS length_segment, size FROM reps)
-SELECT size_segment, coalesce(length_segment, -1) AS length_segment, count(*) AS n_clusters, CAST(sum(size) AS BIGINT) AS n_seqs FROM r GROUP BY GROUPING SETS ((size_segment, length_segment), (size_segment))""",
+    "plot_len": f"""{_V}, {_REPS}, seg(place, segment, low, high, single) AS (VALUES (0, '1-1', 1, 1, false), (1, '2-5', 2, 5, false), (2, '6-10', 6, 10, false), (3, '11-up', 11, 1000000000, false)),
+r AS (SELECT place, segment, coalesce(sum(size), 0) AS n_seqs, CASE WHEN single AND count(size) = 0 THEN NULL ELSE count(size) END AS n_clusters, count(*) FILTER (rep_len BETWEEN 1 AND 100000) AS len_1,
+count(*) FILTER (rep_len BETWEEN 100001 AND 300000) AS len_2, count(*) FILTER (rep_len BETWEEN 300001 AND 0) AS len_3 FROM seg LEFT JOIN reps ON size BETWEEN low AND high GROUP BY place, segment, single)
+SELECT place, segment, CAST(n_seqs AS BIGINT) AS n_seqs, n_clusters, len_1, len_2, len_3 FROM r
+UNION ALL SELECT 4, 'Total', CAST(sum(n_seqs) AS BIGINT), CAST(coalesce(sum(n_clusters), 0) AS BIGINT), CAST(sum(len_1) AS BIGINT), CAST(sum(len_2) AS BIGINT), CAST(sum(len_3) AS BIGINT) FROM r""",
     "merge_noorder": f"""{_V}, p AS (SELECT *, min(member_pos) FILTER (is_rep) OVER (PARTITION BY cluster_no) AS rep_pos FROM members),
 o AS (SELECT *, row_number() OVER (PARTITION BY cluster_no, is_rep, member_pos > rep_pos ORDER BY member_pos) AS r FROM p),
 top AS (SELECT {_MS} FROM o WHERE is_rep OR (member_pos < rep_pos AND r <= 2) OR (member_pos > rep_pos AND r + least(rep_pos, 2) <= 2)), n AS (SELECT cluster_no, count(*) AS size FROM top GROUP BY 1)

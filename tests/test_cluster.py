@@ -333,3 +333,12 @@ def test_overlaps_equal_brute_force(spark):
                             if found:
                                 want.add((i, j, phase, max(found), strand))
         assert got == want and len(want) > 20
+
+
+def test_sizes_by_length_carry_the_last_length(spark):
+    from seqloom.operators import members as M
+
+    rows = [(0, 0, "a", 120, True), (1, 0, "b", 110, False), (1, 1, "c", 100, False), (2, 0, "d", 200, True), (2, 1, "e", 5, False), (2, 2, "f", 5, False)]
+    table = spark.createDataFrame(rows, "cluster_no long, member_pos int, id string, len long, is_rep boolean")
+    got = [tuple(r) for r in M.size_by_length(table, "1,2-3,4-up,7,2-up", "1-149,150-250,151-up").orderBy("place").collect()]
+    assert got == [(0, "1", 1, 1, 1, 0, 0), (1, "2-3", 5, 2, 1, 1, 0), (2, "4-up", 0, 0, 0, 0, 0), (3, "7", 0, None, 0, 0, 0), (4, "2-up", 5, 2, 1, 1, 0), (5, "Total", 11, 5, 3, 2, 0)]
