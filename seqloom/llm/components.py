@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stash
+from seqloom.llm.common import MOST_BROADCAST, drop, stash
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -21,12 +21,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = _state(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # A node with very many links is one key of these joins: a table of a checked size is broadcast, a larger one left to Spark's splitting.
+        near = F.broadcast if state[0] <= MOST_BROADCAST // 2 else lambda df: df
+        least = near(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = near(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = stash(small.select("e.u", "e.v").where("u <> v").distinct(), "links")
-        before, state, edges = state, _state(after), after
+        before, state = state, _state(after)
+        drop(edges)
+        edges = after
         if state == before:
             break
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
-from seqloom.llm.common import WORD_PATTERN, ahead_of_join, document_key, stash, text_or_empty
+from seqloom.llm.common import WORD_PATTERN, ahead_of_join, document_key, drop, joined, stash, text_or_empty
 from seqloom.llm.components import components
 from seqloom.llm.textcols import hashed_runs, mix, shingle_hashes
 
@@ -22,6 +22,8 @@ BANDS, ROWS = 12, 3
 STEPS, DRAWS = 128, 1 << 13
 #: Rounds in which each text of a bucket is compared with one text, the leader.
 LEADER_ROUNDS = 3
+#: Texts of one block of a bucket, about.
+BLOCK = 2048
 #: Bits of a parity sketch; there is one for light shingles and one for those of at least HEAVY weight.
 PARITY_BITS, HEAVY = 512, 1.25
 
@@ -206,50 +208,63 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
 def across(members: DataFrame, threshold: float) -> DataFrame:
     """``a, b``: the pairs of each bucket that are in different components and can be as like as ``threshold``.
 
-    ``members`` has ``bucket, key, root, parity, weight``. With S the weights of both texts
-    together and D those of the shingles that only one has, likeness is at most (S - D) / (S + D),
-    and D is at least the number of parity bits in which they differ, each light one weighing 1
-    and each heavy one HEAVY: a shingle is light or heavy by its idf, whatever its tf, so those that
-    both have cancel out, and tf only adds to the weight of the others. So no pair that is alike
-    is ruled out.
+    ``members`` has ``bucket, parts, key, root, parity, weight``. A bucket is dealt to ``parts`` blocks, and
+    each pair of blocks is a group of its own, so that no task holds a whole large bucket. With S
+    the weights of both texts together and D those of the shingles that only one has, likeness is
+    at most (S - D) / (S + D), and D is at least the number of parity bits in which they differ,
+    each light one weighing 1 and each heavy one HEAVY: a shingle is light or heavy by its idf,
+    whatever its tf, so those that both have cancel out, and tf only adds to the weight of the
+    others. So no pair that is alike is ruled out.
     """
     bound = (1 - threshold) / (1 + threshold)
-
-    def whole(keys: list[bytes], roots: np.ndarray, parity: np.ndarray, weight: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+    group = ["bucket", "low", "high"]
+
+    def whole(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        keys = rows.column("key").to_pylist()
+        of: dict[bytes, int] = {}
+        roots = np.array([of.setdefault(r, len(of)) for r in rows.column("root").to_pylist()])
+        parity = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(len(keys), -1)
+        weight, side = rows.column("weight").to_numpy(), rows.column("side").to_numpy()
+        apart = rows.column("low")[0] != rows.column("high")[0]
+        half = parity.shape[1] // 2
+        made: list[tuple[bytes, bytes]] = []
         for i in range(1, len(keys)):
-            other = np.flatnonzero(roots[:i] != roots[i])
+            able = roots[:i] != roots[i]
+            if apart:
+                able &= side[:i] != side[i]
+            other = np.flatnonzero(able)
             if len(other):
                 odd = np.bitwise_count(parity[other] ^ parity[i]).astype(np.float64)
-                half = odd.shape[1] // 2
-                apart = odd[:, :half].sum(1) + HEAVY * odd[:, half:].sum(1)
-                for j in other[apart <= bound * (weight[other] + weight[i]) + 1e-3]:
-                    yield min(keys[i], keys[j]), max(keys[i], keys[j])
+                differ = odd[:, :half].sum(1) + HEAVY * odd[:, half:].sum(1)
+                made += [(min(keys[i], keys[j]), max(keys[i], keys[j])) for j in other[differ <= bound * (weight[other] + weight[i]) + 1e-3]]
+            if len(made) >= 4096 or i == len(keys) - 1:
+                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                made = []
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple[bytes, bytes]] = []
-        held: list[tuple] = []
-
-        def flush() -> None:
-            if len(held) > 1:
-                _, roots = np.unique(np.array([h[2] for h in held], dtype=object), return_inverse=True)
-                parity = np.frombuffer(b"".join(h[3] for h in held), np.uint64).reshape(len(held), -1)
-                made.extend(whole([h[1] for h in held], roots, parity, np.array([h[4] for h in held])))
+        held: pa.Table | None = None
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            columns = [held.column(c).to_numpy() for c in group]
+            new = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            bounds = [0, *new.tolist(), *([held.num_rows] if last else [])]
+            for x, y in zip(bounds[:-1], bounds[1:]):
+                if y - x > 1:
+                    yield from whole(held.slice(x, y - x))
+            held = held.slice(bounds[-1])
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if held and held[0][0] != row[0]:
-                    flush()
-                    held = []
-                held.append(row)
-            while len(made) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made[:4096]], pa.binary()) for k in (0, 1)], names=["a", "b"])
-                del made[:4096]
-        flush()
-        if made:
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    rows = members.select("bucket", "key", "root", "parity", "weight").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(pairs, "a binary, b binary")
+            if batch.num_rows:
+                now = pa.Table.from_batches([batch])
+                held = now if held is None or not held.num_rows else pa.concat_tables([held, now])
+                yield from cut(False)
+        if held is not None and held.num_rows:
+            yield from cut(True)
+
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = dealt.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "root", "parity", "weight")
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(pairs, "a binary, b binary")
 
 
 def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
@@ -270,7 +285,7 @@ def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: floa
     rows = ahead_of_join(docs.select(document_key().alias("doc_id"), wordy().alias("text")), "doc_id", wanted.select("doc_id"))
     texts = rows.join(wanted.select("doc_id", F.col("key").alias("of")), "doc_id").withColumn("key", F.unhex(F.md5("text"))).where("key = of").dropDuplicates(["key"]).select("key", "text")
     texts = stash(texts, "bucket-texts")
-    open_, done = members.select("bucket", "key").join(wanted.select("key", "reach"), "key"), None
+    open_, done, old = members.select("bucket", "key").join(wanted.select("key", "reach"), "key"), None, []
     for _ in range(LEADER_ROUNDS):
         leaders = open_.groupBy("bucket").agg(F.max_by("key", F.struct("reach", "key")).alias("leader"))
         stars = open_.join(leaders, "bucket").where("key <> leader").select("bucket", "key", "reach", F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b"))
@@ -280,13 +295,18 @@ def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: floa
             candidates = candidates.join(done, ["a", "b"], "left_anti")
         found = verified(candidates, texts, idf)
         done = stash(found if done is None else done.unionByName(found), "compared")
+        old += [done, stars]
         near = done.where(F.col("likeness") >= threshold).select("a", "b")
         open_ = stash(stars.join(near, ["a", "b"], "left_anti").select("bucket", "key", "reach"), "open")
+        old.append(open_)
     roots = components(done.where(F.col("likeness") >= threshold).select("a", "b")).withColumnRenamed("node", "key")
     placed = members.select("bucket", "key").join(wanted.select("key", "parity", "weight"), "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
-    rest = across(placed.join(mixed, "bucket"), threshold).distinct().join(done, ["a", "b"], "left_anti")
-    return stash(done.unionByName(verified(rest, texts, idf)), "compared").where(F.col("likeness") >= threshold)
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    mixed = stash(mixed.select("bucket", F.ceil(F.col("n") / F.lit(BLOCK)).alias("parts")), "mixed")
+    rest = across(joined(placed, mixed, ["bucket"]), threshold).distinct().join(done, ["a", "b"], "left_anti")
+    found = stash(done.unionByName(verified(rest, texts, idf)).where(F.col("likeness") >= threshold), "linked")
+    drop(members, wanted, texts, mixed, *old)
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -302,8 +322,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = idf_table(document_counts(docs), docs.count())
     rows = stash(signatures(docs, idf), "signatures")
     distinct = stash(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bands", "parity", "weight")]), "distinct")
-    roots = components(links(docs, distinct, idf, threshold).select("a", "b"))
+    near = links(docs, distinct, idf, threshold)
+    roots = stash(components(near.select("a", "b")), "roots")
+    drop(near)
     labelled = distinct.select("key", "doc_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     sums = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     labelled = labelled.join(sums, "root").select("key", "class_id", "copies", "class_size")
-    return rows.select("key", "doc_id").join(labelled, "key").select("doc_id", "class_id", "copies", "class_size")
+    made = stash(rows.select("key", "doc_id").join(labelled, "key").select("doc_id", "class_id", "copies", "class_size"), "classes")
+    drop(rows, distinct, roots)
+    return made
