@@ -9,27 +9,25 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stash, text_or_empty
+from seqloom.llm.common import joined, stash, text_or_empty
 from seqloom.llm.subwords import Subwords
 
 CAPACITY = 2048
 #: Id that ends each document.
 END_ID = 0
-#: Groups of equal cardinality into which the large lengths are rounded up.
-GROUPS = 48
-#: Lengths above capacity / part are large; the plan is made for each of these parts.
-LARGE_PARTS = (2.2, 3.0)
-#: Sequences with more room than this after substitution are taken apart for the best fit.
-SPARE_ROOMS = (0, 2, 8, 32, 2048)
-#: Parts into which the ranks of one length are dealt, since one length may hold a third of all rows.
-SALTS = 64
+#: Plans that are tried until one meets the bound: the groups of equal cardinality into which the large lengths are
+#: rounded up, and the part of a sequence above which (capacity / part) a length is large. Few groups lose more by
+#: rounding; many cost more to solve, and are only tried where at most two large pieces share a sequence.
+PLANS = ((160, 2.2), (160, 4.0), (160, 3.0), (320, 2.2), (320, 2.05), (640, 2.2), (640, 2.05))
+#: Rows of one salt, about, and salts at most: the ranks of each length are counted by salt.
+SALT_ROWS, MOST_SALTS = 200_000, 1 << 16
 
 Runs = list[tuple[int, tuple[int, ...]]]
 
@@ -57,10 +55,13 @@ def _group_up(counts: dict[int, int], groups: int) -> list[tuple[int, list[tuple
 
 def _best_pattern(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The most valuable multiset of sizes within the capacity (unbounded knapsack)."""
+    order = np.array(sizes)
+    most = capacity // int(order.min())
+    if most <= 3:
+        return _best_few(order, values, capacity, most)
     best = np.zeros(capacity + 1)
     pick = np.full(capacity + 1, -1)
-    least = min(sizes)
-    order = np.array(sizes)
+    least = int(order.min())
     for c in range(least, capacity + 1):
         fits = order <= c
         worth = np.where(fits, best[np.where(fits, c - order, 0)] + values, -1.0)
@@ -79,6 +80,30 @@ def _best_pattern(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[
     return float(best[capacity]), pattern
 
 
+def _best_few(sizes: np.ndarray, values: np.ndarray, capacity: int, most: int) -> tuple[float, np.ndarray]:
+    """The same where no more than three sizes fit, by looking up the best partner for what is left."""
+    # For each room the most valuable size that fits.
+    by_size = np.argsort(sizes, kind="stable")
+    held, at = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for k in by_size:
+        if values[k] > held[sizes[k]]:
+            held[sizes[k] :], at[sizes[k] :] = values[k], k
+    chosen, worth = [int(np.argmax(values))], float(values.max())
+    if most > 1:
+        room = capacity - sizes
+        pairs = values + held[room]
+        k = int(np.argmax(pairs))
+        if pairs[k] > worth and at[room[k]] >= 0:
+            chosen, worth = [k, int(at[room[k]])], float(pairs[k])
+    if most > 2:
+        room = capacity - sizes[:, None] - sizes[None, :]
+        three = np.where(room >= 0, values[:, None] + values[None, :] + held[np.maximum(room, 0)], -1.0)
+        a, b = np.unravel_index(int(np.argmax(three)), three.shape)
+        if three[a, b] > worth and at[room[a, b]] >= 0:
+            chosen, worth = [int(a), int(b), int(at[room[a, b]])], float(three[a, b])
+    return worth, np.bincount(chosen, minlength=len(sizes))
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[np.ndarray, int]]:
     """Patterns over a few sizes and how often each is used, covering at most the demand.
 
@@ -105,16 +130,13 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
         amount = np.maximum(amount - step * direction, 0)
         amount[out] = step
         basis[:, out] = pattern
-    used = []
-    for j in range(n):
-        times = int(np.floor(amount[j] + 1e-7))
-        if times:
-            used.append((basis[:, j].round().astype(np.int64), times))
     left = np.array(demand, np.int64)
     kept = []
-    for pattern, times in used:  # rounding errors must not use more than there is
+    # Whole uses first; then a use for each fraction, the largest first, as far as the demand goes.
+    for times, j in [(int(np.floor(amount[j] + 1e-7)), j) for j in range(n)] + [(1, int(j)) for j in np.argsort(-(amount % 1.0))]:
+        pattern = basis[:, j].round().astype(np.int64)
         most = min([times, *[int(left[k] // pattern[k]) for k in range(n) if pattern[k]]])
-        if most:
+        if most > 0:
             left -= pattern * most
             kept.append((pattern, most))
     return kept
@@ -207,47 +229,53 @@ def _substitute(patterns: list[tuple[np.ndarray, int]], grouped: list[tuple[int,
     return made, rest
 
 
-def _pack_once(counts: dict[int, int], capacity: int, groups: int, part: float) -> Runs:
-    """One plan: patterns over rounded large lengths, real lengths in their places, best fit for the rest."""
+def configured(counts: dict[int, int], capacity: int, groups: int, part: float) -> tuple[Runs, dict[int, int]]:
+    """Linear grouping of the lengths above capacity / part: sequences of real lengths in the places of rounded ones, and the large pieces left over."""
     large = {k: n for k, n in counts.items() if n and k * part > capacity and k < capacity}
-    made: Runs = []
-    rest: dict[int, int] = {}
-    if large:
-        grouped = _group_up(large, groups)
-        patterns = configurations([top for top, _ in grouped], [sum(n for _, n in m) for _, m in grouped], capacity)
-        made, rest = _substitute(patterns, grouped)
-    small = {k: n for k, n in counts.items() if n and k not in large and k < capacity}
-    tried = []
-    for spare in SPARE_ROOMS:
-        fill, again = _Fill(capacity), defaultdict(int, rest)
-        if counts.get(capacity):
-            fill.add(counts[capacity], (capacity,), 0)
-        for times, contents in made:
-            room = capacity - sum(contents)
-            if len(contents) == 1 or room <= spare:
-                fill.add(times, contents, room)
-            else:
-                for length in contents:
-                    again[length] += times
-        for length in sorted({*again, *small}, reverse=True):
-            fill.put(length, again.get(length, 0) + small.get(length, 0))
-        tried.append(fill.runs())
-    return min(tried, key=_sequences)
+    if not large:
+        return [], {}
+    grouped = _group_up(large, groups)
+    patterns = configurations([top for top, _ in grouped], [sum(n for _, n in m) for _, m in grouped], capacity)
+    return _substitute(patterns, grouped)
+
+
+def _pack_once(counts: dict[int, int], capacity: int, groups: int, part: float) -> Runs:
+    """One plan: every configured sequence stands, and the small pieces and those left over go where they fit best."""
+    made, rest = configured(counts, capacity, groups, part)
+    fill, again = _Fill(capacity), defaultdict(int, rest)
+    for length, n in counts.items():
+        if n and length < capacity and length * part <= capacity:
+            again[length] += n
+    if counts.get(capacity):
+        fill.add(counts[capacity], (capacity,), 0)
+    for times, contents in made:
+        fill.add(times, contents, capacity - sum(contents))
+    for length in sorted(again, reverse=True):
+        fill.put(length, again[length])
+    return fill.runs()
 
 
 def _sequences(runs: Runs) -> int:
     return sum(times for times, _ in runs)
 
 
-def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> Runs:
+def plan_runs(counts: dict[int, int], capacity: int = CAPACITY, plans: Sequence[tuple[int, float]] = PLANS) -> Runs:
     """(how many sequences, the lengths in each) for all pieces, in few sequences.
 
-    Linear grouping is tried for several bounds between large and small and several bounds on
-    the room that rounding may leave; the plan with the fewest sequences stands.
+    Linear grouping is tried for several bounds between large and small and several numbers of
+    groups (``plans``); the plan with the fewest sequences stands, the first one of equals.
     """
     if any(k < 1 or k > capacity for k in counts):
         raise ValueError("a piece is longer than a sequence, or empty")
-    return min((_pack_once(counts, capacity, groups, part) for part in LARGE_PARTS), key=_sequences)
+    bound = -(-sum(k * n for k, n in counts.items()) // capacity)
+    best: Runs | None = None
+    for groups, part in plans:
+        made = _pack_once(counts, capacity, groups, part)
+        if best is None or _sequences(made) < _sequences(best):
+            best = made
+        if _sequences(best) == bound:
+            break
+    return best or []
 
 
 def places(runs: Runs) -> dict[str, np.ndarray]:
@@ -301,48 +329,45 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(pieces, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, plans: Sequence[tuple[int, float]] = PLANS) -> DataFrame:
     """``pieces`` (any columns, one of them ``length``) plus ``sequence_id`` and ``offset``.
 
     Lengths run from 1 to ``capacity``. Pieces of one length are interchangeable: each gets a
-    rank among its length, counted in SALTS parts so that no task holds a whole length, and the
-    ranges of ranks planned for that length say where it goes. Only counts by length and part
-    (at most capacity * SALTS rows) reach the driver, and the plan, whose size depends on the
-    capacity alone, is sent to the tasks. An empty table gives an empty table.
+    rank among its length, counted by salts so that no task holds a whole length, and the
+    ranges of ranks planned for that length say where it goes. Only counts by length reach the
+    driver, and the plan, whose size depends on the capacity alone, is sent to the tasks. Columns
+    named like the two results are replaced, all others pass. An empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    others = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset", "salt", "rank")]
-    rows = stash(pieces.select(*others, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt")), "pack-pieces")
-    found = rows.groupBy("length", "salt").count().collect()
-    counts: dict[int, int] = defaultdict(int)
-    base: dict[tuple[int, int], int] = {}
-    for r in sorted(found):
-        base[r["length"], r["salt"]] = counts[r["length"]]
-        counts[r["length"]] += r["count"]
-    plan = places(plan_runs(dict(counts), capacity, groups))
-    starts = np.zeros((capacity + 1) * SALTS, np.int64)
-    for (length, salt), n in base.items():
-        starts[length * SALTS + salt] = n
+    others = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    names = [f"its {k}" for k in range(len(others))]
+    length = next(n for n, c in zip(names, others) if c == "length")
+    rows = stash(pieces.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(others, names)], F.monotonically_increasing_id().alias("row")), "pack-pieces")
+    # A length may hold a third of all rows, so it is dealt to as many salts as its rows need.
+    total = rows.count()
+    salts = int(min(MOST_SALTS, max(1, -(-total // SALT_ROWS))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    found = rows.groupBy(length, "salt").count()
+    before = Window.partitionBy(length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    found = stash(found.select(F.col(length).cast("long").alias("length"), "salt", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base")), "pack-counts")
+    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    plan = places(plan_runs(counts, capacity, plans))
     key = plan["length"] * (1 << 42) + plan["lo"]
-    sent = spark.sparkContext.broadcast((starts, key, plan["lo"], plan["sequence"], plan["offset"]))
+    sent = spark.sparkContext.broadcast((key, plan["lo"], plan["sequence"], plan["offset"]))
     plain = ("bigint", "int", "string", "binary", "double", "float", "boolean", "date", "timestamp")
-    order = Window.partitionBy("length", "salt").orderBy(*[f"`{c}`" for c, kind in rows.dtypes if c in others and kind in plain])
-    ranked = rows.withColumn("rank", F.row_number().over(order) - F.lit(1))
+    order = Window.partitionBy("length", "salt").orderBy(*[n for n, kind in rows.dtypes if n in names and n != length and kind in plain], "row")
+    ranked = joined(rows.withColumn("length", F.col(length).cast("long")), found.drop("count"), ["length", "salt"])
+    ranked = ranked.select(*names, "length", (F.row_number().over(order) - 1 + F.col("base")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, key, lo, sequence, offset = sent.value
+        key, lo, sequence, offset = sent.value
         for batch in batches:
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
-            salt = batch.column(batch.schema.get_field_index("salt")).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column(batch.schema.get_field_index("rank")).to_numpy(zero_copy_only=False) + starts[length * SALTS + salt]
-            at = np.searchsorted(key, length * (1 << 42) + rank, "right") - 1
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in others]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sequence[at] + rank - lo[at]), pa.array(offset[at])], names=[*others, "sequence_id", "offset"]
-            )
+            size, rank = (batch.column(len(names) + k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            at = np.searchsorted(key, size * (1 << 42) + rank, "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence[at] + rank - lo[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
-    schema = rows.select(*others, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(place, schema)
+    made = ranked.mapInArrow(place, rows.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema)
+    return made.withColumnsRenamed(dict(zip(names, others)))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, subwords: Subwords | None = None) -> DataFrame:
