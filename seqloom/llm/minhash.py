@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm import frequency
-from seqloom.llm.common import WORD_PATTERN, ahead_of_join, document_key, drop, joined, stash, text_or_empty
+from seqloom.llm.common import WORD_PATTERN, ahead_of_join, apart_from, document_key, drop, joined, stash, text_or_empty
 from seqloom.llm.components import components
 from seqloom.llm.textcols import hashed_runs, mix, shingle_hashes
 
@@ -309,6 +309,23 @@ def links(docs: DataFrame, distinct: DataFrame, idf: np.ndarray, threshold: floa
     return found
 
 
+def _labelled(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``key, doc_id`` of every row; and ``key, class_id, first, copies, class_size`` of every text, ``first`` being its class's least doc_id with the key of its text."""
+    idf = idf_table(document_counts(docs), docs.count())
+    rows = stash(signatures(docs, idf), "signatures")
+    distinct = stash(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bands", "parity", "weight")]), "distinct")
+    plain = stash(rows.select("key", "doc_id"), "documents")
+    drop(rows)
+    near = links(docs, distinct, idf, threshold)
+    roots = stash(components(near.select("a", "b")), "roots")
+    drop(near)
+    labelled = distinct.select("key", "doc_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sums = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.sum("copies").alias("class_size"))
+    made = stash(labelled.join(sums, "root").select("key", F.col("first.doc_id").alias("class_id"), "first", "copies", "class_size"), "classes")
+    drop(distinct, roots)
+    return plain, made
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, copies, class_size`` for every row of ``docs``.
 
@@ -319,15 +336,25 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     empty, and texts without words are copies of each other. A null doc_id is replaced by a hash of the
     text, as in ``common.document_key``. Repeated rows get the same class.
     """
-    idf = idf_table(document_counts(docs), docs.count())
-    rows = stash(signatures(docs, idf), "signatures")
-    distinct = stash(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("bands", "parity", "weight")]), "distinct")
-    near = links(docs, distinct, idf, threshold)
-    roots = stash(components(near.select("a", "b")), "roots")
-    drop(near)
-    labelled = distinct.select("key", "doc_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    sums = labelled.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    labelled = labelled.join(sums, "root").select("key", "class_id", "copies", "class_size")
-    made = stash(rows.select("key", "doc_id").join(labelled, "key").select("doc_id", "class_id", "copies", "class_size"), "classes")
-    drop(rows, distinct, roots)
-    return made
+    rows, labelled = _labelled(docs, threshold)
+    return rows.join(labelled, "key").select("doc_id", "class_id", "copies", "class_size")
+
+
+def without_near_copies(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, but of each class (see ``classes``) only the row of the least doc_id.
+
+    Rows are told apart by doc_id and text; of rows equal in both one stays. Of rows of one class
+    and doc_id the one with the least md5 of its text stays. Only rows that may go are shuffled.
+    """
+    plain, labelled = _labelled(docs, threshold)
+    keys = ["seqloom doc", "seqloom text"]
+    placed = plain.join(labelled.select("key", "first"), "key")
+    gone = placed.where((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.key") != F.col("key")))
+    gone = stash(gone.select(F.col("doc_id").alias(keys[0]), F.col("key").alias(keys[1])).distinct(), "gone")
+    again = stash(placed.groupBy(F.col("doc_id").alias(keys[0]), F.col("key").alias(keys[1])).count().where("count > 1").drop("count"), "repeated")
+    drop(plain, labelled)
+    rows = docs.withColumn(keys[0], document_key()).withColumn(keys[1], F.unhex(F.md5(wordy())))
+    made = apart_from(rows, keys[1], gone.select(keys[1])).unionByName(ahead_of_join(rows, keys[1], gone.select(keys[1])).join(gone, keys, "left_anti"))
+    if not again.isEmpty():
+        made = made.join(again, keys, "left_anti").unionByName(made.join(again, keys, "left_semi").dropDuplicates(keys))
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -59,17 +59,21 @@ class _Memory(dict):
 def segments(positions: np.ndarray, scores: np.ndarray, gap: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments, in linear time: (score, first position, last position).
 
-    Tokens at ``positions`` have positive ``scores``; every token between costs ``gap``. Each
-    candidate remembers the running sums before and after it; a new one is joined with the
-    latest earlier one whose left sum is lower, if that one's right sum does not exceed its own,
-    and is tried again. Candidates that stay are disjoint and maximal.
+    Tokens at ``positions`` have these ``scores``, which may be negative; every token between costs
+    ``gap``. Each candidate remembers the running sums before and after it; a new one is joined
+    with the latest earlier one whose left sum is lower, if that one's right sum does not exceed
+    its own, and is tried again. Candidates that stay are disjoint and maximal.
     """
     stack: list[tuple[float, float, int, int, int]] = []  # left sum, right sum, first, last, index of the last one with a lower left sum
     total, before = 0.0, -1
     for at, score in zip(positions.tolist(), scores.tolist()):
         total -= gap * (at - before - 1)
+        before = at
+        if score <= 0:
+            total += score
+            continue
         left, right, first, last = total, total + score, at, at
-        total, before = right, at
+        total = right
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][0] >= left:
@@ -84,9 +88,14 @@ def segments(positions: np.ndarray, scores: np.ndarray, gap: float) -> list[tupl
 
 @dataclass(frozen=True)
 class Model:
-    """Token scores, the background's cost, the extreme-value law of clean documents, and the final logistic."""
+    """Token scores, the background's cost, the extreme-value law of clean documents, and the final logistic.
+
+    A token scores the largest log-odds of its units that speak for toxicity; without any, the word's
+    own log-odds against it (in ``against``), at least as much as the background costs.
+    """
 
     scores: dict[str, float]
+    against: dict[str, float]
     gap: float
     decay: float  # lambda: one expected toxic token among the background is worth exp(-decay * score)
     rate: float  # K: candidate segments a token of clean text starts
@@ -95,13 +104,16 @@ class Model:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "memory"}
 
+    def of_word(self, word: str) -> float:
+        """The score of a token, 0 where it is background."""
+        return max((self.scores.get(u, 0.0) for u in units(word)), default=0.0) or self.against.get(word, 0.0)
+
     def found(self, text: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """How many tokens; which of them score above the background, and their scores."""
+        """How many tokens; which of them score other than the background, and their scores."""
         words = tokens(text)
         memory = self.__dict__.get("memory")
         if memory is None:
-            scores = self.scores
-            memory = self.__dict__["memory"] = _Memory(lambda w: max((scores.get(u, 0.0) for u in units(w)), default=0.0))
+            memory = self.__dict__["memory"] = _Memory(self.of_word)
         hits = [(i, s) for i, s in enumerate(map(memory.__getitem__, words)) if s]
         at = np.array([i for i, _ in hits], np.int64)
         return len(words), at, np.array([s for _, s in hits])
@@ -140,8 +152,9 @@ def _log_odds(toxic: Counter, clean: Counter, n1: int, n0: int) -> dict[str, tup
     """
     found = {}
     weight = PRIOR_SHARE * (n1 + n0)
-    for unit, k in toxic.items():
-        if k < LEAST_DOCUMENTS:
+    for unit in toxic.keys() | clean.keys():
+        k = toxic.get(unit, 0)
+        if k + clean.get(unit, 0) < LEAST_DOCUMENTS:
             continue
         prior = weight * (k + clean.get(unit, 0)) / (n1 + n0)
         a, b = k + prior, clean.get(unit, 0) + prior
@@ -156,7 +169,7 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
     base = (sum(y for _, y in rows) + 0.5) / (len(rows) + 1.0) if rows else 0.0
     constant = (math.log(base / (1 - base)) if 0 < base < 1 else -5.0, 0.0, 0.0, 0.0)
     if len({y for _, y in rows}) < 2:
-        return Model({}, 1.0, 1.0, 1.0, constant)
+        return Model({}, {}, 1.0, 1.0, 1.0, constant)
     toxic, clean_counts, totals = Counter(), Counter(), [0, 0]
     for text, y in rows:
         if y:
@@ -164,25 +177,32 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
             totals[1] += len(words)
             toxic.update({u for w in words for u in units(w)})
     wanted = {u for u, k in toxic.items() if k >= LEAST_DOCUMENTS}
-    known = _Memory(lambda w: [u for u in units(w) if u in wanted])
+    # Against toxicity only whole words speak, so that a beginning that many words share decides nothing.
+    known = _Memory(lambda w: [w, *(u for u in units(w)[1:] if u in wanted)])
     for text, y in rows:
         if not y:
             words = set(tokens(text))
             totals[0] += len(words)
             clean_counts.update({u for w in words for u in known[w]})
     known.clear()
-    odds = {u: x for u, x in _log_odds(toxic, clean_counts, *totals[::-1]).items() if x[1] >= LEAST_Z and x[0] > 0}
+    both = _log_odds(toxic, clean_counts, *totals[::-1])
+    odds = {u: x for u, x in both.items() if x[1] >= LEAST_Z and x[0] > 0 and toxic[u] >= LEAST_DOCUMENTS}
     top = sorted(odds, key=lambda w: (-odds[w][1], w))[:FIT_TOKENS]
     scores = {w: min(odds[w][0], MOST_SCORE) for w in top}
     if not scores:
-        return Model({}, 1.0, 1.0, 1.0, constant)
+        return Model({}, {}, 1.0, 1.0, 1.0, constant)
     # The background's cost: low enough for a run of toxic words to survive the words between,
     # high enough for the expected score of a clean token to be well below zero.
     share = {w: clean_counts.get(w, 0) / max(totals[0], 1) for w in scores}
     drift = sum(share[w] * s for w, s in scores.items())
     gap = max(0.05 * float(np.mean(list(scores.values()))), 2.0 * drift)
-    decay = _root(scores, share, gap)
-    model = Model(scores, gap, decay, 1.0, constant)
+    low = {u: x for u, x in both.items() if x[1] <= -LEAST_Z and x[0] < -gap and not u.endswith("*")}
+    against = {w: max(low[w][0], -MOST_SCORE * gap) for w in sorted(low, key=lambda w: (low[w][1], w))[:FIT_TOKENS]}
+    against = {w: x for w, x in against.items() if not any(u in scores for u in units(w))}
+    for w in against:
+        share[w] = clean_counts.get(w, 0) / max(totals[0], 1)
+    decay = _root(scores | against, share, gap)
+    model = Model(scores, against, gap, decay, 1.0, constant)
     clean, features, labels, made = [], [], [], []
     for text, y in rows:
         n, at, s = model.found(text)
@@ -192,11 +212,11 @@ def fit(rows: Iterable[tuple[str, int]]) -> Model:
             clean.append(max((x[0] for x in found), default=0.0) - math.log(n) / decay)
     # The Gumbel law of the best score of clean documents of n tokens: location log(K n) / decay.
     rate = float(np.exp(np.clip(decay * np.mean(clean) - 0.5772, -20, 5))) if clean else 1.0
-    model = Model(scores, gap, decay, max(rate, 1e-4), constant)
+    model = Model(scores, against, gap, decay, max(rate, 1e-4), constant)
     for n, found, y in made:
         features.append(model._features(n, found))
         labels.append(y)
-    return Model(scores, gap, decay, model.rate, _logistic(np.array(features), np.array(labels, float)))
+    return Model(scores, against, gap, decay, model.rate, _logistic(np.array(features), np.array(labels, float)))
 
 
 def _root(scores: dict[str, float], share: dict[str, float], gap: float) -> float:
@@ -245,22 +265,37 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> M
         bound = known.agg(F.percentile_approx(F.xxhash64("doc_id"), rows / n, 10_000)).first()[0]
         known = known.where(F.xxhash64("doc_id") <= F.lit(bound))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    # ``known`` has about ``rows`` rows of two numbers, so it may be broadcast at any scale.
-    return fit((r["text"], r["label"]) for r in texts.join(F.broadcast(known), "doc_id").select("text", "label").toLocalIterator())
+    # ``known`` has about ``rows`` rows of two numbers, so it may be broadcast at any scale. Of documents that share an id one teaches.
+    taught = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return fit((r["text"], r["label"]) for r in taught.select("text", "label").toLocalIterator())
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` plus ``toxicity`` (0 to 1) from whole texts; null text counts as empty."""
+def score_documents(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """The columns of ``docs`` plus ``name`` (0 to 1, replaced if there) from whole texts; null text counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c.lower() != "toxicity"]
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
+    names = [f"its {k}" for k in range(len(kept))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)], text_or_empty().alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            texts = batch.column(len(names))
-            values = pa.array([model.score(t.as_py() or "") for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*names, "toxicity"])
+            values = pa.array([model.score(t.as_py() or "") for t in batch.column(len(names))], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], names=[*names, "score"])
+
+    made = rows.mapInArrow(score, rows.drop("text").withColumn("score", F.lit(0.0)).schema)
+    return made.withColumnsRenamed(dict(zip([*names, "score"], [*kept, name])))
+
+
+def find_passages(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, passages`` of every row: its significant passages as structs of first and last token, score, and number expected in a clean text of the length."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
+        for batch in batches:
+            made = [[{"first": a, "last": b, "score": s, "expected": e} for s, e, a, b in model.passages(t.as_py() or "")] for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], names=["doc_id", "passages"])
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = kept.withColumn("toxicity", F.lit(0.0)).schema
-    return docs.select(*[F.col(f"`{c}`") for c in names], text_or_empty().alias("seqloom text")).mapInArrow(score, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(find, "doc_id long, passages array<struct<first:int,last:int,score:double,expected:double>>")

@@ -55,3 +55,28 @@ def test_stages(spark, tmp_path):
     text_of = {r["doc_id"]: r["text"] for r in mixed}
     assert dict(tokens) == {i: n * (len(Subwords().encode(text_of[i])) + 1) for i, n in times.items()}
     assert max(sequences.values()) <= 2048 and len(sequences) <= np.ceil(sum(sequences.values()) / 2048) + 1
+
+
+def test_awkward_tables_pass_every_stage(spark, tmp_path):
+    """Nulls in any column, shared ids, repeated rows, empty and long texts, and columns whose names the stages use themselves."""
+    prepare(spark)
+    texts = made_texts(30, 5)
+    rows = [(i, t, "en", "s0", len(t), "keep", 3, 0.5, 7, "m") for i, t in enumerate(texts)]
+    rows += [(2, "a text of its own that shares the number two with another row", None, None, None, "keep", 3, 0.5, 7, "m")]
+    rows += [(None, "no number at all but quite some words in it", "en", "s1", 5, None, None, None, None, None), (50, None, "en", "s1", 0, "keep", 3, 0.5, 7, "m"), (51, "", None, "s1", 0, "keep", 3, 0.5, 7, "m")]
+    rows += [rows[4], (52, "word " * 30_000, "en", "s1", 150_000, "keep", 3, 0.5, 7, "m")]
+    schema = "doc_id long, text string, lang string, source string, n_chars int, size string, line int, toxicity double, times int, doc string"
+    spark.createDataFrame([(k, k % 5 == 0) for k in range(40)], "doc_id long, toxic boolean").selectExpr("doc_id", "int(toxic) AS toxic").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    for name, given in (("some", rows), ("none", [])):
+        spark.createDataFrame(given, schema).write.parquet(str(tmp_path / f"{name}-0"))
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, spark.read.parquet(str(tmp_path / f"{name}-{k}")), str(tmp_path))
+            out.write.parquet(str(tmp_path / f"{name}-{k + 1}"))
+            got = spark.read.parquet(str(tmp_path / f"{name}-{k + 1}"))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert got.dtypes == spark.read.parquet(str(tmp_path / f"{name}-0")).dtypes
+                assert {(r["size"], r["line"], r["toxicity"], r["times"], r["doc"]) for r in got.collect()} <= {("keep", 3, 0.5, 7, "m"), (None,) * 5}
+            if name == "some" and k < 3:
+                found = [(r["doc_id"], r["text"]) for r in got.collect()]
+                assert (2, rows[30][1]) in found and (2, texts[2]) in found and (None, rows[31][1]) in found
+                assert len(found) == len(rows) - (2 if k == 2 else 0)
