@@ -6,28 +6,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import linededup, minhash, mixing, packing, toxicity
-from seqloom.llm.common import document_key, prepare, stash, table
+from seqloom.llm.common import drop, prepare, stash, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below 0.5, by a model fitted on the labels of ``sf_dir``."""
+    """Documents whose toxicity is below 0.5, by a model fitted on the labels of ``sf_dir``.
+
+    Null and empty texts are not toxic. Without labels of both kinds nothing is known, and all
+    documents stay. Repeated rows are judged each; a null doc_id has no label but is judged too;
+    all columns pass unchanged, one named toxicity too.
+    """
     prepare(spark)
     model = toxicity.fit_documents(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).where("toxicity < 0.5").select(*docs.columns)
+    return toxicity.score_documents(docs, model, "seqloom toxicity").where("`seqloom toxicity` < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are like an earlier line."""
+    """All documents, without the lines that are like an earlier line, by doc_id (or a hash of the text, if null), the text's hash and the line's number.
+
+    Null text stays null; a document whose lines all go stays with an empty text. Of rows that are
+    equal in doc_id and text one keeps its lines. ``n_chars`` is counted anew; all other columns
+    pass unchanged.
+    """
     prepare(spark)
     return linededup.without_later_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least doc_id, once."""
+    """Of each class of near-duplicates the row of the least doc_id (or a hash of the text, if null), once.
+
+    Null texts and texts without words are one class. Rows that share a doc_id but are not alike all stay; all columns pass
+    unchanged.
+    """
     prepare(spark)
-    kept = minhash.classes(docs).select(F.col("class_id").alias("document key")).distinct()
-    rows = docs.withColumn("document key", document_key())
-    return rows.join(kept, "document key", "left_semi").dropDuplicates(["document key"]).select(*docs.columns)
+    return minhash.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences; null text counts as empty, repeated rows are packed each."""
     prepare(spark)
     return packing.pack_documents(docs)
 
@@ -62,5 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's rows are written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
