@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqloom.operators import cluster as C
 from seqloom.operators import reads as R
@@ -283,8 +284,6 @@ def test_ranges_number_as_one_window(spark, monkeypatch):
     from seqloom.operators import order as O
 
     rows = spark.createDataFrame([(k, (k * 37) % 50) for k in range(400)], "id long, key long")
-    from pyspark.sql import functions as F
-
     want = {r["id"]: r["place"] for r in O.with_place(rows, [F.desc("key"), F.asc("id")]).collect()}
     monkeypatch.setattr(O, "RANGE_ROWS", 60)
     assert {r["id"]: r["place"] for r in O.with_place(rows, [F.desc("key"), F.asc("id")]).collect()} == want
@@ -342,3 +341,20 @@ def test_sizes_by_length_carry_the_last_length(spark):
     table = spark.createDataFrame(rows, "cluster_no long, member_pos int, id string, len long, is_rep boolean")
     got = [tuple(r) for r in M.size_by_length(table, "1,2-3,4-up,7,2-up", "1-149,150-250,151-up").orderBy("place").collect()]
     assert got == [(0, "1", 1, 1, 1, 0, 0), (1, "2-3", 5, 2, 1, 1, 0), (2, "4-up", 0, 0, 0, 0, 0), (3, "7", 0, None, 0, 0, 0), (4, "2-up", 5, 2, 1, 1, 0), (5, "Total", 11, 5, 3, 2, 0)]
+
+
+def test_chimeras_are_told_from_their_parents(spark):
+    from seqloom.operators import chimera as H
+
+    rng = random.Random(21)
+    a, b, c, other = ("".join(rng.choice("ACGT") for _ in range(160)) for _ in range(4))
+    rows = [(0, a, 50), (1, b, 40), (2, a[:80] + b[80:], 5), (3, c, 30), (4, mutated(rng, a, "ACGT", 0)[:159] + "A", 4), (5, b[:70] + other[70:], 6), (6, b[:60] + c[60:], 3), (7, c[:90] + a[90:], 1), (8, other[:40], 9)]
+    table = spark.createDataFrame(rows, "cluster_no long, seq string, abundance long")
+    got = {r["cluster_no"]: (r["parent_1"], r["parent_2"]) for r in H.chimeric_clusters(table).collect()}
+    assert got == {2: (0, 1), 6: (1, 3)}  # 7 is too rare to be judged
+    assert H.chimeric_clusters(table, least=1).count() == 3 and H.chimeric_clusters(table, ratio=20.0).count() == 0
+    assert H.chimeric_clusters(table.limit(2)).count() == 0
+    members = table.select("cluster_no", F.explode(F.sequence(F.lit(1), F.col("abundance"))).alias("m"))
+    one, two = H.split_by_chimeras(members, H.chimeric_clusters(table))
+    assert two.select("cluster_no", "parent_1", "parent_2").distinct().orderBy("cluster_no").collect() == [(0, 0, 1), (1, 1, 2)]
+    assert one.groupBy("cluster_no").count().orderBy("cluster_no").first()["count"] == 50
