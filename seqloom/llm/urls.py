@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import stash
+from seqloom.llm.common import drop, joined, stash
 
 #: (verdict, rule): the rule's host stands before its first slash, its path from there on.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -116,18 +116,21 @@ def templates(urls: DataFrame) -> DataFrame:
         branches = stash(named.groupBy(*node, "name").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "branches")
         kinds = branches.groupBy(*node, *_COUNTS).agg(F.count(F.lit(1)).alias("copies"), F.min("name").alias("name"))
         schema = "host string, prefix string, n long, labelled long, bad long, ends long, leader string, names long"
-        merged = stash(branches.join(kinds.groupBy(*node).applyInPandas(_merge, schema), [*node, *_COUNTS]).select(*node, "name", "leader", "names"), "branches")
+        merged_ = stash(branches.join(kinds.groupBy(*node).applyInPandas(_merge, schema), [*node, *_COUNTS]).select(*node, "name", "leader", "names"), "branches")
+        merged = merged_
         spelled = merged.where(F.col("names") <= SPELLED).groupBy(*node, "leader").agg(F.array_join(F.sort_array(F.collect_list("name")), "|").alias("spelled"))
         counted = F.concat("leader", F.lit("|+"), (F.col("names") - 1).cast("string"))
         merged = merged.join(spelled, [*node, "leader"], "left").select(*node, "name", F.coalesce("spelled", counted).alias("branch"))
         literal = merged.where(F.col("name").startswith("=")).select(*node, F.substring("name", F.lit(2), F.length("name")).alias("segment"), F.col("branch").alias("own"))
         other = merged.where(~F.col("name").startswith("=")).select(*node, F.col("name").alias("wild"), F.col("branch").alias("general"))
-        step = live.withColumn("segment", segment).withColumn("wild", wild(segment)).join(alone, node, "left")
-        step = step.join(literal, [*node, "segment"], "left").join(other, [*node, "wild"], "left")
+        # A host may hold a third of all urls: what urls are joined with is broadcast where it is counted to be small.
+        step = joined(live.withColumn("segment", segment).withColumn("wild", wild(segment)), alone, node, "left")
+        step = joined(joined(step, literal, [*node, "segment"], "left"), other, [*node, "wild"], "left")
         rest = F.array_join(F.transform(F.slice("parts", level + 1, F.size("parts")), wild), "/")
         after = F.concat("prefix", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.coalesce("own", "general")))
         over = F.coalesce("alone", F.lit(False)) | (F.size("parts") == level + 1)
         step = stash(step.withColumn("prefix", after).withColumn("over", over).select(*columns, "over"), "urls")
+        drop(below, branches, merged_)
         done, live = done.unionByName(step.where("over").drop("over")), step.where("NOT over").drop("over")
         level += 1
     return done.withColumnRenamed("prefix", "template").drop("parts")
@@ -157,4 +160,4 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     impurity = (F.col("b") + PRIOR * F.col("host_impurity")) / (F.col("k") + PRIOR)
     scored = sums.join(hosts, "host").select("host", "template", impurity.alias("impurity"))
     verdict = F.coalesce("word", F.when(F.col("impurity") > REJECT, "block").otherwise("allow"))
-    return made.join(scored, ["host", "template"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "impurity")
+    return joined(made, scored, ["host", "template"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "impurity")
