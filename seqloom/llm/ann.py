@@ -16,8 +16,9 @@ from seqloom.llm.common import stash
 FIT_VECTORS = 8_192
 #: Codebooks, codewords in each, and partial codes kept while a vector is encoded.
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: Candidates of each query that are scored exactly on the original vectors.
-RERANK = 1000
+#: Candidates of each query that are scored exactly on the original vectors, among RERANK_ROWS rows; they grow with the
+#: square root of the rows, since the codes' error puts more rows before a near one the more there are.
+RERANK, RERANK_ROWS = 1000, 50_000
 #: Queries that are searched for at once: so many go to every task, whatever their number.
 QUERY_BLOCK = 8192
 #: Rows scored at once within a task.
@@ -116,18 +117,20 @@ def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
 
 
 def encoded(rows: DataFrame, model: Codebooks) -> DataFrame:
-    """``id, codes, norm`` of rows ``id, vector``: the code, and the squared length of the vector it stands for."""
+    """``id, codes, norm, stretch`` of rows ``id, vector``: the code, the squared length of the vector it stands for, and how much longer the vector itself is."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             if batch.num_rows:
-                codes = model.encode(_matrix(batch.column(1), np.float32))
+                x = _matrix(batch.column(1))
+                codes = model.encode(x.astype(np.float32))
                 norms = (model.decode(codes).astype(np.float64) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms)], names=["id", "codes", "norm"])
+                stretch = np.sqrt((x**2).sum(1) / np.maximum(norms, 1e-30))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms), pa.array(np.where(np.isfinite(stretch), stretch, 1.0))], names=["id", "codes", "norm", "stretch"])
 
-    return rows.select("id", "vector").mapInArrow(encode, "id long, codes binary, norm double")
+    return rows.select("id", "vector").mapInArrow(encode, "id long, codes binary, norm double, stretch double")
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, held: tuple[np.ndarray, np.ndarray] | None, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +151,9 @@ def scan(codes: DataFrame, model: Codebooks, ids: np.ndarray, queries: np.ndarra
     """``query, id, score``: for each query and task the ``keep`` best rows by lookup tables.
 
     A query's table has its inner product with every codeword; a row's score is the sum of the
-    entries that its code names. For ``measure`` "l2" the stored norm turns that into minus the
-    squared distance, up to a constant of the query.
+    entries that its code names. For ``measure`` "ip" that is stretched to the vector's own length,
+    since a code stands for a vector that is too short; for "l2" the stored norm turns it into
+    minus the squared distance, up to a constant of the query.
     """
     tables = np.einsum("qd,mkd->mqk", queries.astype(np.float32), model.books)
     sent = codes.sparkSession.sparkContext.broadcast((ids, np.ascontiguousarray(tables.transpose(0, 2, 1))))
@@ -163,13 +167,15 @@ def scan(codes: DataFrame, model: Codebooks, ids: np.ndarray, queries: np.ndarra
                 piece = batch.slice(low, ROW_BLOCK)
                 rows = piece.column(0).to_numpy(zero_copy_only=False)
                 code = np.frombuffer(b"".join(piece.column(1).to_pylist()), np.uint8).reshape(len(rows), -1)
-                norms = piece.column(2).to_numpy(zero_copy_only=False).astype(np.float32)
+                norms, stretch = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.float32) for k in (2, 3))
                 for q in range(0, len(query_ids), part):
                     total = np.zeros((len(rows), min(part, len(query_ids) - q)), np.float32)
                     for m in range(code.shape[1]):
                         total += tables[m, :, q : q + part][code[:, m]]
                     if measure == "l2":
                         total = 2 * total - norms[:, None]
+                    else:
+                        total *= stretch[:, None]
                     total[rows[:, None] == query_ids[None, q : q + part]] = -np.inf
                     held[q] = _best(np.ascontiguousarray(total.T), rows, held.get(q), keep)
         for q, (scores, found) in held.items():
@@ -184,14 +190,15 @@ def scan(codes: DataFrame, model: Codebooks, ids: np.ndarray, queries: np.ndarra
     return codes.mapInArrow(score, "query long, id long, score float")
 
 
-def search(rows: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 20, rerank: int = RERANK, fit_vectors: int = FIT_VECTORS) -> DataFrame:
+def search(rows: DataFrame, id_column: str, vector_column: str, queries: DataFrame, k: int = 20, rerank: int | None = None, fit_vectors: int = FIT_VECTORS, exact: bool = False) -> DataFrame:
     """``query_id, rank, id, score``: each query's k rows of largest inner product, its own row (same id) left out.
 
     ``rows`` and ``queries`` both have the id and the vector. Codebooks are fitted on at most
     ``fit_vectors`` vectors; every row is coded. Queries are taken QUERY_BLOCK at a time: their
     lookup tables go to all tasks, each task keeps its best candidates for each query, the
-    ``rerank`` best overall are scored exactly, in double precision, on the original vectors.
-    Ties go to the smaller id. With fewer candidates than k all are returned. Unusable vectors
+    ``rerank`` best overall are scored exactly, in double precision, on the original vectors. With
+    ``exact`` there are no codes: every row is scored so, which is the way where ``rerank``
+    candidates (see RERANK) find too few. Ties go to the smaller id. With fewer candidates than k all are returned. Unusable vectors
     (see ``usable``) and those of another length than the commonest take no part; null ids
     neither; of rows that share an id one vector counts. No usable vector: no rows.
     """
@@ -205,25 +212,34 @@ def search(rows: DataFrame, id_column: str, vector_column: str, queries: DataFra
     asked = queries.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("vector")).where("id IS NOT NULL").where(usable("vector"))
     asked = asked.where(F.size("vector") == sizes["n"]).groupBy("id").agg(F.min("vector").alias("vector"))
     n = clean.count()
+    rerank = rerank or max(RERANK, round(RERANK * (n / RERANK_ROWS) ** 0.5))
     sample = clean
     if n > fit_vectors:
         bound = clean.agg(F.percentile_approx(F.xxhash64("id"), fit_vectors / n, 10_000)).first()[0]
         sample = clean.where(F.xxhash64("id") <= F.lit(bound))
-    model = fit(np.array([r[0] for r in sample.orderBy("id").limit(2 * fit_vectors).select("vector").toLocalIterator()]))
-    codes = stash(encoded(clean, model).dropDuplicates(["id"]), "codes")
-    originals = clean.groupBy("id").agg(F.min("vector").alias("vector"))
+    vectors = stash(clean.groupBy("id").agg(F.min("vector").alias("vector")), "vectors")  # of rows that share an id the least vector counts
+    model = None
+    if not exact:
+        model = fit(np.array([r[0] for r in sample.groupBy("id").agg(F.min("vector").alias("vector")).orderBy("id").limit(2 * fit_vectors).select("vector").toLocalIterator()]))
+        codes = stash(encoded(vectors, model), "codes")
+        # Rows lie in no order in the files (they were dealt by a hash of the id), so a task need not keep all candidates: its share of them, and many times the deviation beside.
+        share = rerank / max(1, codes.rdd.getNumPartitions())
+        keep = int(min(rerank, share + 8 * share**0.5 + k + 20))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     found = empty
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(blocks)) == b).orderBy("id").collect()
         if not block:
             continue
-        ids, vectors = np.array([r["id"] for r in block]), np.array([r["vector"] for r in block])
-        near = scan(codes, model, ids, vectors, rerank, "ip")
+        ids, asked_vectors = np.array([r["id"] for r in block]), np.array([r["vector"] for r in block])
         order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query", "id")
-        exact = _exact(near.join(originals, "id"), ids, vectors)
-        ranked = exact.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+        if exact:
+            scored = _nearest(vectors, ids, asked_vectors, k)
+        else:
+            near = scan(codes, model, ids, asked_vectors, keep, "ip")
+            near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rerank).select("query", "id")
+            scored = _exact(near.join(vectors, "id"), ids, asked_vectors)
+        ranked = scored.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
         ranked = ranked.select(F.col("query").alias("query_id"), "rank", "id", "score")
         found = stash(ranked, "neighbours") if blocks > 1 and b == 0 else (ranked if blocks == 1 else found.unionByName(stash(ranked, "neighbours")))
     return found
@@ -243,3 +259,25 @@ def _exact(pairs: DataFrame, ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([query, batch.column(1), pa.array(exact)], names=["query", "id", "score"])
 
     return pairs.select("query", "id", "vector").mapInArrow(score, "query long, id long, score double")
+
+
+def _nearest(vectors: DataFrame, ids: np.ndarray, asked: np.ndarray, k: int) -> DataFrame:
+    """``query, id, score``: for each query and task the k rows of largest inner product, in double precision."""
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, asked))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked = sent.value
+        held: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            for low in range(0, batch.num_rows, ROW_BLOCK):
+                piece = batch.slice(low, ROW_BLOCK)
+                rows, x = piece.column(0).to_numpy(zero_copy_only=False), _matrix(piece.column(1))
+                total = np.stack([(x * q).sum(1) for q in asked])
+                total[rows[None, :] == ids[:, None]] = -np.inf
+                held = _best(total, rows, held, k)
+        if held is not None:
+            real = np.isfinite(held[0])
+            which = np.broadcast_to(ids[:, None], held[0].shape)
+            yield pa.RecordBatch.from_arrays([pa.array(which[real]), pa.array(held[1][real]), pa.array(held[0][real])], names=["query", "id", "score"])
+
+    return vectors.mapInArrow(score, "query long, id long, score double")
