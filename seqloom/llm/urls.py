@@ -112,11 +112,12 @@ def templates(urls: DataFrame) -> DataFrame:
         )
         below = stash(below, "segments")
         alone = below.groupBy(*node).agg(F.sum("n").alias("total")).where("total = 1").select(*node, F.lit(True).alias("alone"))
-        named = below.join(alone, node, "left_anti").withColumn("name", F.when(F.col("n") >= LEAST_URLS, F.concat(F.lit("="), "segment")).otherwise(wild(F.col("segment"))))
+        named = joined(below, alone, node, "left_anti").withColumn("name", F.when(F.col("n") >= LEAST_URLS, F.concat(F.lit("="), "segment")).otherwise(wild(F.col("segment"))))
         branches = stash(named.groupBy(*node, "name").agg(*[F.sum(c).alias(c) for c in _COUNTS]), "branches")
         kinds = branches.groupBy(*node, *_COUNTS).agg(F.count(F.lit(1)).alias("copies"), F.min("name").alias("name"))
         schema = "host string, prefix string, n long, labelled long, bad long, ends long, leader string, names long"
-        merged_ = stash(branches.join(kinds.groupBy(*node).applyInPandas(_merge, schema), [*node, *_COUNTS]).select(*node, "name", "leader", "names"), "branches")
+        led = stash(kinds.groupBy(*node).applyInPandas(_merge, schema), "leaders")
+        merged_ = stash(joined(branches, led, [*node, *_COUNTS]).select(*node, "name", "leader", "names"), "branches")
         merged = merged_
         spelled = merged.where(F.col("names") <= SPELLED).groupBy(*node, "leader").agg(F.array_join(F.sort_array(F.collect_list("name")), "|").alias("spelled"))
         counted = F.concat("leader", F.lit("|+"), (F.col("names") - 1).cast("string"))
@@ -130,7 +131,7 @@ def templates(urls: DataFrame) -> DataFrame:
         after = F.concat("prefix", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.coalesce("own", "general")))
         over = F.coalesce("alone", F.lit(False)) | (F.size("parts") == level + 1)
         step = stash(step.withColumn("prefix", after).withColumn("over", over).select(*columns, "over"), "urls")
-        drop(below, branches, merged_)
+        drop(below, branches, led, merged_)
         done, live = done.unionByName(step.where("over").drop("over")), step.where("NOT over").drop("over")
         level += 1
     return done.withColumnRenamed("prefix", "template").drop("parts")
