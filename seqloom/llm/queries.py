@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import ann, fingerprint, linededup, lm, minhash, mixing, packing, tokencount, toxicity, urls
@@ -31,16 +31,23 @@ def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def page_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles and tags."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, or else by the template it belongs to.
 
-    A page is labelled bad where the label of the same number says toxic or not of quality.
+    A page is labelled bad where the toxicity model, fitted on the labelled documents, says that
+    its text is toxic: no table labels urls, and the pages' own text is what their filter is for.
     """
     prepare(spark)
-    labels = table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("page_id"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0).alias("bad")
-    )
-    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), labels)
+    pages = table(spark, sf_dir, "pages")
+    model = toxicity.fit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    texts = pages.select(F.col("page_id"), page_text(F.col("html")).alias("text"))
+    labels = toxicity.score_documents(texts, model).select("page_id", (F.col("toxicity") >= 0.5).cast("int").alias("bad"))
+    return urls.judge(pages.select("page_id", "url"), labels)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +141,43 @@ SELECT k.doc_id, k.size, r.source_size, r.target,
 FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source
 """
 
+def _sketch_sql(text: str) -> str:
+    """``fingerprint.sketch`` of an expression."""
+    words = rf"regexp_extract_all(translate({text}, '{fingerprint.UPPER}', '{fingerprint.UPPER.lower()}'), '[^\x20\x09-\x0D]+')"
+    whole = " + ".join(f"{f} * h[i + {k}]" for k, f in enumerate(fingerprint.FACTORS))
+    few = " + ".join(f"{f} * coalesce(h[{k + 1}], 0)" for k, f in enumerate(fingerprint.FACTORS))
+    bind = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    shingles = (
+        f"CASE WHEN len(h) >= 5 THEN list_transform(range(1, len(h) - 3), lambda i: ({whole} + 5) % {fingerprint.PRIME}) "
+        f"WHEN len(h) = 0 THEN CAST([] AS BIGINT[]) ELSE [({few} + len(h)) % {fingerprint.PRIME}] END"
+    )
+    low = f"list_sort(list_distinct(list_filter(s, lambda v: v < {fingerprint.PRIME // fingerprint.SCALE})))"
+    kept = bind("l", low, "CASE WHEN len(l) > 0 OR len(s) = 0 THEN l ELSE [list_min(s)] END")
+    return bind("h", f"list_transform({words}, lambda w: CAST('0x' || substr(md5(w), 1, 7) AS BIGINT))", bind("s", shingles, kept))
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    shared = f"CAST(len(list_intersect({a}, {b})) AS DOUBLE)"
+    return f"CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE {shared} / (len({a}) + len({b}) - {shared}) END"
+
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), following AS (
+  SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id, t), first_value(t) OVER (ORDER BY doc_id, t)) AS nt FROM d
+), edited AS (
+  SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS ed FROM following
+), sketched AS (
+  SELECT *, {_sketch_sql('t')} AS a, {_sketch_sql('ed')} AS e, {_sketch_sql('nt')} AS b FROM edited
+)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256,
+       array_to_string(list_transform(a, lambda v: printf('%010X', v)), '') AS fingerprint,
+       array_to_string(list_transform(e, lambda v: printf('%010X', v)), '') AS edited_fingerprint,
+       {_likeness_sql('a', 'e')} AS near_edited, {_likeness_sql('a', 'b')} AS near_next,
+       CASE WHEN len(a) = 0 THEN 1.0::DOUBLE ELSE CAST(len(list_intersect(a, e)) AS DOUBLE) / len(a) END AS part_edited
+FROM sketched
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_vectors": op1_nearest_vectors,
     "op2_lm_scores": op2_lm_scores,
@@ -148,5 +192,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_fingerprints": OP7_SQL,
     "op10_mix_sources": OP10_SQL,
 }
