@@ -11,17 +11,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kmer_counts(records: DataFrame, k: int, kind: str = "protein") -> DataFrame:
-    """``seq_idx, word, n`` for every word of ``k`` letters; nucleotide words with other letters than ACGT are left out."""
-    starts = F.sequence(F.lit(1), F.col("len") - k + 1)
-    rows = records.where(F.col("len") >= k).select("seq_idx", F.explode(F.transform(starts, lambda i: F.substring(F.col("seq"), i, F.lit(k)))).alias("word"))
+#: Letters whose words are counted at once.
+PIECE_LETTERS = 1 << 19
+
+
+def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all strings of a column in a row, as numbers, and where each string begins and ends; a null is an empty one."""
+    held = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = held.buffers()
+    at = np.frombuffer(offsets, np.int64, len(held) + 1, held.offset * 8) if len(held) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    if not len(raw) or raw.max() < 128:
+        return raw, at - at[0]
+    ends = np.concatenate(([0], np.cumsum(pc.utf8_length(held).to_numpy(zero_copy_only=False))))
+    return np.frombuffer("".join(held.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32), ends
+
+
+def pieces(ends: np.ndarray, letters: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, from and to, of about so many letters and at most so many rows each, one row at least."""
+    low = 0
+    while low < len(ends) - 1:
+        high = max(low + 1, min(int(np.searchsorted(ends, ends[low] + letters, "right")) - 1, low + rows))
+        yield low, high
+        low = high
+
+
+def _words_of(letters: np.ndarray, ends: np.ndarray, k: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, letters and count of each distinct word of each row."""
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    start = np.flatnonzero(np.arange(len(letters)) + k <= ends[1:][row])
+    alphabet, codes = np.unique(letters, return_inverse=True)
     if kind == "base":
-        rows = rows.where(~F.col("word").rlike("[^ACGT]"))
-    return rows.groupBy("seq_idx", "word").agg(F.count(F.lit(1)).alias("n"))
+        start = start[np.lib.stride_tricks.sliding_window_view(np.isin(letters, [65, 67, 71, 84]), k)[start].all(1)] if len(start) else start
+    bits = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
+    all_bits = bits * k + max(1, int(len(ends) - 1).bit_length())
+    if all_bits <= 64:
+        kind_of = np.uint32 if all_bits <= 32 else np.uint64
+        codes = codes.astype(kind_of)
+        key = row[start].astype(kind_of)
+        for j in range(k):
+            key = (key << kind_of(bits)) | codes[start + j]
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        n, key = np.diff(np.append(first, len(key))), key[first]
+        of = (key >> kind_of(bits * k)).astype(np.int64)
+        words = np.stack([alphabet[((key >> kind_of(bits * (k - 1 - j))) & kind_of((1 << bits) - 1)).astype(np.int64)] for j in range(k)], 1) if len(key) else np.zeros((0, k), letters.dtype)
+        return of, words, n
+    both = np.column_stack((row[start], *(letters[start + j] for j in range(k)))) if len(start) else np.zeros((0, k + 1), np.int64)
+    found, n = np.unique(both, axis=0, return_counts=True)
+    return found[:, 0].astype(np.int64), found[:, 1:].astype(letters.dtype), n
+
+
+def kmer_counts(records: DataFrame, k: int, kind: str = "protein") -> DataFrame:
+    """``seq_idx, word, n`` for every word of ``k`` letters; nucleotide words with other letters than ACGT are left out.
+
+    A sequence's words are counted where it is read; only those of sequences that share a
+    ``seq_idx`` are brought together.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            letters, ends = code_points(batch.column(1))
+            for low, high in pieces(ends, PIECE_LETTERS, 127):
+                row, words, n = _words_of(letters[ends[low] : ends[high]], ends[low : high + 1] - ends[low], k, kind)
+                if words.dtype == np.uint8:
+                    text = pa.StringArray.from_buffers(len(n), pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * np.int32(k)), pa.py_buffer(np.ascontiguousarray(words)))
+                else:
+                    text = pa.array([w.tobytes().decode("utf-32-le", "surrogatepass") for w in words], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + low)), text, pa.array(n.astype(np.int64))], names=["seq_idx", "word", "n"])
+
+    rows = records.where(F.col("len") >= k).select("seq_idx", "seq")
+    schema = f"seq_idx {rows.schema['seq_idx'].dataType.simpleString()}, word string, n long"
+    shared = rows.groupBy("seq_idx").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("seq_idx").alias("other"))
+    if shared.isEmpty():
+        return rows.mapInArrow(count, schema)
+    same = F.col("seq_idx").eqNullSafe(F.col("other"))
+    together = rows.join(shared, same, "left_semi").mapInArrow(count, schema).groupBy("seq_idx", "word").agg(F.sum("n").alias("n"))
+    return rows.join(shared, same, "left_anti").mapInArrow(count, schema).unionByName(together)
 
 
 def look_positions(counts: DataFrame) -> DataFrame:
