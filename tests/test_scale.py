@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 
+from seqloom.operators import cluster as C
 from seqloom.operators import words as W
 
 
@@ -20,3 +21,26 @@ def test_words_are_counted_where_they_are_read(spark):
             assert {(r["seq_idx"], r["word"]): r["n"] for r in got} == want and len(got) == len(want)
     bases = spark.createDataFrame([(1, "ACGTNACGTACGTU", 14)], table.schema)
     assert {r["word"]: r["n"] for r in W.kmer_counts(bases, 4, "base").collect()} == {"ACGT": 3, "CGTA": 1, "GTAC": 1, "TACG": 1}
+
+
+def test_a_screen_joins_only_what_can_pass(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "ARNDCQEGHILKMFPSTWYV"
+    references = [(k, "".join(rng.choice(letters) for _ in range(rng.randint(30, 200)))) for k in range(70)]
+    queries = [(k, "".join(rng.choice(letters) for _ in range(rng.randint(20, 300)))) for k in range(150)]
+    queries += [(200 + k, "".join(c if rng.random() < 0.85 else rng.choice(letters) for c in rng.choice(references)[1])) for k in range(40)]
+    frame = lambda rows: spark.createDataFrame([(i, s, len(s)) for i, s in rows], "seq_idx long, seq string, len int")
+    lengths = C.Lengths(least=0.4, less=90)
+    met = []
+    kept = C.W.candidate_pairs
+    monkeypatch.setattr(C.W, "candidate_pairs", lambda q, *a: met.append(q.count()) or kept(q, *a))
+    key = lambda df: sorted(tuple(r) for r in df.select("q_idx", "r_idx", "strand", "look_pos", "look_rank", "identity").collect())
+    for kind, k, identity in (("protein", 4, 0.7), ("base", 5, 0.8)):
+        turn = (lambda rows: [(i, s.translate(str.maketrans(letters, "ACGT" * 5))) for i, s in rows]) if kind == "base" else list
+        q, r = frame(turn(queries)), frame(turn(references))
+        got = key(C.matches(q, r, identity, k, kind, same=False, lengths=lengths))
+        few = met[-1]
+        with monkeypatch.context() as m:
+            m.setattr(C, "NEAR_LETTERS", -1)
+            assert key(C.matches(q, r, identity, k, kind, same=False, lengths=lengths)) == got
+        assert met[-1] == 190 and (few < 60 or kind == "base") and len(got) > 10
