@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.letters import reverse_complement
+from seqloom.operators.words import PIECE_LETTERS, code_points, pieces
+from seqloom.sources.storage import written
 
 
 def exact_duplicates(records: DataFrame) -> DataFrame:
@@ -158,6 +161,61 @@ def near_duplicates(records: DataFrame, errors: float, block: int | None = 30, s
     return found
 
 
+#: Bits of the filters of ``overlaps``: 8 MB each, whatever the input.
+OVERLAP_BITS = 1 << 26
+#: An odd number whose powers tell places apart, modulo 2^64.
+PLACE = 0x9E3779B97F4A7C15
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Runs:
+    """Hashes of runs of letters, each in constant time from sums over the letters before its ends."""
+
+    def __init__(self, letters: np.ndarray) -> None:
+        self.letters = letters
+        powers = np.full(len(letters) + 1, PLACE, np.uint64)
+        inverse = np.full(len(letters) + 1, pow(PLACE, -1, 1 << 64), np.uint64)
+        powers[0] = inverse[0] = 1
+        self.inverse = np.cumprod(inverse)
+        values = _mixed(np.arange(max(int(letters.max(initial=0)) + 1, 256), dtype=np.uint64) + np.uint64(1))[letters]
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * np.cumprod(powers)[:-1])))
+
+    def hashes(self, low: np.ndarray, high: np.ndarray, phase: int) -> np.ndarray:
+        return _mixed((self.sums[high] - self.sums[low]) * self.inverse[low] + (high - low).astype(np.uint64) * np.uint64(8) + np.uint64(phase))
+
+    def digests(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Two numbers for each run, 128 bits that stand for its letters."""
+        made = b"".join(hashlib.blake2b(self.letters[i:j].astype("<u4").tobytes(), digest_size=16).digest() for i, j in zip(low.tolist(), high.tolist()))
+        return np.frombuffer(made, np.int64).reshape(-1, 2)
+
+
+def _may_be(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be among those of the filter."""
+    held = lambda h: bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8) & 1
+    mask = np.uint64(OVERLAP_BITS - 1)
+    some = np.flatnonzero(held(hashes & mask))
+    return some[held(hashes[some] >> np.uint64(32) & mask) == 1]
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """OVERLAP_BITS bits, of which two are set for each hash ``h``."""
+    places = hashes.select(F.explode(F.array(*[F.pmod(h, F.lit(OVERLAP_BITS)) + 1 for h in (F.col("h"), F.shiftrightunsigned("h", 32))])).alias("p"))
+    made = np.zeros(OVERLAP_BITS // 8, np.uint8)
+    for r in places.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect():
+        made[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return made
+
+
+_OTHER_STRAND = np.full(256, ord("A"), np.uint8)
+for _x, _y in zip("ACGTacgt", "TGCAtgca"):
+    _OTHER_STRAND[ord(_x)] = ord(_y)
+
+
 def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFrame:
     """``q_idx, r_idx, phase, overlap, strand``: ends of q that equal an end of an earlier r, the longest for each phase and strand.
 
@@ -165,32 +223,73 @@ def overlaps(records: DataFrame, least: int = 20, share: float = 0.0) -> DataFra
     of q are the first M of r, M up to q's length. M is at least ``least`` and that share of q's
     length. Strand - takes q's reverse complement. r is longer, or as long with a lower index.
 
-    Only the outer ``least`` letters of r are looked up, among all runs of so many letters of q;
-    where they are says how long the overlap is, which is then compared as a whole.
+    A filter of fixed size says which runs of ``least`` letters of q may be the outer ones of some
+    sequence, and so how long an overlap there may be; a second one which ends of r may be such an
+    overlap. Both are then joined as wholes, by 128 bits of a hash, so no letters travel and no
+    pair is met that does not overlap.
     """
-    most = F.greatest(F.lit(least), (F.col("len") * F.lit(share)).cast("int"))
-    forward = records.select("seq_idx", "seq", "len", F.lit("+").alias("strand"))
-    queries = forward.unionByName(records.select("seq_idx", reverse_complement(F.col("seq"), "A").alias("seq"), "len", F.lit("-").alias("strand")))
-    long = records.where(F.col("len") >= least)
-    head, tail = F.substring(F.col("seq"), F.lit(1), F.lit(least)), F.col("seq").substr(F.col("len") - least + 1, F.lit(least))
-    ends = F.explode(F.array(*[F.struct(F.lit(phase).alias("phase"), F.xxhash64(end).alias("end")) for phase, end in ((1, tail), (2, head))]))
-    r = long.select(F.col("seq_idx").alias("r_idx"), F.col("len").alias("r_len"), ends.alias("e")).select("r_idx", "r_len", "e.phase", "e.end")
-    # Only runs of letters that begin or end some sequence are met by it.
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - least + 1), lambda i: F.struct(i.alias("at"), F.xxhash64(F.substring(F.col("seq"), i, F.lit(least))).alias("end"))))
-    q = queries.where(F.col("len") >= least).select(F.col("seq_idx").alias("q_idx"), F.col("len").alias("q_len"), "strand", most.alias("most"), at.alias("a"))
-    q = q.select("q_idx", "q_len", "strand", "most", "a.at", "a.end")
-    m = F.when(F.col("phase") == 1, F.col("at") + least - 1).otherwise(F.col("q_len") - F.col("at") + 1)
-    met = q.join(r, "end").withColumn("m", m)
-    met = met.where(
-        ((F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx")))) & (F.col("m") >= F.col("most")) & (F.col("m") <= F.col("r_len"))
-        & ((F.col("phase") == 2) | (F.col("m") < F.col("q_len")))
-    )
-    left = queries.select(F.col("seq_idx").alias("q_idx"), F.col("seq").alias("q_seq"), "strand")
-    right = records.select(F.col("seq_idx").alias("r_idx"), F.col("seq").alias("r_seq"))
-    both = met.select("q_idx", "r_idx", "strand", "phase", "m", "q_len", "r_len").join(left, ["q_idx", "strand"]).join(right, "r_idx")
-    first, last = (lambda c: F.substring(F.col(c), F.lit(1), F.col("m"))), (lambda c, n: F.col(c).substr(F.col(n) - F.col("m") + 1, F.col("m")))
-    same = F.when(F.col("phase") == 1, first("q_seq") == last("r_seq", "r_len")).otherwise(last("q_seq", "q_len") == first("r_seq"))
-    return both.where(same).groupBy("q_idx", "r_idx", "phase", "strand").agg(F.max("m").alias("overlap")).select("q_idx", "r_idx", "phase", "overlap", "strand")
+    rows = records.where((F.col("len") >= least) & F.col("seq_idx").isNotNull())
+    most = F.greatest(F.lit(least), (F.col("len") * F.lit(share)).cast("int")).cast("long")
+    rows = rows.select(F.col("seq_idx").cast("long"), "seq", most.alias("most"))
+    spark = records.sparkSession
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for batch in batches:
+            letters, ends = code_points(batch.column(1))
+            for low, high in pieces(ends, PIECE_LETTERS, 1 << 20):
+                yield batch.slice(low, high - low), letters[ends[low] : ends[high]], ends[low : high + 1] - ends[low]
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, letters, ends in each(batches):
+            runs = _Runs(letters)
+            h = np.concatenate((runs.hashes(ends[1:] - least, ends[1:], 1), runs.hashes(ends[:-1], ends[:-1] + least, 2)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h).view(np.int64))], names=["h"])
+
+    def batch_of(rows: pa.RecordBatch, ends: np.ndarray, runs: _Runs, row: np.ndarray, low: np.ndarray, high: np.ndarray, phase: int, strand: str) -> pa.RecordBatch:
+        n, d = len(row), runs.digests(low, high)
+        columns = [rows.column(0).take(pa.array(row)), pa.array(np.diff(ends)[row]), pa.array(np.full(n, phase, np.int32)), pa.array((high - low).astype(np.int32)), pa.array(d[:, 0]), pa.array(d[:, 1])]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([strand] * n, pa.string()), pa.array(runs.hashes(low, high, phase).view(np.int64))], names=["idx", "len", "phase", "overlap", "d1", "d2", "strand", "h"])
+
+    schema = "idx long, len long, phase int, overlap int, d1 long, d2 long, strand string, h long"
+    sent = spark.sparkContext.broadcast(_filter(rows.mapInArrow(outer, "h long")))
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, letters, ends in each(batches):
+            size = np.diff(ends)
+            row = np.repeat(np.arange(len(size)), size)
+            at = np.arange(len(letters))
+            at = at[at + least <= ends[1:][row]]
+            needed = part.column(2).to_numpy(zero_copy_only=False)
+            for strand in "+-":
+                if strand == "-":
+                    turned = letters[(ends[:-1] + ends[1:] - 1)[row] - np.arange(len(letters))]
+                    letters = np.where(turned < 256, _OTHER_STRAND[np.minimum(turned, 255)], np.uint8(ord("A")))
+                runs = _Runs(letters)
+                for phase in (1, 2):
+                    i = at[_may_be(runs.hashes(at, at + least, phase), sent.value)]
+                    of = row[i]
+                    low, high = (ends[:-1][of], i + least) if phase == 1 else (i, ends[1:][of])
+                    ok = (high - low >= needed[of]) & ((high - low < size[of]) if phase == 1 else True)
+                    yield batch_of(part, ends, runs, of[ok], low[ok], high[ok], phase, strand)
+
+    q = written(rows.mapInArrow(inner, schema), "overlap-runs")
+    wanted = spark.sparkContext.broadcast(_filter(q))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, letters, ends in each(batches):
+            runs = _Runs(letters)
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            at = np.arange(len(letters))
+            for phase in (1, 2):
+                some = at[at + least <= ends[1:][row]] if phase == 1 else at[at + 1 >= ends[:-1][row] + least]
+                low, high = (some, ends[1:][row[some]]) if phase == 1 else (ends[:-1][row[some]], some + 1)
+                k = _may_be(runs.hashes(low, high, phase), wanted.value)
+                yield batch_of(part, ends, runs, row[some[k]], low[k], high[k], phase, "+")
+
+    left = q.select(F.col("idx").alias("q_idx"), F.col("len").alias("q_len"), "phase", "overlap", "d1", "d2", "strand")
+    right = rows.mapInArrow(whole, schema).select(F.col("idx").alias("r_idx"), F.col("len").alias("r_len"), "phase", "overlap", "d1", "d2")
+    met = left.join(right, ["phase", "overlap", "d1", "d2"]).where((F.col("r_len") > F.col("q_len")) | ((F.col("r_len") == F.col("q_len")) & (F.col("r_idx") < F.col("q_idx"))))
+    return met.groupBy("q_idx", "r_idx", "phase", "strand").agg(F.max("overlap").alias("overlap")).select("q_idx", "r_idx", "phase", "overlap", "strand")
 
 
 def mates(first: DataFrame, second: DataFrame) -> DataFrame:

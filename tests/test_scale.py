@@ -5,6 +5,7 @@ from collections import Counter
 
 
 from seqloom.operators import cluster as C
+from seqloom.operators import reads as R
 from seqloom.operators import words as W
 
 
@@ -44,3 +45,25 @@ def test_a_screen_joins_only_what_can_pass(spark, monkeypatch):
             m.setattr(C, "NEAR_LETTERS", -1)
             assert key(C.matches(q, r, identity, k, kind, same=False, lengths=lengths)) == got
         assert met[-1] == 190 and (few < 60 or kind == "base") and len(got) > 10
+
+
+def test_overlaps_meet_only_in_what_overlaps(spark):
+    rng = random.Random(17)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common, other = word(30), word(40)
+    # All begin or end alike, but only two overlap.
+    rows = [(k, word(60) + common if k % 2 else common + word(60)) for k in range(400)] + [(900, other + word(90)), (901, word(70) + other)]
+    table = spark.createDataFrame([(i, s, len(s)) for i, s in rows], "seq_idx long, seq string, len int")
+    found = R.overlaps(table, 20)
+    got = {tuple(r) for r in found.collect()}
+    want = set()
+    for i, q in rows:
+        for strand, text in (("+", q), ("-", q.translate(str.maketrans("ACGT", "TGCA"))[::-1])):
+            for j, r in rows:
+                if len(r) > len(q) or len(r) == len(q) and j < i:
+                    for phase, m in ((1, max((m for m in range(20, len(text)) if m <= len(r) and text[:m] == r[-m:]), default=0)), (2, max((m for m in range(20, len(text) + 1) if text[-m:] == r[:m]), default=0))):
+                        if m:
+                            want.add((i, j, phase, m, strand))
+    assert got == want
+    assert (901, 900, 2, 40, "+") in got
+    assert "q_seq" not in found._jdf.queryExecution().optimizedPlan().toString()
