@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -256,7 +257,8 @@ def held_out() -> F.Column:
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model from the labelled documents that are not held out, at most ``rows`` of them, lowest hash first.
 
-    Rows with a null label, text or doc_id teach nothing.
+    Rows with a null label, text or doc_id teach nothing. A task fits it, so that no texts and none of
+    their words come to the driver, only the model.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.where("doc_id IS NOT NULL AND label IN (0, 1)").where(~held_out()).dropDuplicates(["doc_id"])
@@ -267,7 +269,13 @@ def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> M
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     # ``known`` has about ``rows`` rows of two numbers, so it may be broadcast at any scale. Of documents that share an id one teaches.
     taught = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
-    return fit((r["text"], r["label"]) for r in taught.select("text", "label").toLocalIterator())
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit(pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = taught.select("text", "label").coalesce(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([])
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:

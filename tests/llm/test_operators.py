@@ -1,6 +1,7 @@
 """The operators against brute force, on small tables that hold the awkward cases."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -729,6 +730,14 @@ def test_passages_and_repeated_ids(spark):
     assert scored.columns == ["doc_id", "text", "toxicity"] and scored.count() == len(repeated)
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "fit", lambda rows: (sorted(rows), os.getpid()))
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, toxic int")
+    rows, process = toxicity.fit_documents(docs, labels)
+    assert rows == sorted((f"text {k}", k % 2) for k in range(20) if zlib.crc32(str(k).encode()) % 5) and process != os.getpid()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     texts, labels = made_texts(400, 3), []
