@@ -619,6 +619,21 @@ def test_attention_gradients():
         assert abs((ends[0] - ends[1]) / 2e-5 - g[at]) < 1e-5 + 1e-3 * abs(g[at]), k
 
 
+def test_probabilities_of_all_classes_add_up_to_one():
+    rng = np.random.default_rng(5)
+    w = {"E": (lm.CLASSES, lm.WIDTH), "P": (lm.WINDOW, lm.WIDTH), "Q": (lm.WIDTH, lm.WIDTH), "K": (lm.WIDTH, lm.WIDTH), "V": (lm.WIDTH, lm.WIDTH)}
+    w |= {"U1": (lm.WIDTH, lm.GROUPS), "U2": (lm.GROUPS, lm.WIDTH, lm.MEMBERS), "B1": (lm.CLASSES, lm.GROUPS), "B2": (lm.CLASSES, lm.GROUPS, lm.MEMBERS)}
+    w = {k: rng.normal(0, 0.3, size).astype(np.float32) for k, size in w.items()}
+    t = lm.Attention(np.zeros(1, np.int64), np.zeros(1), w, 0, np.full(lm.CLASSES, 1 / lm.CLASSES)).tables()
+    before = rng.integers(0, lm.CLASSES, (1, lm.WINDOW))
+    heard = lm.Attention._heard(before, t, np.tril(np.ones((lm.WINDOW, lm.WINDOW), np.float32)))[0]
+    x = w["E"][before[0]] + w["P"]
+    a = np.tril(np.exp(x @ w["Q"] @ (x @ w["K"]).T / math.sqrt(lm.WIDTH)))
+    assert np.allclose(heard, x + a / a.sum(1, keepdims=True) @ (x @ w["V"]), atol=1e-4)
+    found = lm.Attention._probability(np.repeat(heard, lm.CLASSES, 0), np.repeat(before[0], lm.CLASSES), np.tile(np.arange(lm.CLASSES), lm.WINDOW), t)
+    assert np.allclose(found.reshape(lm.WINDOW, -1).sum(1), 1, atol=1e-4)
+
+
 def test_windows_score_each_place_once():
     for n in [1, 5, 31, 32, 33, 56, 57, 200]:
         start, _, fresh = lm.windows(np.array([n]))
