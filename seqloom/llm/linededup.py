@@ -86,11 +86,12 @@ def line_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         starts, row_of = starts[order], row_of[order]
         number = np.arange(len(starts)) - np.searchsorted(row_of, row_of)
         at, _, hashes = word_hashes(part, cuts)
-        # Of lines that start at the same byte (empty rows, or a feed at a row's end) the last one is found, which is the right one.
-        line = np.searchsorted(starts, at, "right") - 1
+        # Of lines that start at the same byte (empty rows, or a feed at a row's end) the last one has the words, which is right.
+        first_word = np.append(np.searchsorted(at, starts), len(at))
+        line = np.repeat(np.arange(len(starts)), np.diff(first_word))
         for low in range(0, len(starts), LINES_AT_ONCE):
             high = min(low + LINES_AT_ONCE, len(starts))
-            a, b = np.searchsorted(line, [low, high])
+            a, b = first_word[low], first_word[high]
             packed = np.sort(((line[a:b] - low).astype(np.uint64) << np.uint64(_WORD_BITS)) | (hashes[a:b] >> np.uint64(64 - _WORD_BITS)))
             if len(packed):
                 packed = packed[np.append(True, packed[1:] != packed[:-1])]
