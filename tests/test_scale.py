@@ -67,3 +67,41 @@ def test_overlaps_meet_only_in_what_overlaps(spark):
     assert got == want
     assert (901, 900, 2, 40, "+") in got
     assert "q_seq" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _shared(q, r, k, kind):
+    cut = lambda s: [w for w in (s[j : j + k] for j in range(len(s) - k + 1)) if kind == "protein" or not set(w) - set("ACGT")]
+    mine, other = sorted(cut(q)), sorted(cut(r))
+    both = Counter(mine) & Counter(other)
+    return sum(both.values()), min((mine.index(w) for w in both), default=None), len(q) - k + 1 - len(mine)
+
+
+def test_candidates_are_counted_block_against_block(spark, monkeypatch):
+    from seqloom.operators import blocks as B
+
+    monkeypatch.setattr(B, "BLOCK_ROWS", 17)
+    monkeypatch.setattr(B, "QUERIES", 5)
+    rng = random.Random(31)
+    for kind, letters, k, identity in (("protein", "ACD", 3, 0.8), ("base", "ACGTN", 3, 0.8), ("protein", "ACDEFGHIKLMNPQRSTVWY", 6, 0.9)):
+        seeds = ["".join(rng.choice(letters) for _ in range(rng.randint(k + 1, 160))) for _ in range(20)]
+        texts = seeds + ["".join(c if rng.random() < 0.95 else rng.choice(letters) for c in s)[: rng.randint(k + 1, 200)] for s in seeds * 3] + ["A" * 400, "A" * 300, "A" * 300]
+        rows = [(3 * n - 50, s) for n, s in enumerate(texts)]
+        table = spark.createDataFrame([(i, s, len(s)) for i, s in rows] + [(None, "A" * 90, 90)], "seq_idx long, seq string, len int")
+        need = {r["seq_idx"]: r["w"] for r in table.select("seq_idx", W.required_counts(table["len"], k, identity, 2 if kind == "protein" else 4, kind)[2].alias("w")).collect()}
+        some, want = {}, {}
+        for i, q in rows:
+            found = []
+            for j, r in rows:
+                if (-len(r), j) < (-len(q), i):
+                    n, look, skipped = _shared(q, r, k, kind)
+                    wanted = max(need[i] - skipped, 1) if skipped else need[i]
+                    if n >= 2:
+                        some[i, j] = n, look + skipped
+                    if n >= max(wanted, 1) and len(q) - k + 2 - look - skipped >= wanted:
+                        found.append((look + skipped, -len(r), j, n))
+            want |= {(i, j): (n, look, rank + 1) for rank, (look, _, j, n) in enumerate(sorted(found))}
+        pairs = W.candidate_pairs(table, table, k, identity, kind)
+        assert {(r["q_idx"], r["r_idx"]): (r["shared"], r["look_pos"], r["look_rank"]) for r in pairs.collect()} == want and len(want) > 30
+        for plan in (pairs,):
+            text = plan._jdf.queryExecution().optimizedPlan().toString()
+            assert "q_words" not in text and "explode" not in text
