@@ -102,6 +102,10 @@ def test_candidates_are_counted_block_against_block(spark, monkeypatch):
             want |= {(i, j): (n, look, rank + 1) for rank, (look, _, j, n) in enumerate(sorted(found))}
         pairs = W.candidate_pairs(table, table, k, identity, kind)
         assert {(r["q_idx"], r["r_idx"]): (r["shared"], r["look_pos"], r["look_rank"]) for r in pairs.collect()} == want and len(want) > 30
-        for plan in (pairs,):
+        shared = W.shared_words(table, table, k, kind, least=2)
+        got = shared.collect()
+        assert {(r["q_idx"], r["r_idx"]): (r["shared"], r["look_pos"]) for r in got} == some and len(got) == len(some)
+        for plan in (pairs, shared):
             text = plan._jdf.queryExecution().optimizedPlan().toString()
             assert "q_words" not in text and "explode" not in text
+        assert "hashpartitioning" not in shared._jdf.queryExecution().executedPlan().toString()
