@@ -1,7 +1,9 @@
 """Alignment, candidates and clustering against a serial model written for clarity."""
 
 import math
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -358,3 +360,96 @@ def test_chimeras_are_told_from_their_parents(spark):
     one, two = H.split_by_chimeras(members, H.chimeric_clusters(table))
     assert two.select("cluster_no", "parent_1", "parent_2").distinct().orderBy("cluster_no").collect() == [(0, 0, 1), (1, 1, 2)]
     assert one.groupBy("cluster_no").count().orderBy("cluster_no").first()["count"] == 50
+
+
+def serial_chimeras(rows, shared=30, percent=1.0, ratio=1.0, least=2):
+    """One sequence after the other, against all that may be parents; ``rows`` are (cluster, letters, abundance)."""
+    prefix = len(os.path.commonprefix([s for _, s, _ in rows]))
+    primer, found, listed = prefix if prefix >= 15 else 0, {}, []
+    wrong = lambda a, b: sum(x != y for x, y in zip(a, b))
+
+    def run(a, b, most):
+        for k, (x, y) in enumerate(zip(a, b)):
+            most -= x != y
+            if most < 0:
+                return k
+        return min(len(a), len(b))
+
+    for cluster, q, abundance in sorted((r for r in rows if r[2] >= least), key=lambda r: (-r[2], r[0])):
+        n = len(q)
+        few, more = (int(np.float32(f) * np.float32(n) * np.float32(percent)) for f in (0.01, 0.015))
+        met = {}
+        for at in range(primer, n - shared + 1) if n >= 2 * shared + primer else ():
+            for k, (_, r, _) in enumerate(listed):
+                for place in range(primer, len(r) - shared + 1):
+                    if r[place : place + shared] == q[at : at + shared]:
+                        met.setdefault(k, {}).setdefault(place - at, []).append(1)
+        starts, ends, near = [], [], []
+        for k, shifts in met.items():
+            of, r, size = listed[k]
+            if size < int(np.float32(abundance) * np.float32(ratio)):
+                continue
+            head = run(q, r, few)
+            if head >= primer + shared:
+                starts.append((of, r, head))
+            for shift in sorted(shifts, key=lambda s: (-len(shifts[s]), s))[:2]:
+                low, high = max(0, -shift), min(n, len(r) - shift)
+                tail = run(q[low:high][::-1], r[low + shift : high + shift][::-1], few)
+                if tail >= shared:
+                    ends.append((high - tail, of, r, shift))
+                    break
+                tail = 0
+            x = (head + n - tail) // 2
+            near.append(wrong(q[:x], r) + wrong(q[x:], r[x + shift :]) if head + tail >= n else wrong(q, r))
+        closest = min((w for w in near if w <= more), default=None)
+        if closest is not None and closest <= few:
+            continue
+        allowed = more if closest is None else closest
+        ends.sort(key=lambda e: e[0])
+        for a, r_a, head in starts:
+            for begin, b, r, shift in ends:
+                x = (head + begin) // 2
+                if begin <= head and a != b and cluster not in found and wrong(q[:x], r) > allowed + few and wrong(q[x:], r_a[x:]) > allowed + few and wrong(q[:x], r_a) + wrong(q[x:], r[x + shift :]) <= allowed:
+                    found[cluster] = (a, b)
+        if cluster not in found:
+            listed.append((cluster, q, abundance))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chimeras_equal_the_serial_rule(spark, monkeypatch, seed):
+    """Copies of chimeras, chimeras of chimeras, repeats, short ones and shifted ends, in blocks and pieces of any size."""
+    from seqloom.operators import chimera as H
+
+    rng = random.Random(seed)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    seqs = [draw(rng.randint(80, 260)) for _ in range(8)] + [draw(9) * 12, draw(5) * 20, draw(40)]
+    for _ in range(45):
+        a, b = rng.choice(seqs), rng.choice(seqs)
+        cut = rng.randint(20, 120)
+        made = rng.choice([a[:cut] + b[cut:], a[:cut] + b[cut + rng.randint(-3, 3) :], mutated(rng, a, "ACGT", rng.randint(0, 4)), a[rng.randint(0, 9) :]])
+        seqs.append(made if made else draw(30))
+    seqs = list(dict.fromkeys(seqs))
+    rows = [(k, s, rng.randint(1, 9) if k > 10 else rng.randint(5, 30)) for k, s in enumerate(seqs)]
+    table = spark.createDataFrame(rows, "cluster_no long, seq string, abundance long")
+    if seed:
+        monkeypatch.setattr(H, "BLOCK_LETTERS", 1500)
+        monkeypatch.setattr(H, "MEETINGS", 60)
+        monkeypatch.setattr(H, "AT_ONCE", 200)
+        monkeypatch.setattr(H, "OFTEN", seed - 1)
+    for percent, ratio in ((1.0, 1.0), (2.5, 0.5))[: 1 + (seed == 1)]:
+        got = {r["cluster_no"]: (r["parent_1"], r["parent_2"]) for r in H.chimeric_clusters(table, percent=percent, ratio=ratio).collect()}
+        assert got == serial_chimeras(rows, percent=percent, ratio=ratio) and got
+
+
+def test_repeats_are_judged_in_time(spark):
+    """Long sequences of few words, each of which meets all the others in each place: 1.5 billion meetings of words."""
+    from seqloom.operators import chimera as H
+
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    rows = [(10 * k + j, word * (9000 // k) + draw(40 + j), 40) for k, word in ((4, draw(4)), (6, draw(6))) for j in range(10)]
+    table = spark.createDataFrame(rows, "cluster_no long, seq string, abundance long")
+    began = time.monotonic()
+    assert H.chimeric_clusters(table).count() == 0
+    assert time.monotonic() - began < 40
