@@ -109,3 +109,24 @@ def test_candidates_are_counted_block_against_block(spark, monkeypatch):
             text = plan._jdf.queryExecution().optimizedPlan().toString()
             assert "q_words" not in text and "explode" not in text
         assert "hashpartitioning" not in shared._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlaps_of_long_repeats_are_hashed_in_constant_time(spark):
+    """Each place of a text of one short word begins and ends like others do; a hash over all letters for each of them takes minutes."""
+    import time
+
+    rows = [(1, "AC" * 40_000), (2, "AC" * 25_000 + "A"), (3, "GT" * 20_000), (4, "T" * 30 + "AC" * 20)]
+    table = spark.createDataFrame([(i, s, len(s)) for i, s in rows], "seq_idx long, seq string, len int").repartition(1)
+    start = time.time()
+    got = {tuple(r) for r in R.overlaps(table, 20).collect()}
+    assert time.time() - start < 40
+    full = lambda q, r, strand: {(q, r, phase, m, strand) for phase, m in _brute(dict(rows)[q], dict(rows)[r], strand)}
+    want = set().union(*[full(q, r, strand) for q, r in ((2, 1), (3, 1), (3, 2), (4, 1), (4, 2), (4, 3)) for strand in "+-"])
+    assert got == want and len(want) > 8
+
+
+def _brute(q, r, strand):
+    q = q if strand == "+" else q.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    one = next((m for m in range(min(len(q) - 1, len(r)), 19, -1) if q[:m] == r[-m:]), None)
+    two = next((m for m in range(min(len(q), len(r)), 19, -1) if q[-m:] == r[:m]), None)
+    return [(phase, m) for phase, m in ((1, one), (2, two)) if m]
