@@ -130,3 +130,25 @@ def _brute(q, r, strand):
     one = next((m for m in range(min(len(q) - 1, len(r)), 19, -1) if q[:m] == r[-m:]), None)
     two = next((m for m in range(min(len(q), len(r)), 19, -1) if q[-m:] == r[:m]), None)
     return [(phase, m) for phase, m in ((1, one), (2, two)) if m]
+
+
+def test_overlap_clusters_need_no_pairs(spark, monkeypatch):
+    """The greedy rule over equal starts and ends gives what it gives over the pairs, whose number grows with the square."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("ACGT") for _ in range(150))
+    turned = base[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    texts = [of[at : at + rng.randint(22, 70)] for of, at in ((rng.choice([base, turned]), rng.randrange(120)) for _ in range(60))] + ["AC" * 20, "CA" * 15, base[:40], base[:40]]
+    rows = [(k, t) for k, t in enumerate(texts) if len(t) > 10]
+    reps, want = [], {}
+    for i, q in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
+        met = [(phase, -m, strand == "-", no, strand, rep) for no, (rep, r) in enumerate(reps) for strand in "+-" for phase, m in _brute(q, r, strand)]
+        if met:
+            phase, m, _, no, strand, rep = min(met)
+            want[i] = (rep, no, False, phase, -m, strand)
+        else:
+            want[i] = (i, len(reps), True, None, None, None)
+            reps.append((i, q))
+    monkeypatch.setattr(R, "overlaps", None)
+    got = C.overlap_clusters(spark.createDataFrame([(i, s, len(s)) for i, s in rows], "seq_idx long, seq string, len int"), 20)
+    assert {r["seq_idx"]: (r["rep_idx"], r["cluster_no"], r["is_rep"], r["phase"], r["overlap"], r["strand"]) for r in got.collect()} == want
+    assert 3 < len(reps) < len(rows) - 10
